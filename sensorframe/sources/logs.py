@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -95,18 +97,27 @@ def read_logs(
     """
     if on_error not in ("raise", "skip"):
         raise ValueError(f"on_error must be 'raise' or 'skip', got {on_error!r}")
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    shapes: dict[str, tuple[T.StructType, list[str]]] = {}
-    for path in dict.fromkeys(paths):
+    paths = list(dict.fromkeys([paths] if isinstance(paths, str) else paths))
+
+    def schema_of(path: str) -> T.StructType | Exception:
         try:
-            schema = spark.read.parquet(path).schema
-            to_readings(spark.createDataFrame([], schema), id_col=id_col, ts_col=ts_col)
-        except (PySparkException, ValueError) as reason:
-            if on_error == "raise":
-                raise
-            log.warning("skipped %s: %s", path, reason)
-            continue
-        shapes.setdefault(schema.json(), (schema, []))[1].append(path)
+            raw = spark.read.parquet(path)
+            to_readings(raw, id_col=id_col, ts_col=ts_col)
+            return raw.schema
+        except (PySparkException, Py4JJavaError, ValueError) as reason:
+            return reason
+
+    # a schema is one footer read by a short Spark job; ask for many at once
+    with ThreadPoolExecutor(16) as pool:
+        schemas = list(pool.map(schema_of, paths))
+    shapes: dict[str, tuple[T.StructType, list[str]]] = {}
+    for path, schema in zip(paths, schemas):
+        if not isinstance(schema, Exception):
+            shapes.setdefault(schema.json(), (schema, []))[1].append(path)
+        elif on_error == "raise":
+            raise schema
+        else:
+            log.warning("skipped %s: %s", path, str(schema).splitlines()[0])
     if not shapes:
         raise ValueError("no readable log among the paths")
 
