@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 DAY_US = 86_400_000_000
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
@@ -14,9 +14,21 @@ def _col(column) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
-def epoch_us(column) -> Column:
-    """Whole microseconds since 1970, negative before it."""
+def utc_session(spark: SparkSession) -> bool:
+    """Whether wall clock and instant are the same in this session."""
+    return spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
+
+def epoch_us(column, utc: bool = False) -> Column:
+    """Whole microseconds since 1970, negative before it.
+
+    ``utc=True`` (see ``utc_session``) allows the cheaper cast through an
+    instant, which is exact in a UTC session only; operators use it on frames
+    they analyse at once, so a later change of the zone cannot reach them.
+    """
     ts = _col(column)
+    if utc:
+        return F.unix_micros(ts.cast("timestamp"))
     day = ts.cast("date")
     within_day = ts - day.cast("timestamp_ntz")
     # below one day, so the product stays far inside the interval range
@@ -25,12 +37,12 @@ def epoch_us(column) -> Column:
     ).cast("bigint")
 
 
-def epoch_ms(column) -> Column:
+def epoch_ms(column, utc: bool = False) -> Column:
     """Milliseconds since 1970 as a double, the X axis of a series."""
-    return epoch_us(column) / F.lit(1000.0)
+    return epoch_us(column, utc) / F.lit(1000.0)
 
 
-def from_epoch(column, unit: str = "us") -> Column:
+def from_epoch(column, unit: str = "us", utc: bool = False) -> Column:
     """Integer epoch in ``ns``, ``us`` or ``ms`` to TIMESTAMP_NTZ."""
     epoch = _col(column).cast("bigint")
     if unit == "ns":
@@ -40,6 +52,8 @@ def from_epoch(column, unit: str = "us") -> Column:
         epoch = epoch * F.lit(1000)
     elif unit != "us":
         raise ValueError(f"unit must be ns, us or ms, got {unit!r}")
+    if utc:
+        return F.timestamp_micros(epoch).cast("timestamp_ntz")
     return F.expr(_EPOCH) + F.expr(_MICROSECOND) * epoch
 
 

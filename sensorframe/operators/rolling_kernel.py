@@ -14,16 +14,19 @@ def rolling_piece(
 
     pandas skips NaN and infinities inside rolling windows, Spark does not. So
     the mean sums the finite values only and the others are counted per frame
-    and put back; the median runs on value ranks, which are finite and order
-    NaN last. Nulls are told from NaN by the Arrow validity mask.
+    and put back; the median then runs on value ranks. Nulls are told from NaN
+    by the Arrow validity mask.
     """
     table = table.sort_by(order_col)
     column = table[value_col].combine_chunks()
     null = column.is_null().to_numpy(zero_copy_only=False)
     values = column.fill_null(0.0).to_numpy(zero_copy_only=False)
     ids = table[id_col].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    single = len(ids) == 0 or (ids[0] == ids).all()
 
     def per_frame(series: np.ndarray, how) -> np.ndarray:
+        if single:
+            return how(pd.Series(series).rolling(window_size, min_periods=1)).to_numpy()
         grouped = pd.Series(series).groupby(ids, sort=False).rolling(window_size, min_periods=1)
         return how(grouped).droplevel(0).sort_index().to_numpy()
 
@@ -43,18 +46,26 @@ def rolling_piece(
         mean = np.where((plus & minus) | frame_has(~null & np.isnan(values)), np.nan, mean)
         table = table.append_column("rolling_mean", pa.array(mean, mask=short))
     if "median" in aggs:
-        distinct, rank_of = np.unique(values[~null], return_inverse=True)
-        ranks = np.full(len(values), np.nan)
-        ranks[~null] = rank_of
-        sides = []
-        for side in ("lower", "higher"):
-            rank = per_frame(ranks, lambda r, side=side: r.quantile(0.5, interpolation=side))
-            picked = np.full(len(values), np.nan)
-            known = ~np.isnan(rank)
-            picked[known] = distinct[np.rint(rank[known]).astype("int64")]
-            sides.append(picked)
-        low, high = sides
-        with np.errstate(invalid="ignore"):
-            median = np.where(low == high, low, (low + high) / 2)
+        if np.isfinite(values).all():
+            median = per_frame(np.where(null, np.nan, values), lambda r: r.median())
+        else:
+            median = _median_by_rank(values, null, per_frame)
         table = table.append_column("rolling_median", pa.array(median, mask=short))
     return table
+
+
+def _median_by_rank(values: np.ndarray, null: np.ndarray, per_frame) -> np.ndarray:
+    """Rolling median over the ranks of the values: finite, and NaN ranks last."""
+    distinct, rank_of = np.unique(values[~null], return_inverse=True)
+    ranks = np.full(len(values), np.nan)
+    ranks[~null] = rank_of
+    sides = []
+    for side in ("lower", "higher"):
+        rank = per_frame(ranks, lambda r, side=side: r.quantile(0.5, interpolation=side))
+        picked = np.full(len(values), np.nan)
+        known = ~np.isnan(rank)
+        picked[known] = distinct[np.rint(rank[known]).astype("int64")]
+        sides.append(picked)
+    low, high = sides
+    with np.errstate(invalid="ignore"):
+        return np.where(low == high, low, (low + high) / 2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.time import epoch_ms
+from ..functions.time import epoch_ms, utc_session
 from ..schema import has_point, require_columns, require_positive
 from .rowindex import has_hot_key, with_row_index
 
@@ -28,7 +28,7 @@ def source_series(
         id_col,
         ts_col,
         *([seq_col] if seq_col else []),
-        epoch_ms(ts_col).alias("x"),
+        epoch_ms(ts_col, utc_session(df.sparkSession)).alias("x"),
         F.col(value_col).cast("double").alias("y"),
     )
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.time import epoch_ms
+from ..functions.time import epoch_ms, utc_session
 from ..operators.resample import resample
 from ..operators.rolling import rolling
 from ..operators.series import source_series
@@ -54,8 +54,9 @@ def series_bundle(
     come out of one window pass, both resampling series out of one aggregation.
     """
     cols = {"id_col": id_col, "ts_col": ts_col, "value_col": value_col}
+    x = epoch_ms(ts_col, utc_session(df.sparkSession))
 
-    def long(frame: DataFrame, x, named: dict) -> DataFrame:
+    def long(frame: DataFrame, named: dict) -> DataFrame:
         pairs = [F.struct(F.lit(name).alias("series"), y.alias("y")) for name, y in named.items()]
         return frame.select(id_col, x.alias("x"), F.explode(F.array(*pairs)).alias("s")).select(
             "s.series", id_col, "x", "s.y"
@@ -66,12 +67,12 @@ def series_bundle(
         named = {"source": F.col(value_col)} | {
             f"rolling_{agg}": F.col(f"rolling_{agg}") for agg in spec.rolling
         }
-        bundle = long(rolled, epoch_ms(ts_col), named)
+        bundle = long(rolled, named)
     else:
         source = source_series(df, seq_col=seq_col, **cols)
         bundle = source.select(F.lit("source").alias("series"), id_col, "x", "y")
     if spec.resampling:
         windows = resample(df, spec.every_s, spec.period_s, spec.resampling, **cols)
         named = {f"resampling_{agg}": F.col(agg) for agg in spec.resampling}
-        bundle = bundle.unionByName(long(windows, epoch_ms(ts_col), named))
+        bundle = bundle.unionByName(long(windows, named))
     return bundle
