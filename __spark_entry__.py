@@ -339,7 +339,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rolling_mean": rolling_query(30, 1, ("mean",)),
         "rolling_median": rolling_query(30, 1, ("median",)),
         "rolling_min_periods": rolling_query(30, 30, both),
-        "rolling_split_identifiers": rolling_query(30, 5, both, hot_rows=50, chunk_rows=100),
+        "rolling_split_identifiers": rolling_query(30, 5, both, "user_id % 10", hot_rows=100, chunk_rows=200),
         "rolling_long_window": rolling_query(600, 600, both, "user_id % 10"),
         "series_bundle": series_bundle,
         "format_times": format_times,
@@ -524,7 +524,7 @@ from events""",
         "rolling_mean": _rolling_sql(30, 1, ("mean",)),
         "rolling_median": _rolling_sql(30, 1, ("median",)),
         "rolling_min_periods": _rolling_sql(30, 30, both),
-        "rolling_split_identifiers": _rolling_sql(30, 5, both),
+        "rolling_split_identifiers": _rolling_sql(30, 5, both, identifier="user_id % 10"),
         "rolling_long_window": _rolling_sql(600, 600, both, identifier="user_id % 10"),
         "series_bundle": f"""
 with rolled as ({rolled}), resampled as ({resampled}), series as (

@@ -12,6 +12,7 @@ from .functions import (
 from .operators import *  # noqa: F403
 from .operators import __all__ as _operators
 from .plans import SeriesSpec, series_bundle, table_view
+from .scratch import release_pinned
 from .sinks import export_view, write_export
 from .sources import *  # noqa: F403
 from .sources import __all__ as _sources
@@ -28,6 +29,7 @@ __all__ = [
     "hex_id",
     "identifier_range_label",
     "parse_ts",
+    "release_pinned",
     "series_bundle",
     "table_view",
     "write_export",

@@ -6,16 +6,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..schema import AGGREGATES, ROUND_DECIMALS, has_point, require_aggregates, require_columns, require_positive
-from .rowindex import HOT_ROWS, has_hot_key, with_row_index
+from .rowindex import HOT_ROWS
+from .chunks import CHUNK, CHUNK_ROWS, OWN, cut_identifiers
 from .rolling_kernel import rolling_piece
 
 # A sliding frame costs its length per row in the JVM; from here on the
 # incremental pandas kernel is cheaper.
 LONG_WINDOW = 512
 
-# Rows of one chunk when an identifier is cut into pieces.
-CHUNK_ROWS = 500_000
-
 
 def _middle(values: Column) -> Column:
     """Median of an already sorted array; null for an empty one."""
@@ -41,47 +39,18 @@ def _over_frame(df: DataFrame, window, value_col: str, min_periods: int, aggs: t
     return df.withColumns(frame).withColumns(results).drop(*frame)
 
 
-def _chunked(
-    points: DataFrame,
-    window_size: int,
-    min_periods: int,
-    aggs: tuple[str, ...],
-    id_col: str,
-    value_col: str,
-    order: list[str],
-    chunk_rows: int,
+def _by_kernel(
+    df: DataFrame, keys: list[str], order: list[str], window_size: int, value_col: str, min_periods: int, aggs
 ) -> DataFrame:
-    """Cut the sorted rows into equal chunks, however they spread over identifiers.
-
-    The last ``window_size - 1`` rows of a chunk are copied to the front of the
-    next one, so each frame is whole inside its chunk; the copies give no
-    result rows.
-    """
-    chunk_rows = max(chunk_rows, window_size)
-    at = F.col("__sf_at")
-    chunk = F.floor(at / F.lit(chunk_rows))
-    tail = at % chunk_rows >= chunk_rows - (window_size - 1)
-    homes = F.when(tail, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
-    pieces = with_row_index(points, id_col, *order, name="__sf_at").withColumn("__sf_chunk", F.explode(homes))
-    own = chunk == F.col("__sf_chunk")
-    if window_size <= LONG_WINDOW:
-        window = (
-            Window.partitionBy("__sf_chunk", id_col).orderBy("__sf_at").rowsBetween(-(window_size - 1), 0)
-        )
-        done = _over_frame(pieces, window, value_col, min_periods, aggs).where(own)
-        return done.drop("__sf_at", "__sf_chunk")
-
-    schema = T.StructType(
-        pieces.schema.fields
-        + [T.StructField(f"rolling_{agg}", T.DoubleType()) for agg in AGGREGATES if agg in aggs]
-    )
+    """The same over groups of bounded size, in time that does not grow with the window."""
+    results = [f"rolling_{agg}" for agg in AGGREGATES if agg in aggs]
+    schema = T.StructType(df.schema.fields + [T.StructField(name, T.DoubleType()) for name in results])
 
     def run(piece: pa.Table) -> pa.Table:
-        return rolling_piece(piece, "__sf_at", id_col, value_col, window_size, min_periods, aggs)
+        return rolling_piece(piece, order, value_col, window_size, min_periods, aggs)
 
-    done = pieces.groupBy("__sf_chunk").applyInArrow(run, schema).where(own)
-    rounded = {f"rolling_{agg}": F.round(f"rolling_{agg}", ROUND_DECIMALS) for agg in aggs}
-    return done.withColumns(rounded).drop("__sf_at", "__sf_chunk")
+    done = df.groupBy(*keys).applyInArrow(run, schema)
+    return done.withColumns({name: F.round(name, ROUND_DECIMALS) for name in results})
 
 
 def rolling(
@@ -103,9 +72,10 @@ def rolling(
     that has an identifier and a time; a result is null while the frame holds
     fewer than ``min_periods`` non-null values, and is rounded to 6 decimals.
 
-    One shuffle on the identifier as long as no identifier has more than
-    ``hot_rows`` rows and the window is short; otherwise the rows are cut into
-    chunks of ``chunk_rows`` (eager: the sorted rows are written once).
+    One shuffle, by identifier. An identifier with more than ``hot_rows`` rows is
+    cut into chunks of about ``chunk_rows`` that overlap by one window, and the
+    shuffle is by chunk; finding out takes one eager row count, in a table
+    larger than ``hot_rows`` also counts per identifier.
 
     Returns ``(identifier, ts, seq?, value, rolling_mean?, rolling_median?)``.
     """
@@ -120,7 +90,11 @@ def rolling(
     points = df.where(has_point(id_col, ts_col)).select(
         id_col, *order, F.col(value_col).cast("double").alias(value_col)
     )
-    if window_size > LONG_WINDOW or has_hot_key(points, id_col, limit=hot_rows):
-        return _chunked(points, window_size, min_periods, aggs, id_col, value_col, order, chunk_rows)
-    window = Window.partitionBy(id_col).orderBy(*order).rowsBetween(-(window_size - 1), 0)
-    return _over_frame(points, window, value_col, min_periods, aggs)
+    chunks = cut_identifiers(points, id_col, order, window_size - 1, hot_rows, chunk_rows)
+    rows, keys = (points, [id_col]) if chunks is None else (chunks, [id_col, CHUNK])
+    if window_size > LONG_WINDOW:
+        done = _by_kernel(rows, keys, order, window_size, value_col, min_periods, aggs)
+    else:
+        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(window_size - 1), 0)
+        done = _over_frame(rows, window, value_col, min_periods, aggs)
+    return done if chunks is None else done.where(OWN).drop(CHUNK, OWN)

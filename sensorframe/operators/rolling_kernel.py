@@ -5,30 +5,27 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def rolling_piece(
-    table: pa.Table, order_col: str, id_col: str, value_col: str, window_size: int, min_periods: int, aggs
+    table: pa.Table, order: list[str], value_col: str, window_size: int, min_periods: int, aggs
 ) -> pa.Table:
-    """Append ``rolling_mean`` / ``rolling_median`` to the rows of one piece.
+    """Append ``rolling_mean`` / ``rolling_median`` to the rows of one piece of one identifier.
 
     pandas skips NaN and infinities inside rolling windows, Spark does not. So
     the mean sums the finite values only and the others are counted per frame
     and put back; the median then runs on value ranks. Nulls are told from NaN
     by the Arrow validity mask.
     """
-    table = table.sort_by(order_col)
+    keys = [(name, "ascending") for name in order]
+    table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
     column = table[value_col].combine_chunks()
     null = column.is_null().to_numpy(zero_copy_only=False)
     values = column.fill_null(0.0).to_numpy(zero_copy_only=False)
-    ids = table[id_col].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    single = len(ids) == 0 or (ids[0] == ids).all()
 
     def per_frame(series: np.ndarray, how) -> np.ndarray:
-        if single:
-            return how(pd.Series(series).rolling(window_size, min_periods=1)).to_numpy()
-        grouped = pd.Series(series).groupby(ids, sort=False).rolling(window_size, min_periods=1)
-        return how(grouped).droplevel(0).sort_index().to_numpy()
+        return how(pd.Series(series).rolling(window_size, min_periods=1)).to_numpy()
 
     def frame_has(flags: np.ndarray) -> np.ndarray:
         if not flags.any():

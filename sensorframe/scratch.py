@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_pinned: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -43,4 +44,14 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    _pinned.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_pinned(spark: SparkSession) -> int:
+    """Delete the tables this process has pinned; frames built on them end with them."""
+    released = 0
+    while _pinned:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_pinned.pop())
+        released += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return released

@@ -62,8 +62,8 @@ def rolling_stream(
             fresh = pa.array(done["v"].to_numpy(), mask=done["missing"].to_numpy())
             history = pa.array(values, pa.float64())
             series = pa.concat_arrays([history, fresh])
-            piece = pa.table({"at": range(len(series)), "id": [0] * len(series), "v": series})
-            piece = rolling_piece(piece, "at", "id", "v", window_size, min_periods, aggs)
+            piece = pa.table({"at": range(len(series)), "v": series})
+            piece = rolling_piece(piece, ["at"], "v", window_size, min_periods, aggs)
             for name in results:
                 done[name] = piece[name].slice(len(history)).to_numpy()
             tail = series.slice(max(0, len(series) - keep)) if keep else series.slice(0, 0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import sensorframe as sf
 
 rolling_module = importlib.import_module("sensorframe.operators.rolling")
+chunks_module = importlib.import_module("sensorframe.operators.chunks")
 
 SCHEMA = "identifier bigint, ts timestamp_ntz, value double, seq bigint"
 START = datetime(2024, 1, 1)
@@ -62,11 +63,63 @@ def test_against_brute_force(spark, size, least):
     check(sf.rolling(frame(spark, points), size, least, BOTH), expected(points, size, least))
 
 
+@pytest.fixture
+def cuts(monkeypatch):
+    """Records how identifiers were cut."""
+    seen = []
+    for name in ("_by_time", "_by_position"):
+        original = getattr(chunks_module, name)
+
+        def spy(*args, name=name, original=original):
+            seen.append(name)
+            return original(*args)
+
+        monkeypatch.setattr(chunks_module, name, spy)
+    return seen
+
+
+# an identifier with crowded times goes by position, the others by time
 @pytest.mark.parametrize("size, chunk", [(1, 10), (5, 7), (30, 16), (30, 100), (200, 10)])
-def test_cutting_a_large_identifier_changes_nothing(spark, size, chunk):
-    points = random_points(size + chunk)
+def test_cutting_by_position_changes_nothing(spark, cuts, size, chunk):
+    points = random_points(size + chunk) + [(7, 5, n / 4) for n in range(500)]
     split = sf.rolling(frame(spark, points), size, 1, BOTH, hot_rows=20, chunk_rows=chunk)
     check(split, expected(points, size, 1))
+    assert cuts == ["_by_time", "_by_position"]
+
+
+def spread_points(seed, count=1500):
+    rng = random.Random(seed)
+    return [
+        # a steady identifier, a bursty one, one with a long pause, and small ones
+        *[(1, n + rng.random(), rng.randint(0, 400) / 8) for n in range(count)],
+        *[(2, n**1.3 / 9, rng.choice([None, n / 8])) for n in range(count)],
+        *[(3, n + 2 * count * (n > count // 3), n / 8) for n in range(count)],
+        *[(10 + n % 9, rng.uniform(0, 99), n / 8) for n in range(60)],
+    ]
+
+
+@pytest.mark.parametrize("size, chunk", [(1, 100), (5, 100), (30, 200), (90, 200), (300, 50)])
+def test_cutting_by_time_changes_nothing(spark, cuts, size, chunk):
+    points = spread_points(size)
+    split = sf.rolling(frame(spark, points), size, 1, BOTH, hot_rows=200, chunk_rows=chunk)
+    check(split, expected(points, size, 1))
+    assert cuts == ["_by_time"]
+
+
+def test_chunks_are_of_the_asked_size(spark):
+    df = frame(spark, spread_points(0))
+    cut = chunks_module.cut_identifiers(df, "identifier", ["ts", "seq"], 29, 200, 100)
+    sizes = cut.groupBy("identifier", chunks_module.CHUNK).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 100 + 50 + 29 + 50
+    assert cut.where(chunks_module.OWN).count() == df.count()
+    assert chunks_module.cut_identifiers(df, "identifier", ["ts", "seq"], 29, 1500, 100) is None
+
+
+@pytest.mark.parametrize("points", [spread_points(1), random_points(1) + [(7, 5, 0.25)] * 300])
+def test_long_window_over_chunks(spark, monkeypatch, points):
+    monkeypatch.setattr(rolling_module, "LONG_WINDOW", 10)
+    split = sf.rolling(frame(spark, points), 40, 3, BOTH, hot_rows=100, chunk_rows=100)
+    check(split, expected(points, 40, 3))
 
 
 @pytest.mark.parametrize("size, least", [(1, 1), (4, 2), (30, 30), (90, 5)])
