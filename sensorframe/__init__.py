@@ -1,5 +1,9 @@
 """Sensor-log analytics on PySpark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from .functions import (
     epoch_ms,
     epoch_us,
@@ -19,6 +23,10 @@ from .sources import __all__ as _sources
 from .streaming import *  # noqa: F403
 from .streaming import __all__ as _streaming
 
+# The few batch functions that run in Python workers travel with the job, so
+# executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "SeriesSpec",
     "epoch_ms",

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..schema import AGGREGATES, ROUND_DECIMALS, has_point, require_aggregates, require_columns, require_positive
 from .rowindex import HOT_ROWS
 from .chunks import CHUNK, CHUNK_ROWS, OWN, cut_identifiers
-from .rolling_kernel import rolling_piece
+from .rolling_kernel import rolling_batches
 
-# A sliding frame costs its length per row in the JVM; from here on the
-# incremental pandas kernel is cheaper.
-LONG_WINDOW = 512
+# A sliding frame in the JVM costs its length per row (and a sort per row for the
+# median); the incremental kernel costs the same for any length. Longest frames
+# for which the JVM was measured to be as fast:
+JVM_MEAN_ROWS = 64
+JVM_MEDIAN_ROWS = 8
 
 
 def _middle(values: Column) -> Column:
@@ -42,14 +46,14 @@ def _over_frame(df: DataFrame, window, value_col: str, min_periods: int, aggs: t
 def _by_kernel(
     df: DataFrame, keys: list[str], order: list[str], window_size: int, value_col: str, min_periods: int, aggs
 ) -> DataFrame:
-    """The same over groups of bounded size, in time that does not grow with the window."""
+    """The same with the incremental kernel, over each task's rows in sorted order."""
     results = [f"rolling_{agg}" for agg in AGGREGATES if agg in aggs]
     schema = T.StructType(df.schema.fields + [T.StructField(name, T.DoubleType()) for name in results])
 
-    def run(piece: pa.Table) -> pa.Table:
-        return rolling_piece(piece, order, value_col, window_size, min_periods, aggs)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return rolling_batches(batches, keys, value_col, window_size, min_periods, aggs)
 
-    done = df.groupBy(*keys).applyInArrow(run, schema)
+    done = df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
     return done.withColumns({name: F.round(name, ROUND_DECIMALS) for name in results})
 
 
@@ -92,7 +96,7 @@ def rolling(
     )
     chunks = cut_identifiers(points, id_col, order, window_size - 1, hot_rows, chunk_rows)
     rows, keys = (points, [id_col]) if chunks is None else (chunks, [id_col, CHUNK])
-    if window_size > LONG_WINDOW:
+    if window_size > (JVM_MEDIAN_ROWS if "median" in aggs else JVM_MEAN_ROWS):
         done = _by_kernel(rows, keys, order, window_size, value_col, min_periods, aggs)
     else:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(window_size - 1), 0)

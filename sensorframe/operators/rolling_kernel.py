@@ -1,68 +1,130 @@
-"""Rolling statistics of one bounded piece of a series, as an Arrow batch function."""
+"""Rolling statistics over sorted Arrow batches, for use inside tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.api.indexers import BaseIndexer
+
+
+class _Frames(BaseIndexer):
+    """Frames given by their first row and the row after their last."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.first, self.after
 
 
-def rolling_piece(
-    table: pa.Table, order: list[str], value_col: str, window_size: int, min_periods: int, aggs
-) -> pa.Table:
-    """Append ``rolling_mean`` / ``rolling_median`` to the rows of one piece of one identifier.
+def rolling_columns(
+    values: pa.Array, group_start: np.ndarray, window_size: int, min_periods: int, aggs
+) -> dict[str, pa.Array]:
+    """``rolling_mean`` / ``rolling_median`` of rows in order; frames stay inside their group.
 
+    ``group_start`` is the position of the first row of each row's group.
     pandas skips NaN and infinities inside rolling windows, Spark does not. So
     the mean sums the finite values only and the others are counted per frame
     and put back; the median then runs on value ranks. Nulls are told from NaN
     by the Arrow validity mask.
     """
-    keys = [(name, "ascending") for name in order]
-    table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
-    column = table[value_col].combine_chunks()
-    null = column.is_null().to_numpy(zero_copy_only=False)
-    values = column.fill_null(0.0).to_numpy(zero_copy_only=False)
+    null = values.is_null().to_numpy(zero_copy_only=False)
+    numbers = values.fill_null(0.0).to_numpy(zero_copy_only=False)
+    here = np.arange(len(numbers), dtype="int64")
+    first = np.maximum(here - (window_size - 1), group_start)
+    frames = _Frames(first=first, after=here + 1)
 
-    def per_frame(series: np.ndarray, how) -> np.ndarray:
-        return how(pd.Series(series).rolling(window_size, min_periods=1)).to_numpy()
+    def over(series: np.ndarray):
+        return pd.Series(series).rolling(frames, min_periods=1)
 
-    def frame_has(flags: np.ndarray) -> np.ndarray:
-        if not flags.any():
-            return flags
-        return per_frame(flags.astype("float64"), lambda r: r.max()) > 0
-
-    filled = per_frame((~null).astype("float64"), lambda r: r.sum())
-    short = filled < min_periods
+    def in_frame(flags: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(flags)])
+        return total[here + 1] - total[first]
 
+    short = in_frame(~null) < min_periods
+    finite = bool(np.isfinite(numbers).all())
+    columns = {}
     if "mean" in aggs:
-        mean = per_frame(np.where(null | ~np.isfinite(values), np.nan, values), lambda r: r.mean())
-        plus = frame_has(~null & (values == np.inf))
-        minus = frame_has(~null & (values == -np.inf))
-        mean = np.where(plus, np.inf, np.where(minus, -np.inf, mean))
-        mean = np.where((plus & minus) | frame_has(~null & np.isnan(values)), np.nan, mean)
-        table = table.append_column("rolling_mean", pa.array(mean, mask=short))
+        mean = over(np.where(null | ~np.isfinite(numbers), np.nan, numbers)).mean().to_numpy()
+        if not finite:
+            plus = in_frame(~null & (numbers == np.inf)) > 0
+            minus = in_frame(~null & (numbers == -np.inf)) > 0
+            nan = in_frame(~null & np.isnan(numbers)) > 0
+            mean = np.where(plus, np.inf, np.where(minus, -np.inf, mean))
+            mean = np.where((plus & minus) | nan, np.nan, mean)
+        columns["rolling_mean"] = pa.array(mean, pa.float64(), mask=short)
     if "median" in aggs:
-        if np.isfinite(values).all():
-            median = per_frame(np.where(null, np.nan, values), lambda r: r.median())
+        if finite:
+            median = over(np.where(null, np.nan, numbers)).median().to_numpy()
         else:
-            median = _median_by_rank(values, null, per_frame)
-        table = table.append_column("rolling_median", pa.array(median, mask=short))
-    return table
+            median = _median_by_rank(numbers, null, over)
+        columns["rolling_median"] = pa.array(median, pa.float64(), mask=short)
+    return columns
 
 
-def _median_by_rank(values: np.ndarray, null: np.ndarray, per_frame) -> np.ndarray:
+def _median_by_rank(numbers: np.ndarray, null: np.ndarray, over) -> np.ndarray:
     """Rolling median over the ranks of the values: finite, and NaN ranks last."""
-    distinct, rank_of = np.unique(values[~null], return_inverse=True)
-    ranks = np.full(len(values), np.nan)
+    distinct, rank_of = np.unique(numbers[~null], return_inverse=True)
+    ranks = np.full(len(numbers), np.nan)
     ranks[~null] = rank_of
     sides = []
     for side in ("lower", "higher"):
-        rank = per_frame(ranks, lambda r, side=side: r.quantile(0.5, interpolation=side))
-        picked = np.full(len(values), np.nan)
+        rank = over(ranks).quantile(0.5, interpolation=side).to_numpy()
+        picked = np.full(len(numbers), np.nan)
         known = ~np.isnan(rank)
         picked[known] = distinct[np.rint(rank[known]).astype("int64")]
         sides.append(picked)
     low, high = sides
     with np.errstate(invalid="ignore"):
         return np.where(low == high, low, (low + high) / 2)
+
+
+def _group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    changed = np.zeros(len(table), dtype=bool)
+    for name in keys:
+        column = table[name].combine_chunks()
+        differs = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
+        changed[1:] |= differs.to_numpy(zero_copy_only=False)
+    return np.maximum.accumulate(np.where(changed, np.arange(len(table)), 0))
+
+
+def rolling_batches(
+    batches: Iterable[pa.RecordBatch],
+    keys: list[str],
+    value_col: str,
+    window_size: int,
+    min_periods: int,
+    aggs,
+    step_rows: int = 100_000,
+) -> Iterator[pa.RecordBatch]:
+    """Extend a stream of rows sorted by ``keys`` and time with their rolling columns.
+
+    Only about ``step_rows`` rows and one window are held at a time, however
+    long a group is: the last ``window_size - 1`` rows go along to the next step.
+    """
+    step_rows = max(step_rows, 4 * window_size)
+    carried: pa.Table | None = None
+    waiting: list[pa.RecordBatch] = []
+
+    def advance() -> list[pa.RecordBatch]:
+        nonlocal carried
+        fresh = pa.Table.from_batches(waiting)
+        waiting.clear()
+        table = fresh if carried is None else pa.concat_tables([carried, fresh])
+        starts = _group_starts(table, keys)
+        values = table[value_col].combine_chunks()
+        done = rolling_columns(values, starts, window_size, min_periods, aggs)
+        known = len(table) - len(fresh)
+        carried = table.slice(max(len(table) - (window_size - 1), int(starts[-1])))
+        for name, column in done.items():
+            fresh = fresh.append_column(name, column.slice(known))
+        return fresh.to_batches()
+
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+        if sum(b.num_rows for b in waiting) >= step_rows:
+            yield from advance()
+    if waiting:
+        yield from advance()

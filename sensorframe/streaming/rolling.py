@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.time import epoch_us, from_epoch
-from ..operators.rolling_kernel import rolling_piece
+from ..operators.rolling_kernel import rolling_columns
 from ..schema import (
     AGGREGATES,
     ROUND_DECIMALS,
@@ -62,10 +63,10 @@ def rolling_stream(
             fresh = pa.array(done["v"].to_numpy(), mask=done["missing"].to_numpy())
             history = pa.array(values, pa.float64())
             series = pa.concat_arrays([history, fresh])
-            piece = pa.table({"at": range(len(series)), "v": series})
-            piece = rolling_piece(piece, ["at"], "v", window_size, min_periods, aggs)
+            together = np.zeros(len(series), dtype="int64")
+            columns = rolling_columns(series, together, window_size, min_periods, aggs)
             for name in results:
-                done[name] = piece[name].slice(len(history)).to_numpy()
+                done[name] = columns[name].slice(len(history)).to_numpy(zero_copy_only=False)
             tail = series.slice(max(0, len(series) - keep)) if keep else series.slice(0, 0)
             state.update((tail.to_pylist(), int(done["us"].iloc[-1]), int(done["seq"].iloc[-1])))
         done["late"] = False

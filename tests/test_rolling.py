@@ -3,11 +3,13 @@ import random
 import statistics
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
-from conftest import cell, rows
+from conftest import rows
 from pyspark.sql import functions as F
 
 import sensorframe as sf
+from sensorframe.operators.rolling_kernel import rolling_batches
 
 rolling_module = importlib.import_module("sensorframe.operators.rolling")
 chunks_module = importlib.import_module("sensorframe.operators.chunks")
@@ -57,8 +59,22 @@ def check(df, wanted):
 BOTH = ("mean", "median")
 
 
+@pytest.fixture
+def engine(monkeypatch):
+    """Force the frames of the JVM or the kernel, whatever the window."""
+
+    def choose(name):
+        longest = 10**9 if name == "jvm" else 0
+        monkeypatch.setattr(rolling_module, "JVM_MEAN_ROWS", longest)
+        monkeypatch.setattr(rolling_module, "JVM_MEDIAN_ROWS", longest)
+
+    return choose
+
+
+@pytest.mark.parametrize("name", ["jvm", "kernel"])
 @pytest.mark.parametrize("size, least", [(1, 1), (2, 2), (5, 1), (30, 1), (30, 30), (1000, 3)])
-def test_against_brute_force(spark, size, least):
+def test_against_brute_force(spark, engine, name, size, least):
+    engine(name)
     points = random_points(size)
     check(sf.rolling(frame(spark, points), size, least, BOTH), expected(points, size, least))
 
@@ -80,7 +96,8 @@ def cuts(monkeypatch):
 
 # an identifier with crowded times goes by position, the others by time
 @pytest.mark.parametrize("size, chunk", [(1, 10), (5, 7), (30, 16), (30, 100), (200, 10)])
-def test_cutting_by_position_changes_nothing(spark, cuts, size, chunk):
+def test_cutting_by_position_changes_nothing(spark, cuts, engine, size, chunk):
+    engine("jvm")
     points = random_points(size + chunk) + [(7, 5, n / 4) for n in range(500)]
     split = sf.rolling(frame(spark, points), size, 1, BOTH, hot_rows=20, chunk_rows=chunk)
     check(split, expected(points, size, 1))
@@ -99,7 +116,8 @@ def spread_points(seed, count=1500):
 
 
 @pytest.mark.parametrize("size, chunk", [(1, 100), (5, 100), (30, 200), (90, 200), (300, 50)])
-def test_cutting_by_time_changes_nothing(spark, cuts, size, chunk):
+def test_cutting_by_time_changes_nothing(spark, cuts, engine, size, chunk):
+    engine("jvm")
     points = spread_points(size)
     split = sf.rolling(frame(spark, points), size, 1, BOTH, hot_rows=200, chunk_rows=chunk)
     check(split, expected(points, size, 1))
@@ -116,28 +134,37 @@ def test_chunks_are_of_the_asked_size(spark):
 
 
 @pytest.mark.parametrize("points", [spread_points(1), random_points(1) + [(7, 5, 0.25)] * 300])
-def test_long_window_over_chunks(spark, monkeypatch, points):
-    monkeypatch.setattr(rolling_module, "LONG_WINDOW", 10)
+def test_kernel_over_chunks(spark, engine, points):
+    engine("kernel")
     split = sf.rolling(frame(spark, points), 40, 3, BOTH, hot_rows=100, chunk_rows=100)
     check(split, expected(points, 40, 3))
 
 
-@pytest.mark.parametrize("size, least", [(1, 1), (4, 2), (30, 30), (90, 5)])
-def test_long_window_kernel(spark, monkeypatch, size, least):
-    monkeypatch.setattr(rolling_module, "LONG_WINDOW", 0)
-    points = random_points(size)
-    done = sf.rolling(frame(spark, points), size, least, BOTH, chunk_rows=64)
-    check(done, expected(points, size, least))
+def test_kernel_carries_rows_between_steps():
+    rng = random.Random(8)
+    ids = sorted(rng.choice([1, 1, 1, 2, 3, 4]) for _ in range(3000))
+    values = [rng.choice([None, rng.randint(0, 80) / 8]) for _ in ids]
+    table = pa.table({"id": ids, "v": pa.array(values, pa.float64())})
+    for size, least, batch in ((1, 1, 7), (5, 2, 3), (40, 3, 11), (500, 1, 100)):
+        steps = rolling_batches(table.to_batches(batch), ["id"], "v", size, least, BOTH, step_rows=20)
+        got = pa.Table.from_batches(steps).to_pydict()
+        wanted = expected([(i, n, v) for n, (i, v) in enumerate(zip(ids, values))], size, least)
+        assert got["id"] == ids
+        for n in range(len(ids)):
+            assert (got["rolling_mean"][n], got["rolling_median"][n]) == tuple(
+                pytest.approx(x) for x in wanted[n]
+            )
 
 
-def test_kernel_treats_odd_numbers_like_spark(spark, monkeypatch):
+def test_kernel_treats_odd_numbers_like_spark(spark, engine):
     odd = [float("nan"), float("inf"), float("-inf"), None, 1.0, 2.5, -0.0]
     rng = random.Random(3)
     points = [(1, n, rng.choice(odd + [float(n)] * 6)) for n in range(300)]
     df = frame(spark, points)
-    plain = sf.rolling(df, 4, 2, BOTH)
-    monkeypatch.setattr(rolling_module, "LONG_WINDOW", 0)
-    assert rows(plain) == rows(sf.rolling(df, 4, 2, BOTH, chunk_rows=50))
+    engine("jvm")
+    plain = rows(sf.rolling(df, 4, 2, BOTH))
+    engine("kernel")
+    assert plain == rows(sf.rolling(df, 4, 2, BOTH))
 
 
 def test_one_aggregate_only(spark):
