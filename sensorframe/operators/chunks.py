@@ -75,17 +75,16 @@ def _by_position(
 
 
 def cut_identifiers(
-    points: DataFrame, id_col: str, order: list[str], overlap: int, hot_rows: int, chunk_rows: int
+    points: DataFrame, id_col: str, order: list[str], overlap: int, total: int, hot_rows: int, chunk_rows: int
 ) -> DataFrame | None:
     """Add chunk number ``CHUNK`` and ``OWN`` to the rows, or ``None`` if no identifier has more
     than ``hot_rows`` rows.
 
     Inside ``(identifier, chunk)`` every own row is preceded by at least
     ``overlap`` of its predecessors, as far as they exist; the copies that
-    provide them have ``OWN = false``. Eager: it counts rows, and more than that
-    only in a table larger than ``hot_rows``.
+    provide them have ``OWN = false``. ``total`` is the number of rows or a bound
+    above it; only if it exceeds ``hot_rows`` are rows counted per identifier, at once.
     """
-    total = points.count()
     if total <= hot_rows:
         return None
     us = epoch_us(order[0], utc_session(points.sparkSession))

@@ -150,9 +150,11 @@ def _medians_of_hot(blocked: DataFrame, windows: _Windows, aggs: tuple[str, ...]
     )
 
 
-def _with_median(points: DataFrame, windows: _Windows, aggs: tuple[str, ...], hot_rows: int) -> DataFrame:
+def _with_median(
+    points: DataFrame, windows: _Windows, aggs: tuple[str, ...], total: int, hot_rows: int
+) -> DataFrame:
     blocked = windows.blocks(points)
-    if points.count() <= hot_rows:
+    if total <= hot_rows:
         return _medians(blocked, windows, aggs)
     keys = ["id", "block"]
     sizes = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
@@ -205,7 +207,7 @@ def resample(
         F.col(id_col).alias("id"), epoch_us(ts_col, utc).alias("us"), F.col(value_col).cast("double").alias("v")
     )
     if "median" in aggs:
-        results = _with_median(points, windows, aggs, hot_rows)
+        results = _with_median(points, windows, aggs, df.count(), hot_rows)
     else:
         results = _means(points, windows)
     if leading == "drop" and windows.count > 1:

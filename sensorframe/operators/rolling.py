@@ -94,7 +94,7 @@ def rolling(
     points = df.where(has_point(id_col, ts_col)).select(
         id_col, *order, F.col(value_col).cast("double").alias(value_col)
     )
-    chunks = cut_identifiers(points, id_col, order, window_size - 1, hot_rows, chunk_rows)
+    chunks = cut_identifiers(points, id_col, order, window_size - 1, df.count(), hot_rows, chunk_rows)
     rows, keys = (points, [id_col]) if chunks is None else (chunks, [id_col, CHUNK])
     if window_size > (JVM_MEDIAN_ROWS if "median" in aggs else JVM_MEAN_ROWS):
         done = _by_kernel(rows, keys, order, window_size, value_col, min_periods, aggs)

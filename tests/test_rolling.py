@@ -126,11 +126,11 @@ def test_cutting_by_time_changes_nothing(spark, cuts, engine, size, chunk):
 
 def test_chunks_are_of_the_asked_size(spark):
     df = frame(spark, spread_points(0))
-    cut = chunks_module.cut_identifiers(df, "identifier", ["ts", "seq"], 29, 200, 100)
+    cut = chunks_module.cut_identifiers(df, "identifier", ["ts", "seq"], 29, 4560, 200, 100)
     sizes = cut.groupBy("identifier", chunks_module.CHUNK).count()
     assert sizes.agg(F.max("count")).first()[0] <= 100 + 50 + 29 + 50
     assert cut.where(chunks_module.OWN).count() == df.count()
-    assert chunks_module.cut_identifiers(df, "identifier", ["ts", "seq"], 29, 1500, 100) is None
+    assert chunks_module.cut_identifiers(df, "identifier", ["ts", "seq"], 29, 4560, 1500, 100) is None
 
 
 @pytest.mark.parametrize("points", [spread_points(1), random_points(1) + [(7, 5, 0.25)] * 300])
