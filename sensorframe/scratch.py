@@ -9,30 +9,19 @@ real size of the table.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dir: str | None = None
 _pinned: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    A temporary folder stands in for it only on a ``local`` master, where the
-    machine is the whole cluster.
-    """
-    global _local_dir
+    """The folder that ``spark.checkpoint.dir`` or ``SparkContext.setCheckpointDir`` names; all executors must share it."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="sensorframe-")
-    return _local_dir
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

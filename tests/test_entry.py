@@ -13,8 +13,9 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from check_oracles import rows_of  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+LLM = {*(entry.llm.queries() if entry.llm else ()), "pipeline"}
+QUERIES = {name: query for name, query in entry.queries().items() if name not in LLM}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name not in LLM}
 
 
 @pytest.fixture(scope="module")
