@@ -6,16 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def hex_id(column, data_type: T.DataType | None = None) -> Column:
-    """Lower hex without prefix.
+    """Lower hex without prefix, of any whole number up to 64 bits; negative ones as two's complement.
 
-    Pass ``data_type`` (``df.schema[name].dataType``) for unsigned 64-bit
-    columns, which Spark reads as DECIMAL(20,0): ``hex`` overflows on them
-    above 2^63, ``conv`` does not.
+    Unsigned 64-bit columns are DECIMAL(20,0) in Spark, on which ``hex`` overflows above 2^63. ``data_type``
+    (``df.schema[name].dataType``) of a signed column takes the shorter way.
     """
     value = F.col(column) if isinstance(column, str) else column
-    if isinstance(data_type, T.DecimalType):
-        return F.lower(F.conv(value.cast("string"), 10, 16))
-    return F.lower(F.hex(value.cast("bigint")))
+    if isinstance(data_type, T.IntegralType):
+        return F.lower(F.hex(value.cast("bigint")))
+    return F.lower(F.conv(value.cast("string"), 10, 16))
 
 
 def identifier_range_label(df: DataFrame, id_col: str = "identifier", name: str = "label") -> DataFrame:

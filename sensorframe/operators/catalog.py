@@ -50,10 +50,13 @@ def catalog(readings: DataFrame) -> DataFrame:
 
 def merge_profile(profiles: DataFrame, files=None) -> DataFrame:
     """One row for the union of the chosen logs of a ``catalog``: the widest time range (whole
-    seconds), all rows, and the name of the last log in catalog order. No file name."""
+    seconds), all rows, and the name of the last log in catalog order. No file name.
+
+    ``ValueError`` if nothing is chosen, by an empty list or frame or by names that no log has.
+    """
     require_columns(profiles, "position", "min_ts", "max_ts", "metric", "rows")
     chosen = select_logs(profiles, files)
-    if files is not None and not isinstance(files, DataFrame) and not list(files):
+    if files is not None and chosen.isEmpty():
         raise ValueError("nothing selected to merge")
     return chosen.agg(
         F.max_by("metric", "position").alias("metric"),
@@ -89,36 +92,46 @@ def _row_hash(columns: list[str]) -> Column:
     return F.xxhash64(*[part for name in columns for part in (F.col(name), F.col(name).isNull())])
 
 
-def fingerprint_logs(readings: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def fingerprint_logs(
+    readings: DataFrame, columns: list[str] | None = None, log_cols: tuple[str, ...] = tuple(LOG)
+) -> DataFrame:
     """Content fingerprint per log, from the multiset of its rows: equal logs get equal values
-    whatever the order in which Spark delivers their rows."""
-    columns = columns or [c for c in ("identifier", "ts", "value", "seq") if c in readings.columns]
-    require_columns(readings, *LOG, *columns)
+    whatever the order in which Spark delivers their rows.
+
+    Every cell counts, whatever its column, but for the columns that name the log. ``log_cols`` says what a log is:
+    on ``read_raw_logs`` it is ``("_path", "_file")``.
+    """
+    log_cols = list(log_cols)
+    columns = columns or [c for c in readings.columns if c not in log_cols]
+    require_columns(readings, *log_cols, *columns)
     # Sums of 16-bit quarters stay exact up to 10^14 rows in one log.
     quarters = [F.sum(F.shiftrightunsigned("h", bits).bitwiseAND(F.lit(0xFFFF))) for bits in (48, 32, 16, 0)]
     summary = [F.count(F.lit(1)), *quarters, F.bit_xor("h")]
     return (
-        readings.select(*LOG, _row_hash(columns).alias("h"))
-        .groupBy(*LOG)
+        readings.select(*log_cols, _row_hash(columns).alias("h"))
+        .groupBy(*log_cols)
         .agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", *map(F.hex, summary)).alias("fingerprint"))
     )
 
 
-def dedup_logs(readings: DataFrame, by_name: bool = True) -> DataFrame:
+def dedup_logs(
+    readings: DataFrame, by_name: bool = True, *, log_cols: tuple[str, ...] = tuple(LOG), name_col: str = "file"
+) -> DataFrame:
     """Keep one of several equal logs (the first path).
 
-    Equal means same metric, same rows and, with ``by_name``, same file name.
-    The fingerprints, one row per log, are written first: their size on disk
-    then decides between a broadcast and a shuffle.
+    Equal means equal in every cell, of one metric where there is such a column, and, with ``by_name``, of one file
+    name. The first of ``log_cols`` is the path. The fingerprints, one row per log, are written first: their size on
+    disk then decides between a broadcast and a shuffle.
     """
-    names = ["file"] if by_name else []
-    prints = pin(fingerprint_logs(readings), "fingerprints")
-    kept = (
-        prints.groupBy(*names, "metric", "fingerprint")
-        .agg(F.min("path").alias("path"))
-        .select(F.col("path").alias("kept_path"), F.col("metric").alias("kept_metric"))
-    )
-    same = F.col("path").eqNullSafe(F.col("kept_path")) & F.col("metric").eqNullSafe(F.col("kept_metric"))
+    path, *_ = log_cols
+    more = [c for c in log_cols if c not in (path, name_col)]
+    prints = pin(fingerprint_logs(readings, log_cols=log_cols), "fingerprints")
+    groups = [*([name_col] if by_name else []), *more, "rows", "fingerprint"]
+    kept = prints.groupBy(*groups).agg(F.min(path).alias("__sf_path"))
+    kept = kept.select("__sf_path", *[F.col(c).alias(f"__sf_{c}") for c in more])
+    same = F.col(path).eqNullSafe(F.col("__sf_path"))
+    for c in more:
+        same &= F.col(c).eqNullSafe(F.col(f"__sf_{c}"))
     return readings.join(kept, same, "left_semi")
 
 

@@ -13,7 +13,6 @@ _PLAIN = (
     T.IntegerType,
     T.StringType,
     T.BooleanType,
-    T.NullType,
 )
 _FLOATS = (T.FloatType, T.DoubleType)
 _UNSIGNED_64 = T.DecimalType(20, 0)
@@ -31,6 +30,8 @@ def _cell(field: T.StructField, precision: int | None, tz: str | None) -> Column
         cell = column if precision is None else F.round(column, precision)
     elif isinstance(kind, _PLAIN):
         cell = column
+    elif isinstance(kind, T.NullType):
+        cell = column.cast("string")  # a column without a type is a column of blanks
     else:
         raise TypeError(f"column {field.name!r} of type {kind.simpleString()} cannot be exported")
     return cell.alias(field.name)
@@ -42,13 +43,14 @@ def export_view(df: DataFrame, precision: int | None = None, tz: str | None = No
 
 
 def write_export(df: DataFrame, path: str, fmt: str = "csv", **view) -> None:
-    """Write the export view as CSV with a header row (nulls blank) or as Parquet.
+    """Write the export view as CSV with a header row or as Parquet.
 
-    Sorted input stays sorted: each file holds one range, files follow in order.
+    CSV cells are quoted by doubling quotes (RFC 4180); a null is blank, an empty text is ``""``. Sorted input stays
+    sorted: each file holds one range, files follow in order.
     """
     cells = export_view(df, **view)
     if fmt == "csv":
-        cells.write.option("header", True).option("nullValue", "").csv(path)
+        cells.write.options(header=True, nullValue="", emptyValue='""', quote='"', escape='"').csv(path)
     elif fmt == "parquet":
         cells.write.parquet(path)
     else:

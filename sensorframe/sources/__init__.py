@@ -1,4 +1,4 @@
-from .logs import classify, metric_kinds, read_logs, to_readings
+from .logs import classify, metric_kinds, read_logs, read_raw_logs, to_readings
 from .messages import (
     decode_payloads,
     encode_payloads,
@@ -17,6 +17,7 @@ __all__ = [
     "message_stream",
     "metric_kinds",
     "read_logs",
+    "read_raw_logs",
     "route_topics",
     "sensors",
     "to_readings",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.time import instant_to_ntz
 from ..schema import require_columns
+from ..scratch import pin
 
 log = logging.getLogger(__name__)
 
@@ -79,6 +80,116 @@ def classify(readings: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     return joined.select(*readings.columns, F.coalesce("kind", F.lit("unknown")).alias("kind"))
 
 
+def _shapes(
+    spark: SparkSession, paths: list[str], on_error: str, check
+) -> list[tuple[T.StructType, list[str]]]:
+    """Logs by schema: ``(schema, paths)``, each file in one of them only.
+
+    The schema of a path is compared with what Spark merges from all its footers, in one job over its files; only a
+    path that mixes shapes is taken apart file by file. A file reached twice, by whatever spelling, is read once.
+    """
+
+    failures = (PySparkException, Py4JJavaError, ValueError)
+
+    def whole(path: str) -> tuple[T.StructType, str, list[str]]:
+        one = spark.read.option("mergeSchema", False).parquet(path)
+        check(one)
+        return one.schema, path, one.inputFiles()
+
+    def look(path: str) -> list | Exception:
+        """The shapes below a path; failures of single files are among them, or raised."""
+        try:
+            found = whole(path)
+            if len(found[2]) < 2 or spark.read.option("mergeSchema", True).parquet(path).schema == found[0]:
+                return [found]
+        except failures as reason:  # also where one column has two types
+            failure = reason
+        else:
+            failure = None
+        try:
+            files = spark.read.format("binaryFile").load(path).inputFiles()
+        except failures as reason:
+            return failure or reason
+        if len(files) < 2:
+            return failure
+        parts = []
+        for file in files:
+            try:
+                parts.append(whole(file))
+            except failures as reason:
+                if on_error == "raise":
+                    return reason
+                log.warning("skipped %s: %s", file, str(reason).splitlines()[0])
+        return parts
+
+    with ThreadPoolExecutor(16) as pool:
+        found = list(pool.map(look, paths))
+    shapes: dict[str, tuple[T.StructType, list[tuple[str, list[str]]]]] = {}
+    for path, parts in zip(paths, found):
+        if isinstance(parts, Exception):
+            if on_error == "raise":
+                raise parts
+            log.warning("skipped %s: %s", path, str(parts).splitlines()[0])
+            continue
+        for schema, part, files in parts:
+            shapes.setdefault(schema.json(), (schema, []))[1].append((part, files))
+    if not shapes:
+        raise ValueError("no readable log among the paths")
+    out = []
+    for schema, members in shapes.values():
+        files = [file for _, own in members for file in own]
+        distinct = list(dict.fromkeys(files))
+        out.append((schema, [part for part, _ in members] if len(distinct) == len(files) else distinct))
+    return out
+
+
+def _placed(spark: SparkSession, schema: T.StructType, members: list[str], on_error: str) -> DataFrame:
+    """All columns of the logs of one schema, with ``__sf_path``, ``__sf_file`` and ``__sf_seq``.
+
+    With ``on_error="skip"`` a file with damaged pages is left out as a whole: one pass reads all cells and compares the
+    rows that could be read with those the footers promise.
+    """
+    raw = spark.read.schema(schema).parquet(*members)
+    tolerant = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(*members)
+    placed = (tolerant if on_error == "skip" else raw).select(
+        "*",
+        F.col("_metadata.file_path").alias("__sf_path"),
+        F.col("_metadata.file_name").alias("__sf_file"),
+        F.col("_metadata.row_index").alias("__sf_seq"),
+    )
+    if on_error == "raise":
+        return placed
+    cells = F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns])
+    by_file = F.col("_metadata.file_path").alias("file")
+    read = tolerant.groupBy(by_file).agg(F.count("*").alias("read"), F.bit_xor(cells).alias("cells"))
+    promised = raw.groupBy(by_file).agg(F.count("*").alias("promised"))
+    # one row per damaged file
+    damaged = promised.join(read, "file", "left").where("read is null or read < promised or cells is null and read > 0")
+    damaged = pin(damaged.select(F.col("file").alias("__sf_damaged")), "damaged-files")
+    for row in damaged.limit(20).collect():
+        log.warning("skipped %s: damaged pages", row[0])
+    return placed.join(damaged, F.col("__sf_path") == F.col("__sf_damaged"), "left_anti")
+
+
+def _path_list(paths, on_error: str) -> list[str]:
+    if on_error not in ("raise", "skip"):
+        raise ValueError(f"on_error must be 'raise' or 'skip', got {on_error!r}")
+    return list(dict.fromkeys([paths] if isinstance(paths, str) else paths))
+
+
+def read_raw_logs(spark: SparkSession, paths, on_error: str = "raise") -> DataFrame:
+    """Read Parquet logs of one shape as they are: all columns, their names and types, and ``_path, _file, _seq``.
+
+    ``paths`` are files, folders or globs; logs of different shapes raise ``ValueError``, as a strict union does. See
+    ``read_logs`` for ``on_error``; ``_seq`` is the row's place in its file.
+    """
+    shapes = _shapes(spark, _path_list(paths, on_error), on_error, lambda df: None)
+    if len(shapes) > 1:
+        raise ValueError("logs of different shapes: " + "; ".join(schema.simpleString() for schema, _ in shapes))
+    placed = _placed(spark, *shapes[0], on_error)
+    return placed.withColumnsRenamed({"__sf_path": "_path", "__sf_file": "_file", "__sf_seq": "_seq"})
+
+
 def read_logs(
     spark: SparkSession,
     paths,
@@ -89,57 +200,29 @@ def read_logs(
 ) -> DataFrame:
     """Read Parquet logs into one readings table.
 
-    ``paths`` are files, folders or globs, each of one log shape. Paths with
-    equal schemas share one scan, so thousands of like logs make a single
-    source; a path given twice is read once. ``on_error="skip"`` leaves out
-    paths that are not a readable log and logs the reason. ``seq`` is the row's
+    ``paths`` are files, folders or globs. Files with equal schemas share one
+    scan, so thousands of like logs make a single source; a folder may mix log
+    shapes, and a file that several paths reach is read once. ``on_error="skip"``
+    leaves out what is not a readable log, damaged files as a whole (found by
+    one extra pass over all cells), and logs the reason. ``seq`` is the row's
     place in its file.
     """
-    if on_error not in ("raise", "skip"):
-        raise ValueError(f"on_error must be 'raise' or 'skip', got {on_error!r}")
-    paths = list(dict.fromkeys([paths] if isinstance(paths, str) else paths))
 
-    def schema_of(path: str) -> T.StructType | Exception:
-        try:
-            raw = spark.read.parquet(path)
-            to_readings(raw, id_col=id_col, ts_col=ts_col)
-            return raw.schema
-        except (PySparkException, Py4JJavaError, ValueError) as reason:
-            return reason
-
-    # a schema is one footer read by a short Spark job; ask for many at once
-    with ThreadPoolExecutor(16) as pool:
-        schemas = list(pool.map(schema_of, paths))
-    shapes: dict[str, tuple[T.StructType, list[str]]] = {}
-    for path, schema in zip(paths, schemas):
-        if not isinstance(schema, Exception):
-            shapes.setdefault(schema.json(), (schema, []))[1].append(path)
-        elif on_error == "raise":
-            raise schema
-        else:
-            log.warning("skipped %s: %s", path, str(schema).splitlines()[0])
-    if not shapes:
-        raise ValueError("no readable log among the paths")
+    def check(raw: DataFrame) -> None:
+        to_readings(raw, id_col=id_col, ts_col=ts_col)
 
     readings = []
-    for schema, members in shapes.values():
-        raw = spark.read.schema(schema).parquet(*members)
-        placed = raw.select(
-            "*",
-            F.col("_metadata.file_path").alias("__sf_path"),
-            F.col("_metadata.file_name").alias("__sf_file"),
-            F.col("_metadata.row_index").alias("__sf_seq"),
-        )
+    for schema, members in _shapes(spark, _path_list(paths, on_error), on_error, check):
         one = to_readings(
-            placed,
+            _placed(spark, schema, members, on_error),
             id_col=id_col,
             ts_col=ts_col,
-            value_col=raw.columns[-1],
+            value_col=schema.names[-1],
             seq_col="__sf_seq",
             file=F.col("__sf_file"),
             path=F.col("__sf_path"),
         )
-        readings.append(one.withColumn("width", F.lit(len(raw.columns))))
+        readings.append(one.withColumn("width", F.lit(len(schema))))
     if len({r.schema["identifier"].dataType for r in readings}) > 1:
         readings = [r.withColumn("identifier", F.col("identifier").cast("decimal(20,0)")) for r in readings]
     result = readings[0]

@@ -119,3 +119,19 @@ def test_classify(readings):
     got = dict(rows(sf.classify(readings).select("metric", "kind").distinct()))
     assert got == {"temperature": "temperature", "turbidity": "turbidity", "pressure": "unknown"}
     assert sf.classify(readings).count() == 15
+
+
+def test_nothing_to_merge(spark, readings):
+    profiles = sf.catalog(readings)
+    for chosen in (["no such log"], profiles.select("file").limit(0)):
+        with pytest.raises(ValueError):
+            sf.merge_profile(profiles, chosen)
+
+
+def test_logs_that_differ_in_any_column_are_not_equal(spark):
+    raw = spark.createDataFrame(
+        [("p1", "a", 1, 2.0, "x"), ("p2", "a", 1, 2.0, "x"), ("p3", "a", 1, 2.0, "y"), ("p4", "a", 1, 2.0, None)],
+        "_path string, _file string, Identifier bigint, Value double, Comment string",
+    )
+    kept = sf.dedup_logs(raw, log_cols=("_path", "_file"), name_col="_file")
+    assert rows(kept, "_path") == [("p1",), ("p3",), ("p4",)]

@@ -1,8 +1,10 @@
+import csv
 from datetime import datetime
 from decimal import Decimal
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 import sensorframe as sf
 
@@ -50,3 +52,16 @@ def test_parquet(table, spark, tmp_path):
     assert rows(spark.read.parquet(path)) == rows(sf.export_view(table))
     with pytest.raises(ValueError):
         sf.write_export(table, path, "xml")
+
+
+def test_csv_is_read_back_by_others(spark, tmp_path):
+    texts = ['{"k": 69}', 'say "hi", twice', "two\nlines", "", None, "back\\slash"]
+    table = spark.createDataFrame(list(enumerate(texts)), "n int, text string").withColumn("nothing", F.lit(None))
+    path = str(tmp_path / "out")
+    sf.write_export(table.coalesce(1), path)
+    (file,) = (tmp_path / "out").glob("*.csv")
+    with open(file, newline="") as lines:
+        got = list(csv.reader(lines))
+    assert got == [["n", "text", "nothing"], *[[str(n), t or "", ""] for n, t in enumerate(texts)]]
+    raw = file.read_text().splitlines()
+    assert '3,"",' in raw and "4,," in raw  # an empty text is no null

@@ -103,3 +103,53 @@ def test_to_readings_checks_its_columns(spark):
     named = spark.createDataFrame([("x", T0, 2.0)], "Identifier string, Timestamp timestamp_ntz, Value double")
     with pytest.raises(ValueError):
         sf.to_readings(named)
+
+
+def test_a_folder_of_mixed_logs_is_told_apart(spark, folder, tmp_path):
+    folder("mixed/warm.parquet", [1], {"Temperature": pa.array([20.5], pa.float32())})
+    folder("mixed/murky.parquet", [1], {"Turbidity": pa.array([700], pa.uint16())})
+    folder("mixed/murky2.parquet", [2], {"Turbidity": pa.array([800], pa.uint16())})
+    got = sf.read_logs(spark, str(tmp_path / "mixed"))
+    assert rows(got, "file", "metric", "value") == [
+        ("murky.parquet", "turbidity", 700.0),
+        ("murky2.parquet", "turbidity", 800.0),
+        ("warm.parquet", "temperature", 20.5),
+    ]
+    with pytest.raises(ValueError):
+        sf.read_raw_logs(spark, str(tmp_path / "mixed"))
+    (tmp_path / "mixed" / "bad.parquet").write_bytes(b"nothing")
+    assert sf.read_logs(spark, str(tmp_path / "mixed"), on_error="skip").count() == 3
+
+
+def test_a_file_reached_twice_is_read_once(spark, folder, tmp_path):
+    paths = [folder(f"logs/{n}.parquet", [n], {"Temperature": pa.array([float(n)])}) for n in range(3)]
+    for again in ([str(tmp_path / "logs"), paths[0]], [paths[0], f"{tmp_path}/logs/./0.parquet"], [f"{tmp_path}/logs/*.parquet", str(tmp_path / "logs")]):
+        wanted = 1 if len(again) == 2 and again[0] == paths[0] else 3
+        assert sf.read_logs(spark, again).count() == wanted
+
+
+def test_raw_logs_keep_columns_types_and_names(spark, folder):
+    path = folder("r.parquet", [2**64 - 1, 5], {"Comment": pa.array(["x", None]), "Turbidity": pa.array([7, 8], pa.uint16())})
+    raw = sf.read_raw_logs(spark, path)
+    assert raw.drop("_path", "_file", "_seq").dtypes == [
+        ("Identifier", "decimal(20,0)"), ("Timestamp", "timestamp_ntz"), ("Comment", "string"), ("Turbidity", "int"),
+    ]
+    assert rows(raw, "_file", "_seq", "Comment", "Turbidity") == [("r.parquet", 0, "x", 7), ("r.parquet", 1, None, 8)]
+    view = sf.table_view(raw, by="Timestamp", id_col="Identifier", seq_col="_seq")
+    assert rows(sf.export_view(view.drop("_path")), "Identifier", "Turbidity") == [("5", 8), ("f" * 16, 7)]
+
+
+def test_a_damaged_file_is_skipped_as_a_whole(spark, folder, tmp_path):
+    good = folder("d/good.parquet", [1], {"Temperature": pa.array([1.0])})
+    bad = tmp_path / "d" / "bad.parquet"
+    table = pa.table({"Identifier": pa.array(range(20_000), pa.uint64()), "Timestamp": pa.array([T0] * 20_000, pa.timestamp("ms")), "Temperature": pa.array([n * 1.1 for n in range(20_000)])})
+    pq.write_table(table, bad, row_group_size=5000, compression="zstd", use_dictionary=False)
+    content = bytearray(bad.read_bytes())
+    third = pq.ParquetFile(bad).metadata.row_group(2).column(2)
+    for i in range(third.data_page_offset + 40, third.data_page_offset + third.total_compressed_size - 8):
+        content[i] ^= 0x5A
+    bad.write_bytes(content)
+    got = sf.read_logs(spark, str(tmp_path / "d"), on_error="skip")
+    assert rows(got, "file", "value") == [("good.parquet", 1.0)]
+    with pytest.raises(Exception):
+        sf.read_logs(spark, [good, str(bad)]).agg({"value": "sum"}).collect()
