@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import math
 import warnings
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.time import epoch_us, from_epoch, utc_session
-from ..schema import has_point, require_aggregates, require_columns, require_positive
+from ..schema import has_point, require_aggregates, require_columns, require_positive, series_keys
+from ..scratch import pin
+from .resample_kernel import window_batches
 from .rowindex import HOT_ROWS, with_row_index
 
 SECOND_US = 1_000_000
@@ -17,10 +20,6 @@ SECOND_US = 1_000_000
 # generated code; beyond it a sequence is built per row.
 _LITERAL_WINDOWS = 64
 
-# From this many windows per row on, the mean is first summed per pane.
-_PANE_WINDOWS = 4
-
-
 def floor_to(us, width_us: int) -> Column:
     """Largest multiple of ``width_us`` that is not after ``us`` (floors before 1970 too)."""
     return us - F.pmod(us, F.lit(width_us))
@@ -39,8 +38,7 @@ class _Windows:
         self.every = every_s * SECOND_US
         self.period = period_s * SECOND_US
         self.count = -(-self.period // self.every)
-        self.block = 4 * self.count * self.every
-        self.pane = math.gcd(self.every, self.period)
+        self.block = 4 * self.count * self.every if self.count > 1 else self.every
 
     def assign(self, points: DataFrame) -> DataFrame:
         """Each ``(us, …)`` row once per window holding it, as ``start``."""
@@ -59,7 +57,8 @@ class _Windows:
     def blocks(self, points: DataFrame) -> DataFrame:
         """Each row once per block it concerns, as ``block``."""
         if self.count == 1:
-            return points.withColumn("block", floor_to(F.col("us"), self.every))
+            placed = points.withColumn("block", floor_to(F.col("us"), self.every))
+            return placed.where(F.col("us") < F.col("block") + F.lit(self.period))
         last = floor_to(F.col("us"), self.every)
         newest = floor_to(last, self.block)
         oldest = floor_to(last - F.lit((self.count - 1) * self.every), self.block)
@@ -74,98 +73,68 @@ class _Windows:
         return assigned.where(floor_to(F.col("start"), self.block) == F.col("block"))
 
 
-def _means(points: DataFrame, windows: _Windows) -> DataFrame:
-    if windows.count < _PANE_WINDOWS:
-        return windows.assign(points).groupBy("id", "start").agg(F.avg("v").alias("mean"))
-    # Windows are whole numbers of panes: sum each pane once, then add up panes
-    # inside their block, which needs no further shuffle.
-    panes = points.groupBy("id", floor_to(F.col("us"), windows.pane).alias("us")).agg(
-        F.sum("v").alias("s"), F.count("v").alias("n")
-    )
-    blocked = windows.blocks(panes).repartition("id", "block")
-    mean = F.sum("s") / F.nullif(F.sum("n"), F.lit(0))
-    return (
-        windows.assign_in_blocks(blocked)
-        .groupBy("id", "block", "start")
-        .agg(mean.alias("mean"))
-        .select("id", "start", "mean")
-    )
+def _means(points: DataFrame, keys: list[str], windows: _Windows) -> DataFrame:
+    """Means of windows that do not overlap, combined map-side."""
+    return windows.assign(points).groupBy(*keys, "start").agg(F.avg("v").alias("mean"))
 
 
-def _medians(blocked: DataFrame, windows: _Windows, aggs: tuple[str, ...]) -> DataFrame:
-    """Exact median (and mean) in one sort per window.
+def _by_kernel(blocked: DataFrame, keys: list[str], windows: _Windows, aggs: tuple[str, ...]) -> DataFrame:
+    """``(keys, start, first, mean?, median?)``: one shuffle by block, and one walk over the sorted rows of each."""
+    every, period, block = windows.every, windows.period, windows.block
 
-    The rows of a window are sorted, not gathered into an object, so memory
-    stays bounded: the sort spills. Nulls sort last and are not counted.
-    """
-    assigned = windows.assign_in_blocks(blocked.repartition("id", "block"))
-    ordered = Window.partitionBy("id", "block", "start").orderBy(F.col("v").asc_nulls_last())
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = assigned.select(
-        "id",
-        "start",
-        "v",
-        F.row_number().over(ordered).alias("rank"),
-        F.lead("v").over(ordered).alias("above"),
-        F.count("v").over(whole).alias("n"),
-        *([F.avg("v").over(whole).alias("mean")] if "mean" in aggs else []),
-    )
-    low = F.greatest(F.floor((F.col("n") + 1) / 2), F.lit(1))
-    median = F.when(F.col("n") % 2 == 1, F.col("v")).otherwise((F.col("v") + F.col("above")) / 2)
-    return ranked.where(F.col("rank") == low).select(
-        "id", "start", *(["mean"] if "mean" in aggs else []), median.alias("median")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return window_batches(batches, keys, every, period, block, aggs)
+
+    home = [*keys, "block"]
+    rows = blocked.select(*home, "us", "v").repartition(*home).sortWithinPartitions(*home, "us")
+    schema = T.StructType(
+        [blocked.schema[key] for key in keys]
+        + [T.StructField(name, T.LongType()) for name in ("start", "first")]
+        + [T.StructField(agg, T.DoubleType()) for agg in aggs]
     )
+    return rows.mapInArrow(run, schema)
 
 
-def _medians_of_hot(blocked: DataFrame, windows: _Windows, aggs: tuple[str, ...]) -> DataFrame:
-    """Median of windows too large for one task.
+def _of_hot(blocked: DataFrame, keys: list[str], windows: _Windows, aggs: tuple[str, ...]) -> DataFrame:
+    """The same for blocks too large for one task.
 
-    All rows get their position in the order (id, start, value) from a range
-    partitioning, which cuts through a window wherever it must (the time breaks
-    ties among equal values); the one or two middle positions of each window
-    then follow from its first position and its count.
+    Means are combined map-side. For medians all rows get their position in the order (keys, start, value) from a range
+    partitioning, which cuts through a window wherever it must (the time breaks ties among equal values); the one or
+    two middle positions of each window then follow from its first position and its count.
     """
-    placed = with_row_index(
-        windows.assign_in_blocks(blocked).select("id", "start", "v", "us"),
-        "id",
-        "start",
-        F.col("v").asc_nulls_last(),
-        "us",
-        name="at",
-    )
-    extent = placed.groupBy("id", "start").agg(
-        F.min("at").alias("first"),
-        F.count("v").alias("n"),
-        *([F.avg("v").alias("mean")] if "mean" in aggs else []),
+    assigned = windows.assign_in_blocks(blocked).select(*keys, "start", "v", "us")
+    mean = [F.avg("v").alias("mean")] if "mean" in aggs else []
+    if "median" not in aggs:
+        return assigned.groupBy(*keys, "start").agg(F.min("us").alias("first"), *mean)
+    placed = with_row_index(assigned, *keys, "start", F.col("v").asc_nulls_last(), "us", name="at")
+    extent = placed.groupBy(*keys, "start").agg(
+        F.min("at").alias("from"), F.min("us").alias("first"), F.count("v").alias("n"), *mean
     )
     n = F.col("n")
     middle = F.when(n % 2 == 1, F.array((n - 1) / 2)).when(n > 0, F.array(n / 2 - 1, n / 2))
-    picks = extent.select(
-        "id", "start", "first", *(["mean"] if "mean" in aggs else []), F.explode_outer(middle).alias("m")
-    ).withColumn("at", F.col("first") + F.coalesce(F.col("m"), F.lit(0)).cast("bigint"))
+    own = [*keys, "start", "first", *(["mean"] if mean else [])]
+    picks = extent.select(*own, "from", F.explode_outer(middle).alias("m")).withColumn(
+        "at", F.col("from") + F.coalesce(F.col("m"), F.lit(0)).cast("bigint")
+    )
     # equi-join on the position: unique, so evenly spread
     picked = picks.join(placed.select("at", "v"), "at")
-    return picked.groupBy("id", "start").agg(
-        *([F.first("mean").alias("mean")] if "mean" in aggs else []), F.avg("v").alias("median")
+    return picked.groupBy(*keys, "start", "first").agg(
+        *([F.first("mean").alias("mean")] if mean else []), F.avg("v").alias("median")
     )
 
 
-def _with_median(
-    points: DataFrame, windows: _Windows, aggs: tuple[str, ...], total: int, hot_rows: int
-) -> DataFrame:
+def _over_blocks(points: DataFrame, ids: list[str], windows: _Windows, aggs: tuple[str, ...], hot_rows: int) -> DataFrame:
     blocked = windows.blocks(points)
-    if total <= hot_rows:
-        return _medians(blocked, windows, aggs)
-    keys = ["id", "block"]
+    keys = [*ids, "block"]
+    # Rows of a block are what one task sorts, since windows are not expanded. Large blocks are counted once, map-side.
     sizes = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
     hot = sizes.where(F.col("size") > hot_rows).select(*keys)
     if hot.isEmpty():
-        return _medians(blocked, windows, aggs)
-    # At most two in hot_rows of all rows are hot keys: 16 bytes for every 2.5 million rows.
-    hot = F.broadcast(hot)
-    return _medians(blocked.join(hot, keys, "left_anti"), windows, aggs).unionByName(
-        _medians_of_hot(blocked.join(hot, keys, "left_semi"), windows, aggs)
-    )
+        return _by_kernel(blocked, ids, windows, aggs)
+    hot = pin(hot, "hot-blocks")
+    # No hint: the written table's size decides between a broadcast and a shuffle.
+    cold = _by_kernel(blocked.join(hot, keys, "left_anti"), ids, windows, aggs)
+    return cold.unionByName(_of_hot(blocked.join(hot, keys, "left_semi"), ids, windows, aggs))
 
 
 def resample(
@@ -175,12 +144,15 @@ def resample(
     aggs=("mean",),
     leading: str = "drop",
     *,
-    id_col: str = "identifier",
+    id_col: str | Sequence[str] | None = None,
     ts_col: str = "ts",
     value_col: str = "value",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Mean and/or median of ``value_col`` per identifier and time window.
+    """Mean and/or median of ``value_col`` per series and time window.
+
+    A series is told apart by ``id_col``, one column or several; by default ``metric``, where there is one, and
+    ``identifier``, so that readings of different metrics are never averaged together.
 
     A window starts every ``every_s`` seconds (multiples since 1970) and covers
     ``[start, start + period_s)``: tumbling when the two are equal, sliding when
@@ -191,11 +163,12 @@ def resample(
     ``leading="drop"`` leaves out windows that start before the pane of the
     identifier's first row; ``"keep"`` emits them.
 
-    Returns ``(identifier, ts, mean?, median?)`` with ``ts`` the window start.
+    Returns ``(metric?, identifier, ts, mean?, median?)`` with ``ts`` the window start.
     """
     aggs = require_aggregates(aggs)
     require_positive(every_s=every_s, period_s=period_s, hot_rows=hot_rows)
-    require_columns(df, id_col, ts_col, value_col)
+    ids = series_keys(df, id_col)
+    require_columns(df, ts_col, value_col)
     if leading not in ("drop", "keep"):
         raise ValueError(f"leading must be 'drop' or 'keep', got {leading!r}")
     windows = _Windows(every_s, period_s)
@@ -203,18 +176,21 @@ def resample(
         warnings.warn(f"each row falls into {windows.count} windows", stacklevel=2)
 
     utc = utc_session(df.sparkSession)
-    points = df.where(has_point(id_col, ts_col)).select(
-        F.col(id_col).alias("id"), epoch_us(ts_col, utc).alias("us"), F.col(value_col).cast("double").alias("v")
+    keys = [f"key{i}" for i in range(len(ids))]  # other names could clash with the working columns
+    points = df.where(has_point(ids, ts_col)).select(
+        *[F.col(name).alias(key) for name, key in zip(ids, keys)], epoch_us(ts_col, utc).alias("us"), F.col(value_col).cast("double").alias("v")
     )
-    if "median" in aggs:
-        results = _with_median(points, windows, aggs, df.count(), hot_rows)
+    if "median" in aggs or windows.count > 1:
+        results = _over_blocks(points, keys, windows, aggs, hot_rows)
     else:
-        results = _means(points, windows)
+        results = _means(points, keys, windows)
     if leading == "drop" and windows.count > 1:
-        # One row per identifier. No hint: the join is a broadcast of that side when its
-        # measured size allows it, else a shuffle whose skew AQE splits.
-        first = points.groupBy("id").agg(floor_to(F.min("us"), windows.every).alias("first"))
-        first = first.select(F.col("id").alias("first_id"), "first")
-        known = (F.col("id") == F.col("first_id")) & (F.col("start") >= F.col("first"))
+        # An identifier's first row is the first row of its first window, so windows tell it: the source is not
+        # scanned again, as both sides read the same shuffled blocks.
+        first = results.groupBy(*keys).agg(floor_to(F.min("first"), windows.every).alias("from"))
+        first = first.toDF(*[f"of_{key}" for key in keys], "from")
+        known = F.col("start") >= F.col("from")
+        for key in keys:
+            known &= F.col(key).eqNullSafe(F.col(f"of_{key}"))
         results = results.join(first, known, "left_semi")
-    return results.select(F.col("id").alias(id_col), from_epoch("start", utc=utc).alias(ts_col), *aggs)
+    return results.select(*[F.col(key).alias(name) for key, name in zip(keys, ids)], from_epoch("start", utc=utc).alias(ts_col), *aggs)

@@ -2,51 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..schema import AGGREGATES, ROUND_DECIMALS, has_point, require_aggregates, require_columns, require_positive
+from ..schema import AGGREGATES, ROUND_DECIMALS, has_point, require_aggregates, require_columns, require_positive, series_keys
 from .rowindex import HOT_ROWS
 from .chunks import CHUNK, CHUNK_ROWS, OWN, cut_identifiers
 from .rolling_kernel import rolling_batches
 
-# A sliding frame in the JVM costs its length per row (and a sort per row for the
-# median); the incremental kernel costs the same for any length. Longest frames
-# for which the JVM was measured to be as fast:
-JVM_MEAN_ROWS = 64
-JVM_MEDIAN_ROWS = 8
-
-
-def _middle(values: Column) -> Column:
-    """Median of an already sorted array; null for an empty one."""
-    n = F.size(values)
-    low = F.get(values, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(values, F.floor(n / 2).cast("int"))
-    return F.when(n % 2 == 1, low).otherwise((low + high) / 2)
-
-
-def _over_frame(df: DataFrame, window, value_col: str, min_periods: int, aggs: tuple[str, ...]) -> DataFrame:
-    frame = {"__sf_n": F.count(value_col).over(window)}
-    if "mean" in aggs:
-        frame["__sf_mean"] = F.avg(value_col).over(window)
-    if "median" in aggs:
-        frame["__sf_values"] = F.collect_list(value_col).over(window)
-    enough = F.col("__sf_n") >= min_periods
-    results = {}
-    if "mean" in aggs:
-        results["rolling_mean"] = F.when(enough, F.round("__sf_mean", ROUND_DECIMALS))
-    if "median" in aggs:
-        median = _middle(F.sort_array("__sf_values"))
-        results["rolling_median"] = F.when(enough, F.round(median, ROUND_DECIMALS))
-    return df.withColumns(frame).withColumns(results).drop(*frame)
-
-
 def _by_kernel(
     df: DataFrame, keys: list[str], order: list[str], window_size: int, value_col: str, min_periods: int, aggs
 ) -> DataFrame:
-    """The same with the incremental kernel, over each task's rows in sorted order."""
+    """The incremental kernel over each task's rows in sorted order: a row costs the same for any window length."""
     results = [f"rolling_{agg}" for agg in AGGREGATES if agg in aggs]
     schema = T.StructType(df.schema.fields + [T.StructField(name, T.DoubleType()) for name in results])
 
@@ -63,7 +32,7 @@ def rolling(
     min_periods: int = 1,
     aggs=("mean",),
     *,
-    id_col: str = "identifier",
+    id_col: str | Sequence[str] | None = None,
     ts_col: str = "ts",
     value_col: str = "value",
     seq_col: str | None = "seq",
@@ -72,16 +41,16 @@ def rolling(
 ) -> DataFrame:
     """Mean and/or median over the trailing ``window_size`` rows of each identifier.
 
-    Rows are ordered by time, ties by ``seq_col``. One output row per input row
+    A series is told apart by ``id_col``, one column or several; by default ``metric``, where there is one, and
+    ``identifier``. Rows are ordered by time, ties by ``seq_col``. One output row per input row
     that has an identifier and a time; a result is null while the frame holds
     fewer than ``min_periods`` non-null values, and is rounded to 6 decimals.
 
     One shuffle, by identifier. An identifier with more than ``hot_rows`` rows is
     cut into chunks of about ``chunk_rows`` that overlap by one window, and the
-    shuffle is by chunk; finding out takes one eager row count, in a table
-    larger than ``hot_rows`` also counts per identifier.
+    shuffle is by chunk; finding out takes one eager count per identifier.
 
-    Returns ``(identifier, ts, seq?, value, rolling_mean?, rolling_median?)``.
+    Returns ``(metric?, identifier, ts, seq?, value, rolling_mean?, rolling_median?)``.
     """
     aggs = require_aggregates(aggs)
     require_positive(
@@ -90,15 +59,12 @@ def rolling(
     if min_periods > window_size:
         raise ValueError(f"min_periods {min_periods} exceeds window_size {window_size}")
     order = [ts_col] + ([seq_col] if seq_col else [])
-    require_columns(df, id_col, value_col, *order)
-    points = df.where(has_point(id_col, ts_col)).select(
-        id_col, *order, F.col(value_col).cast("double").alias(value_col)
+    ids = series_keys(df, id_col)
+    require_columns(df, value_col, *order)
+    points = df.where(has_point(ids, ts_col)).select(
+        *ids, *order, F.col(value_col).cast("double").alias(value_col)
     )
-    chunks = cut_identifiers(points, id_col, order, window_size - 1, df.count(), hot_rows, chunk_rows)
-    rows, keys = (points, [id_col]) if chunks is None else (chunks, [id_col, CHUNK])
-    if window_size > (JVM_MEDIAN_ROWS if "median" in aggs else JVM_MEAN_ROWS):
-        done = _by_kernel(rows, keys, order, window_size, value_col, min_periods, aggs)
-    else:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(window_size - 1), 0)
-        done = _over_frame(rows, window, value_col, min_periods, aggs)
+    chunks = cut_identifiers(points, ids, order, window_size - 1, hot_rows, chunk_rows)
+    rows, keys = (points, ids) if chunks is None else (chunks, [*ids, CHUNK])
+    done = _by_kernel(rows, keys, order, window_size, value_col, min_periods, aggs)
     return done if chunks is None else done.where(OWN).drop(CHUNK, OWN)

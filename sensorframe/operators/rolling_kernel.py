@@ -84,7 +84,10 @@ def _group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     changed = np.zeros(len(table), dtype=bool)
     for name in keys:
         column = table[name].combine_chunks()
-        differs = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
+        after, before = column.slice(1), column.slice(0, len(column) - 1)
+        differs = pc.not_equal(after, before)
+        if column.null_count:
+            differs = pc.if_else(pc.is_null(differs), pc.not_equal(pc.is_null(after), pc.is_null(before)), differs)
         changed[1:] |= differs.to_numpy(zero_copy_only=False)
     return np.maximum.accumulate(np.where(changed, np.arange(len(table)), 0))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,6 +12,7 @@ from ..operators.resample import resample
 from ..operators.rolling import rolling
 from ..operators.series import source_series
 from ..operators.table import exclude_identifiers, sort_table
+from ..schema import series_keys
 
 
 @dataclass(frozen=True)
@@ -42,24 +44,25 @@ def series_bundle(
     df: DataFrame,
     spec: SeriesSpec = SeriesSpec(),
     *,
-    id_col: str = "identifier",
+    id_col: str | Sequence[str] | None = None,
     ts_col: str = "ts",
     value_col: str = "value",
     seq_col: str | None = "seq",
 ) -> DataFrame:
-    """All requested series as long rows ``(series, identifier, x, y)``.
+    """All requested series as long rows ``(series, metric?, identifier, x, y)``.
 
     ``series`` is ``source``, ``resampling_mean``, ``resampling_median``,
     ``rolling_mean`` or ``rolling_median``. Both rolling series and the source
     come out of one window pass, both resampling series out of one aggregation.
     """
-    cols = {"id_col": id_col, "ts_col": ts_col, "value_col": value_col}
+    ids = series_keys(df, id_col)
+    cols = {"id_col": ids, "ts_col": ts_col, "value_col": value_col}
     x = epoch_ms(ts_col, utc_session(df.sparkSession))
 
     def long(frame: DataFrame, named: dict) -> DataFrame:
         pairs = [F.struct(F.lit(name).alias("series"), y.alias("y")) for name, y in named.items()]
-        return frame.select(id_col, x.alias("x"), F.explode(F.array(*pairs)).alias("s")).select(
-            "s.series", id_col, "x", "s.y"
+        return frame.select(*ids, x.alias("x"), F.explode(F.array(*pairs)).alias("s")).select(
+            "s.series", *ids, "x", "s.y"
         )
 
     if spec.rolling:
@@ -70,7 +73,7 @@ def series_bundle(
         bundle = long(rolled, named)
     else:
         source = source_series(df, seq_col=seq_col, **cols)
-        bundle = source.select(F.lit("source").alias("series"), id_col, "x", "y")
+        bundle = source.select(F.lit("source").alias("series"), *ids, "x", "y")
     if spec.resampling:
         windows = resample(df, spec.every_s, spec.period_s, spec.resampling, **cols)
         named = {f"resampling_{agg}": F.col(agg) for agg in spec.resampling}

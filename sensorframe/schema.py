@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 READINGS = T.StructType(
@@ -42,6 +44,21 @@ def require_positive(**values: int) -> None:
             raise ValueError(f"{name} must be a whole number >= 1, got {value!r}")
 
 
-def has_point(id_col: str, ts_col: str) -> Column:
-    """Rows that can stand on a series: both identifier and time are known."""
-    return F.col(id_col).isNotNull() & F.col(ts_col).isNotNull()
+def series_keys(df: DataFrame, id_col: str | Sequence[str] | None) -> list[str]:
+    """Columns that tell series apart: those given, or ``metric`` (where there is one) and ``identifier``.
+
+    Readings of several metrics never share a series unless that is asked for with ``id_col="identifier"``.
+    """
+    if id_col is None:
+        keys = [name for name in ("metric", "identifier") if name in df.columns]
+        id_col = keys if "identifier" in keys else ["identifier"]
+    keys = [id_col] if isinstance(id_col, str) else list(id_col)
+    if not keys:
+        raise ValueError("a series needs at least one key column")
+    require_columns(df, *keys)
+    return keys
+
+
+def has_point(keys: Sequence[str], ts_col: str) -> Column:
+    """Rows that can stand on a series: the identifier (the last key) and the time are known."""
+    return F.col(keys[-1]).isNotNull() & F.col(ts_col).isNotNull()

@@ -54,7 +54,7 @@ def test_exclusion_reaches_the_scan(spark):
 
 
 def test_only_needed_columns_are_read(spark, readings):
-    text = plan(sf.resample(readings, 60, 60))
+    text = plan(sf.resample(readings, 60, 60, id_col="identifier"))
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in text
     text = plan(sf.distinct_identifiers(readings))
     assert "ReadSchema: struct<user_id:bigint>" in text
@@ -72,13 +72,41 @@ def test_resample_with_median_shuffles_the_rows_once(readings):
     assert "ObjectHashAggregate" not in text
 
 
+def test_sliding_windows_read_the_source_once(spark, readings):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the final plan at once
+    try:
+        for aggs in (("mean",), ("mean", "median")):
+            text = plan(sf.resample(readings, 60, 600, aggs))
+            assert text.count("FileScan") == 1 and "ReusedExchange" in text and "Window" not in text
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_no_side_is_broadcast_by_a_hint(readings):
+    split = sf.rolling(readings, 30, 1, "mean", hot_rows=5, chunk_rows=70)
+    windows = sf.resample(readings, 60, 600, ("median",), hot_rows=2)
+    for df in (split, windows):
+        assert "ResolvedHint" not in df._jdf.queryExecution().analyzed().toString().replace("__sf_part", "")
+
+
+def test_few_jobs_run_before_an_action(spark, readings):
+    """Below hot_rows, one count of keys: its shuffle, and a look whether a key is left."""
+    context = spark.sparkContext
+    runs = {
+        "rolling": lambda: sf.rolling(readings, 30),
+        "resample": lambda: sf.resample(readings, 60, 600, ("median",)),
+    }
+    for name, run in runs.items():
+        context.setJobGroup(f"eager-{name}", "")
+        run()
+        context.setJobGroup("other", "")
+        assert len(context.statusTracker().getJobIdsForGroup(f"eager-{name}")) <= 2
+
+
 def test_rolling_shuffles_once(readings):
-    short = plan(sf.rolling(readings, 30, 1, "mean"))
-    assert exchanges(short) == ["hashpartitioning"] and "Python" not in short
-    both = plan(sf.rolling(readings, 5, 1, ("mean", "median")))
-    assert exchanges(both) == ["hashpartitioning"] and both.count("Window [") == 1
-    long = plan(sf.rolling(readings, 30, 1, ("mean", "median")))
-    assert exchanges(long) == ["hashpartitioning"] and long.count("MapInArrow") == 1
+    for size, aggs in ((30, "mean"), (5, ("mean", "median")), (30, ("mean", "median"))):
+        text = plan(sf.rolling(readings, size, 1, aggs))
+        assert exchanges(text) == ["hashpartitioning"] and text.count("MapInArrow") == 1
 
 
 def test_sort_is_a_range_partitioning(readings):

@@ -186,3 +186,38 @@ def test_many_windows_per_row_warn(spark):
 def test_unsigned_identifiers(spark):
     big = frame(spark, DRAWING).withColumn("identifier", F.lit(str(2**64 - 1)).cast("decimal(20,0)"))
     assert rows(sf.resample(big, 120, 120, ("median",)).select(sf.hex_id("identifier", big.schema["identifier"].dataType)))[0] == ("f" * 16,)
+
+
+def test_means_hold_odd_numbers_only_in_their_windows(spark):
+    odd = {30: float("inf"), 31: float("-inf"), 60: float("nan"), 90: 1e17}
+    points = [(1, n, odd.get(n, n / 8)) for n in range(150)]
+    got = {t: (m, d) for _, t, m, d in rows(sf.resample(frame(spark, points), 1, 7, ("mean", "median"), "keep"))}
+    for start in range(-6, 150):
+        values = [v for _, n, v in points if start <= n < start + 7]
+        mean, median = got[at(start)]
+        wanted = sum(values) / len(values)
+        assert (mean == "nan") if math.isnan(wanted) else mean == pytest.approx(wanted, rel=1e-12)
+        ordered = sorted(values, key=lambda v: (math.isnan(v), v))
+        low, high = ordered[(len(values) - 1) // 2], ordered[len(values) // 2]
+        middle = low if low == high else (low + high) / 2
+        assert (median == "nan") if math.isnan(middle) else median == pytest.approx(middle)
+
+
+def test_metrics_never_share_a_window(spark):
+    df = frame(spark, [(1, 0, 1.1), (1, 1, 700.0)]).withColumn("metric", F.when(F.col("value") > 9, "turbidity").otherwise("temperature"))
+    assert rows(sf.resample(df, 60, 120, leading="keep"), "metric", "mean") == [("temperature", 1.1)] * 2 + [("turbidity", 700.0)] * 2
+    assert rows(sf.resample(df, 60, 60, id_col="identifier"), "mean") == [(350.55,)]
+    assert sf.resample(df, 60, 60).columns == ["metric", "identifier", "ts", "mean"]
+
+
+def test_many_windows_per_row_cost_no_rows(spark):
+    """40,000 rows of one sensor, 900 windows each."""
+    points = [(1, n / 10, float(n % 97)) for n in range(40_000)]
+    df = frame(spark, points)
+    got = sf.resample(df, 1, 900, ("mean", "median"))
+    assert got.count() == 4000
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString().replace("Generate explode(CASE", "")
+    values = [p[2] for p in points]
+    row = got.where(F.col("ts") == F.lit(at(1000)).cast("timestamp_ntz")).first()
+    part = sorted(values[10_000:19_000])
+    assert row["mean"] == pytest.approx(sum(part) / 9000) and row["median"] == (part[4499] + part[4500]) / 2

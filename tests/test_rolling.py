@@ -6,12 +6,11 @@ from datetime import datetime, timedelta
 import pyarrow as pa
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 import sensorframe as sf
 from sensorframe.operators.rolling_kernel import rolling_batches
 
-rolling_module = importlib.import_module("sensorframe.operators.rolling")
 chunks_module = importlib.import_module("sensorframe.operators.chunks")
 
 SCHEMA = "identifier bigint, ts timestamp_ntz, value double, seq bigint"
@@ -59,22 +58,8 @@ def check(df, wanted):
 BOTH = ("mean", "median")
 
 
-@pytest.fixture
-def engine(monkeypatch):
-    """Force the frames of the JVM or the kernel, whatever the window."""
-
-    def choose(name):
-        longest = 10**9 if name == "jvm" else 0
-        monkeypatch.setattr(rolling_module, "JVM_MEAN_ROWS", longest)
-        monkeypatch.setattr(rolling_module, "JVM_MEDIAN_ROWS", longest)
-
-    return choose
-
-
-@pytest.mark.parametrize("name", ["jvm", "kernel"])
 @pytest.mark.parametrize("size, least", [(1, 1), (2, 2), (5, 1), (30, 1), (30, 30), (1000, 3)])
-def test_against_brute_force(spark, engine, name, size, least):
-    engine(name)
+def test_against_brute_force(spark, size, least):
     points = random_points(size)
     check(sf.rolling(frame(spark, points), size, least, BOTH), expected(points, size, least))
 
@@ -96,8 +81,7 @@ def cuts(monkeypatch):
 
 # an identifier with crowded times goes by position, the others by time
 @pytest.mark.parametrize("size, chunk", [(1, 10), (5, 7), (30, 16), (30, 100), (200, 10)])
-def test_cutting_by_position_changes_nothing(spark, cuts, engine, size, chunk):
-    engine("jvm")
+def test_cutting_by_position_changes_nothing(spark, cuts, size, chunk):
     points = random_points(size + chunk) + [(7, 5, n / 4) for n in range(500)]
     split = sf.rolling(frame(spark, points), size, 1, BOTH, hot_rows=20, chunk_rows=chunk)
     check(split, expected(points, size, 1))
@@ -116,8 +100,7 @@ def spread_points(seed, count=1500):
 
 
 @pytest.mark.parametrize("size, chunk", [(1, 100), (5, 100), (30, 200), (90, 200), (300, 50)])
-def test_cutting_by_time_changes_nothing(spark, cuts, engine, size, chunk):
-    engine("jvm")
+def test_cutting_by_time_changes_nothing(spark, cuts, size, chunk):
     points = spread_points(size)
     split = sf.rolling(frame(spark, points), size, 1, BOTH, hot_rows=200, chunk_rows=chunk)
     check(split, expected(points, size, 1))
@@ -126,16 +109,15 @@ def test_cutting_by_time_changes_nothing(spark, cuts, engine, size, chunk):
 
 def test_chunks_are_of_the_asked_size(spark):
     df = frame(spark, spread_points(0))
-    cut = chunks_module.cut_identifiers(df, "identifier", ["ts", "seq"], 29, 4560, 200, 100)
+    cut = chunks_module.cut_identifiers(df, ["identifier"], ["ts", "seq"], 29, 200, 100)
     sizes = cut.groupBy("identifier", chunks_module.CHUNK).count()
     assert sizes.agg(F.max("count")).first()[0] <= 100 + 50 + 29 + 50
     assert cut.where(chunks_module.OWN).count() == df.count()
-    assert chunks_module.cut_identifiers(df, "identifier", ["ts", "seq"], 29, 4560, 1500, 100) is None
+    assert chunks_module.cut_identifiers(df, ["identifier"], ["ts", "seq"], 29, 1500, 100) is None
 
 
 @pytest.mark.parametrize("points", [spread_points(1), random_points(1) + [(7, 5, 0.25)] * 300])
-def test_kernel_over_chunks(spark, engine, points):
-    engine("kernel")
+def test_kernel_over_chunks(spark, points):
     split = sf.rolling(frame(spark, points), 40, 3, BOTH, hot_rows=100, chunk_rows=100)
     check(split, expected(points, 40, 3))
 
@@ -156,15 +138,42 @@ def test_kernel_carries_rows_between_steps():
             )
 
 
-def test_kernel_treats_odd_numbers_like_spark(spark, engine):
+def test_odd_numbers_are_treated_like_spark_does(spark):
     odd = [float("nan"), float("inf"), float("-inf"), None, 1.0, 2.5, -0.0]
     rng = random.Random(3)
     points = [(1, n, rng.choice(odd + [float(n)] * 6)) for n in range(300)]
     df = frame(spark, points)
-    engine("jvm")
-    plain = rows(sf.rolling(df, 4, 2, BOTH))
-    engine("kernel")
-    assert plain == rows(sf.rolling(df, 4, 2, BOTH))
+    window = Window.partitionBy("identifier").orderBy("ts", "seq").rowsBetween(-3, 0)
+    values = F.sort_array(F.collect_list("value").over(window))
+    low, high = (F.get(values, F.floor((F.size(values) - i) / 2).cast("int")) for i in (1, 0))
+    n = F.count("value").over(window)
+    median = F.when(F.size(values) % 2 == 1, low).otherwise((low + high) / 2)
+    plain = df.select(
+        "seq", F.when(n >= 2, F.round(F.avg("value").over(window), 6)), F.when(n >= 2, F.round(median, 6))
+    )
+    assert rows(sf.rolling(df, 4, 2, BOTH), "seq", "rolling_mean", "rolling_median") == rows(plain)
+
+
+def test_the_mean_does_not_depend_on_what_else_is_asked_for(spark):
+    rng = random.Random(5)
+    points = [(1, n, 1e17 if n == 40 else rng.random()) for n in range(300)]
+    df = frame(spark, points)
+    assert rows(sf.rolling(df, 5), "seq", "rolling_mean") == rows(sf.rolling(df, 5, 1, BOTH), "seq", "rolling_mean")
+
+
+def test_a_stray_date_stays_on_the_time_route(spark, cuts):
+    points = [(1, n, n / 8) for n in range(1500)] + [(1, -1_700_000_000, 3.0)]
+    check(sf.rolling(frame(spark, points), 5, 1, BOTH, hot_rows=200, chunk_rows=200), expected(points, 5, 1))
+    assert cuts == ["_by_time"]
+
+
+def test_series_of_different_metrics_never_meet(spark):
+    points = frame(spark, [(1, 0, 1.0), (1, 1, 700.0), (1, 2, 3.0)])
+    df = points.withColumn("metric", F.when(F.col("value") > 100, "turbidity").otherwise("temperature"))
+    assert rows(sf.rolling(df, 3), "metric", "seq", "rolling_mean") == [("temperature", 0, 1.0), ("temperature", 2, 2.0), ("turbidity", 1, 700.0)]
+    assert rows(sf.rolling(df, 3, id_col="identifier"), "seq", "rolling_mean")[1] == (1, 350.5)
+    unnamed = df.withColumn("metric", F.nullif("metric", F.lit("turbidity")))
+    assert rows(sf.rolling(unnamed, 3, hot_rows=1, chunk_rows=8), "seq", "rolling_mean") == [(0, 1.0), (1, 700.0), (2, 2.0)]
 
 
 def test_one_aggregate_only(spark):
