@@ -78,11 +78,13 @@ def decoded_schema(identifier_type: str = "decimal(20,0)") -> T.StructType:
     )
 
 
-def decode_payloads(messages: DataFrame, identifier_type: str = "decimal(20,0)") -> DataFrame:
+def decode_payloads(
+    messages: DataFrame, identifier_type: str = "decimal(20,0)", *, keep_payload: bool = False
+) -> DataFrame:
     """Rows of the first record batch of every payload (an Arrow IPC stream).
 
-    Later batches of the same stream are not read. A payload that cannot be
-    decoded gives one row with ``error`` set and never fails the job. Works on
+    Later batches of the same stream are not read; nanoseconds are cut to
+    microseconds. A payload that cannot be decoded gives one row with ``error`` set and never fails the job. Works on
     batch and streaming frames; one message is in memory at a time.
     """
     id_arrow = pa.int64() if identifier_type == "bigint" else pa.decimal128(20, 0)
@@ -96,6 +98,7 @@ def decode_payloads(messages: DataFrame, identifier_type: str = "decimal(20,0)")
             ("ts", pa.timestamp("us")),
             ("value", pa.float64()),
             ("error", pa.string()),
+            *([("payload", pa.binary())] if keep_payload else []),
         ]
     )
 
@@ -106,9 +109,12 @@ def decode_payloads(messages: DataFrame, identifier_type: str = "decimal(20,0)")
             with pa.ipc.open_stream(payload) as stream:
                 batch = stream.read_next_batch()
             count = batch.num_rows
+            times = batch.column("Timestamp")
+            if times.type == pa.timestamp("ns"):
+                times = pc.floor_temporal(times, unit="microsecond")
             columns = [
                 pc.cast(batch.column("Identifier"), id_arrow),
-                pc.cast(batch.column("Timestamp"), pa.timestamp("us")),
+                pc.cast(times, pa.timestamp("us")),
                 pc.cast(batch.column(batch.num_columns - 1), pa.float64()),
             ]
             error = None
@@ -127,6 +133,7 @@ def decode_payloads(messages: DataFrame, identifier_type: str = "decimal(20,0)")
                 row,
                 *columns,
                 pa.repeat(pa.scalar(error, pa.string()), count),
+                *([pa.repeat(pa.scalar(payload if error else None, pa.binary()), count)] if keep_payload else []),
             ],
             schema=out,
         )
@@ -138,7 +145,7 @@ def decode_payloads(messages: DataFrame, identifier_type: str = "decimal(20,0)")
                 yield rows_of(topic, message_id, arrived, payload.as_py())
 
     return messages.select("topic", "message_id", "arrived", "payload").mapInArrow(
-        decode, decoded_schema(identifier_type)
+        decode, decoded_schema(identifier_type).add("payload", "binary") if keep_payload else decoded_schema(identifier_type)
     )
 
 
@@ -174,12 +181,13 @@ def encode_payloads(
 
 
 def latest_batch_per_topic(messages: DataFrame) -> DataFrame:
-    """The last message of each topic: latest arrival, then highest id.
+    """The last message of each topic: latest arrival, then highest id; once, however often it was delivered.
 
-    On decoded rows (``topic, message_id, arrived, …``) it keeps all rows of
-    that message. The rank filter lets Spark keep one candidate per topic and
-    task before the shuffle, so a busy topic does not travel.
+    On decoded rows (``topic, message_id, arrived, row, …``) it keeps all rows of that message. The rank filter lets
+    Spark keep one candidate per topic and task before the shuffle, so a busy topic does not travel.
     """
     newest = Window.partitionBy("topic").orderBy(F.desc("arrived"), F.desc("message_id"))
-    ranked = messages.withColumn("__sf_rank", F.rank().over(newest))
-    return ranked.where(F.col("__sf_rank") == 1).drop("__sf_rank")
+    decoded = "row" in messages.columns
+    ranked = messages.withColumn("__sf_rank", (F.rank() if decoded else F.row_number()).over(newest))
+    latest = ranked.where(F.col("__sf_rank") == 1).drop("__sf_rank")
+    return latest.dropDuplicates(["topic", "message_id", "row"]) if decoded else latest

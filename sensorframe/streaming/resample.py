@@ -30,7 +30,7 @@ def resample_stream(
     aggs = require_aggregates(aggs)
     require_positive(every_s=every_s, period_s=period_s)
     require_columns(df, id_col, ts_col, value_col)
-    points = df.where(has_point(id_col, ts_col)).select(
+    points = df.where(has_point([id_col], ts_col)).select(
         id_col, ntz_to_instant(ts_col).alias("at"), F.col(value_col).cast("double").alias("v")
     )
     points = points.withWatermark("at", watermark)

@@ -22,6 +22,10 @@ from ..schema import (
 )
 
 
+#: Stands for a null tie-breaker, which comes before all others.
+_NO_SEQ = -(1 << 63)
+
+
 def rolling_stream(
     df: DataFrame,
     window_size: int = 30,
@@ -32,6 +36,7 @@ def rolling_stream(
     ts_col: str = "ts",
     value_col: str = "value",
     seq_col: str = "seq",
+    idle_timeout_s: int | None = None,
 ) -> DataFrame:
     """Streaming form of ``rolling`` for append mode.
 
@@ -40,7 +45,8 @@ def rolling_stream(
     the last one already answered cannot be placed any more and comes out with
     ``late = true`` and null results, so no row is lost. One identifier's part
     of a micro-batch is in one task's memory: bound it by the files per trigger
-    of the source.
+    of the source. ``idle_timeout_s`` (seconds) forgets identifiers that
+    bring no row for so long; without it their state stays.
 
     Returns ``(identifier, ts, seq, value, rolling_mean?, rolling_median?, late)``.
     """
@@ -53,34 +59,36 @@ def rolling_stream(
     results = [f"rolling_{agg}" for agg in aggs]
 
     def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(chunks), ignore_index=True).sort_values(["us", "seq"], ignore_index=True)
         values, last_us, last_seq = state.get if state.exists else ([], None, None)
-        late = pd.Series(False, index=rows.index)
+        late = np.zeros(len(rows), dtype=bool)
         if last_us is not None:
-            late = (rows["us"] < last_us) | ((rows["us"] == last_us) & (rows["seq"] <= last_seq))
-        done = rows[~late].reset_index(drop=True)
+            us, seq = rows["us"].to_numpy(), rows["seq"].to_numpy()
+            late = (us < last_us) | ((us == last_us) & (seq <= last_seq))
+        columns = {name: np.full(len(rows), np.nan) for name in results}
+        done = np.flatnonzero(~late)
         if len(done):
-            fresh = pa.array(done["v"].to_numpy(), mask=done["missing"].to_numpy())
+            fresh = pa.array(rows["v"].to_numpy()[done], mask=rows["missing"].to_numpy()[done])
             history = pa.array(values, pa.float64())
             series = pa.concat_arrays([history, fresh])
             together = np.zeros(len(series), dtype="int64")
-            columns = rolling_columns(series, together, window_size, min_periods, aggs)
+            rolled = rolling_columns(series, together, window_size, min_periods, aggs)
             for name in results:
-                done[name] = columns[name].slice(len(history)).to_numpy(zero_copy_only=False)
+                columns[name][done] = rolled[name].slice(len(history)).to_numpy(zero_copy_only=False)
             tail = series.slice(max(0, len(series) - keep)) if keep else series.slice(0, 0)
-            state.update((tail.to_pylist(), int(done["us"].iloc[-1]), int(done["seq"].iloc[-1])))
-        done["late"] = False
-        out = pd.concat([done, rows[late].assign(late=True)], ignore_index=True).assign(id=key[0])
-        for name in results:
-            if name not in out:
-                out[name] = None
-            out[name] = out[name].astype("float64")
+            state.update((tail.to_pylist(), int(rows["us"].iloc[done[-1]]), int(rows["seq"].iloc[done[-1]])))
+        if idle_timeout_s:
+            state.setTimeoutDuration(1000 * idle_timeout_s)
+        out = rows.assign(id=key[0], late=late, **columns)
         yield out[["id", "us", "seq", "v", "missing", *results, "late"]]
 
-    points = df.where(has_point(id_col, ts_col)).select(
+    points = df.where(has_point([id_col], ts_col)).select(
         F.col(id_col).alias("id"),
         epoch_us(ts_col).alias("us"),
-        F.col(seq_col).cast("bigint").alias("seq"),
+        F.coalesce(F.col(seq_col).cast("bigint"), F.lit(_NO_SEQ)).alias("seq"),
         F.col(value_col).cast("double").alias("v"),
         F.col(value_col).isNull().alias("missing"),
     )
@@ -91,12 +99,12 @@ def rolling_stream(
         f"id {id_type}, us bigint, seq bigint, v double, missing boolean{output}, late boolean",
         "last_values array<double>, us bigint, seq bigint",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_s else GroupStateTimeout.NoTimeout,
     )
     return rolled.select(
         F.col("id").alias(id_col),
         from_epoch("us").alias(ts_col),
-        F.col("seq").alias(seq_col),
+        F.nullif("seq", F.lit(_NO_SEQ)).alias(seq_col),
         F.col("v").alias(value_col),
         *[F.round(name, ROUND_DECIMALS).alias(name) for name in results],
         "late",

@@ -109,3 +109,21 @@ def test_latest_batch_per_topic(inbox):
 def test_latest_batch_ties_go_to_the_higher_id(spark):
     df = spark.createDataFrame([("t", n, T0, b"") for n in (1, 3, 2)], MESSAGES)
     assert rows(sf.latest_batch_per_topic(df), "message_id") == [(3,)]
+
+
+def test_a_redelivered_message_counts_once(spark, inbox):
+    twice = inbox.unionByName(inbox)
+    assert rows(sf.latest_batch_per_topic(twice), "topic", "message_id") == rows(sf.latest_batch_per_topic(inbox), "topic", "message_id")
+    decoded = sf.latest_batch_per_topic(sf.decode_payloads(twice))
+    assert rows(decoded) == rows(sf.latest_batch_per_topic(sf.decode_payloads(inbox)))
+
+
+def test_nanoseconds_are_cut_to_microseconds(spark):
+    for ns, us in ((1_704_067_200_000_000_789, 0), (-1, -1_704_067_200_000_001)):
+        log = pa.record_batch({"Identifier": pa.array([1]), "Timestamp": pa.array([ns], pa.timestamp("ns")), "V": pa.array([1.0])})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, log.schema) as writer:
+            writer.write_batch(log)
+        df = spark.createDataFrame([("t", 1, T0, sink.getvalue().to_pybytes())], MESSAGES)
+        (row,) = sf.decode_payloads(df).collect()
+        assert row["error"] is None and row["ts"] == datetime(2024, 1, 1) + timedelta(microseconds=us)

@@ -131,18 +131,42 @@ def test_a_repeated_micro_batch_replaces_its_own_output(spark, tmp_path):
 def test_latest_keeps_the_newest_readable_batch(spark, tmp_path):
     out = str(tmp_path / "out")
     sf.latest_stream(inbox(spark, tmp_path), out, f"{tmp_path}/c", available_now=True).awaitTermination()
-    assert rows(spark.read.parquet(out), "topic", "message_id", "row") == [
+    assert rows(spark.read.parquet(f"{out}/rows"), "topic", "message_id", "row") == [
         ("sensors/atuc", 2, 0),
         ("sensors/dtec", 5, 0),
     ]
+    letters = spark.read.parquet(f"{out}/dead_letters")
+    assert rows(letters.where("payload is not null and error is not null"), "message_id") == [(3,), (6,)]
+
+
+def test_an_older_message_never_replaces_a_newer_one(spark, tmp_path):
+    out = str(tmp_path / "out")
+    batches = [message("sensors/dtec", 9, TWO)], [message("sensors/dtec", 1, GOOD)], [message("sensors/dtec", 9, TWO)]
+    land(spark, tmp_path / "in", *batches, schema=MESSAGE)
+    stream = sf.message_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    sf.latest_stream(stream, out, f"{tmp_path}/c", available_now=True).awaitTermination()
+    assert rows(spark.read.parquet(f"{out}/rows"), "message_id", "row") == [(9, 0)]
 
 
 def test_append_keeps_every_row(spark, tmp_path):
     out = str(tmp_path / "out")
     sf.append_readings_stream(inbox(spark, tmp_path), out, f"{tmp_path}/c", available_now=True).awaitTermination()
-    assert rows(spark.read.parquet(out), "topic", "message_id") == [
+    stored = spark.read.parquet(out)
+    assert rows(stored.where("outcome = 'reading'"), "topic", "message_id") == [
         ("sensors/atuc", 2),
         ("sensors/dtec", 1),
         ("sensors/dtec", 1),
         ("sensors/dtec", 5),
     ]
+    letters = stored.where("outcome = 'dead_letter' and payload is not null and error is not null")
+    assert rows(letters, "topic", "message_id") == [("sensors/atuc", 6), ("sensors/ddoc/t1", 3)]
+
+
+def test_rolling_stream_takes_a_null_tie_breaker(spark, tmp_path):
+    first = [(i, ts, v, None) for i, ts, v, _ in points(range(20))]
+    second = [(i, ts, v, None) for i, ts, v, _ in points(range(20, 40))]
+    land(spark, tmp_path / "in", first, second)
+    got = run(sf.rolling_stream(source(spark, tmp_path / "in"), 3), tmp_path)
+    batch = sf.rolling(spark.createDataFrame(first + second, POINTS), 3)
+    assert got.where("late or seq is not null").count() == 0
+    assert rows(got, "identifier", "ts", "rolling_mean") == rows(batch, "identifier", "ts", "rolling_mean")
