@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..scratch import pin
 
@@ -34,21 +34,20 @@ def rank_in_groups(df: DataFrame, group: Sequence[str], order: Sequence[str], la
 
     The rows are range-partitioned on group and order and written once, so a group of any size spreads over many tasks.
     Rows number themselves inside their file, and the few (partition, group) pairs, at most partitions plus groups, are
-    summed up to where each begins. Rows alike in all of ``order`` get different ranks, in any order.
+    summed up to where each begins. Rows alike in all of ``order`` get different ranks, in any order; a number of their
+    own keeps even very many of them from meeting in one partition. ``df`` is read twice, as Spark samples it for the
+    ranges, so it should be cheap or written.
     """
-    keys = [*group, *order]
-    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    laid = pin(laid.withColumn("_at", F.monotonically_increasing_id()), label)
+    keys = [*group, *order, "_tie"]
+    laid = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    laid = pin(laid.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), label)
     laid = laid.withColumn("_part", F.shiftright("_at", 33))
     runs = laid.groupBy("_part", *group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    runs = pin(runs, f"{label}-runs")
-    # For each run, the rows of its group in earlier partitions; a group's runs are at most as many as partitions.
-    a, b = runs.alias("a"), runs.alias("b")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in group]
-    before = F.sum(F.when(F.col("b._part") < F.col("a._part"), F.col("b._n")).otherwise(0)).alias("_before")
-    runs = a.join(b, same).groupBy("a._part", *[f"a.{k}" for k in group], "a._first").agg(before)
+    # A group has one short row for each partition it reaches.
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = pin(runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"), f"{label}-runs")
     names = ["_part", *group, "_first", "_before"]
-    runs = runs.toDF(*names).select(*[F.col(n).alias(f"r{n}") for n in names])
+    runs = runs.select(*[F.col(n).alias(f"r{n}") for n in names])
     on = [F.col("_part") == F.col("r_part"), *[F.col(k).eqNullSafe(F.col(f"r{k}")) for k in group]]
     out = laid.join(runs, on).withColumn("rank", F.col("_at") - F.col("r_first") + F.col("r_before"))
     return out.select(*df.columns, "rank")

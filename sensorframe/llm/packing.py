@@ -172,8 +172,9 @@ def pack_documents(
     documents of equal length are interchangeable, so ties change which sequence holds a document, never the number of
     sequences. An empty table gives an empty result; other columns are not read.
     """
-    pieces = pieces_of(docs, tables, pattern, capacity, end_id, id_col, text_col)
-    ranked = rank_in_groups(pieces, ["length"], ["doc_id", "piece"], "pieces")
+    # written first: the range partitioning samples its input, which must not encode everything once more
+    pieces = pin(pieces_of(docs, tables, pattern, capacity, end_id, id_col, text_col), "pieces")
+    ranked = rank_in_groups(pieces, ["length"], ["doc_id", "piece"], "ranked-by-length")
     ranked = pin(ranked, "ranked-pieces")
     # One count per length: at most ``capacity`` rows.
     histogram = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}
