@@ -100,13 +100,23 @@ class RadixTrie:
             yield from part.items(key)
 
     def spill_if_full(self) -> None:
-        """Move the largest subtrees below the first branching to disk until half the budget is free."""
+        """Move the largest subtrees to disk until half the budget is free.
+
+        They are taken where no single child holds most of the trie any more, so a subtree built again is at most half
+        as heavy, and building nests a few times at most. A trie of one path, such as one very long text, has no subtree
+        to give away.
+        """
         if self.held <= self.limit:
             return
         top = self.root
-        while len(top[1]) == 1 and not isinstance(only := next(iter(top[1].values())), Spilled) and only[1]:
-            top = only
-        sizes = {first: weight(child) for first, child in top[1].items() if not isinstance(child, Spilled)}
+        while True:
+            sizes = {first: weight(child) for first, child in top[1].items() if not isinstance(child, Spilled)}
+            heaviest = max(sizes, key=sizes.get, default=None)
+            if heaviest is None or not (2 * sizes[heaviest] > self.held or len(top[1]) == 1) or not top[1][heaviest][1]:
+                break
+            top = top[1][heaviest]
+        if len(top[1]) < 2:
+            return
         for first in sorted(sizes, key=sizes.get, reverse=True):
             child, spilled = top[1][first], Spilled()
             stack = [(b"", child)]
