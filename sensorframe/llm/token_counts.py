@@ -100,6 +100,8 @@ def token_counts(
     whole = docs.select(F.col(id_col).cast("long").alias("owner"), body(text_col).alias("body"), F.sha2(normalised(text), 256).alias("d"))
     first = whole.join(missing, whole["owner"].eqNullSafe(missing["owner"]) & (whole["d"] == missing["digest"]), "left_semi")
     fresh = first.select(F.col("d").alias("digest"), "body").mapInArrow(count, "digest string, n_tokens long")
+    # rows repeated with the owner's id stand for it as well
+    fresh = fresh.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
     stored = spark.read.schema(CACHE_COLUMNS).parquet(cache_path).where(F.col("version") == version)
     stored = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
