@@ -53,17 +53,22 @@ def strength(children: DataFrame, low: float = 1.0, high: float = 1000.0) -> Dat
     room = F.col("all") - F.col("sq") / F.col("all") - (F.col("g") - 1)
     rho = (F.col("s") - rate_var * (F.col("g") - 1)) / (rate_var * room)
     usable = (F.col("g") > 1) & (room > 0) & (rate_var > 0)
-    rho = F.when(usable, F.least(F.lit(0.999), F.greatest(F.lit(0.0), rho))).otherwise(F.lit(0.0))
+    # with too little to estimate from, parents count as little as may be
+    rho = F.when(usable, F.least(F.lit(0.999), F.greatest(F.lit(0.0), rho))).otherwise(F.lit(1.0))
     return sums.select(F.least(F.lit(high), F.greatest(F.lit(low), (1 - rho) / F.greatest(rho, F.lit(1e-6)))).alias("m"))
 
 
-def shrunk(level: DataFrame, key: str, parents: DataFrame, parent_key: str, **bounds) -> DataFrame:
-    """``level(key, parent_key, n, k)`` with ``rate`` and ``weight`` of the posterior under its parent's ``rate``."""
-    known = level.join(parents.select(parent_key, F.col("rate").alias("parent")), parent_key)
-    # one row of one number, read by an aggregate subquery
-    prior = strength(known, **bounds).first()["m"]
-    weight = F.col("n") + F.lit(float(prior))
-    return known.select(key, parent_key, "n", "k", ((F.col("k") + F.lit(float(prior)) * F.col("parent")) / weight).alias("rate"), weight.alias("weight"))
+def shrunk(level: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:
+    """``level(key, parent_key, n, k)`` with the ``prior`` rate and strength ``m`` of its beta prior.
+
+    A prior comes from what the parent has besides the child itself, so no outcome counts twice on its way down.
+    """
+    above = parents.select(parent_key, *[F.col(c).alias(f"of_{c}") for c in ("n", "k", "prior", "m")])
+    rest = F.col("of_n") - F.col("n") + F.col("of_m")
+    prior = (F.col("of_k") - F.col("k") + F.col("of_m") * F.col("of_prior")) / rest
+    known = level.join(above, parent_key).select(key, parent_key, "n", "k", prior.alias("prior"))
+    m = strength(known.withColumnRenamed("prior", "parent")).first()["m"]  # one number
+    return known.withColumn("m", F.lit(float(m)))
 
 
 def host_reputation(
@@ -90,10 +95,12 @@ def host_reputation(
     hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
     hosts = pin(hosts.withColumn("root", F.lit(".")), "hosts")  # one row per host, read for three levels
     total = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    root = total(hosts, "root").select("root", ((F.col("k") + 0.5) / (F.col("n") + 1)).alias("rate"))
+    root = total(hosts, "root").select("*", F.lit(0.5).alias("prior"), F.lit(1.0).alias("m"))
     suffixes = shrunk(total(hosts, "suffix", "root"), "suffix", root, "root")
     domains = shrunk(total(hosts, "domain", "suffix"), "domain", suffixes, "suffix")
     known = shrunk(hosts.select("host", "domain", "n", "k"), "host", domains, "domain")
+    weight = F.col("n") + F.col("m")
+    known = known.withColumns({"rate": (F.col("k") + F.col("m") * F.col("prior")) / weight, "weight": weight})
     low = F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))
     known = known.select("host", F.col("rate").alias("bad_rate"), low.alias("bad_low"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)

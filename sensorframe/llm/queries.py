@@ -128,7 +128,7 @@ select r.x as doc_id, coalesce(any_value(n), 0) as n_shingles, min(r.y) as compo
 def _prior_sql(children: str) -> str:
     return f"""(
     select least(1000.0, greatest(1.0, (1 - rho) / greatest(rho, 1e-6))) from (
-        select case when g > 1 and room > 0 and rv > 0 then least(0.999, greatest(0.0, (s - rv * (g - 1)) / (rv * room))) else 0.0 end as rho
+        select case when g > 1 and room > 0 and rv > 0 then least(0.999, greatest(0.0, (s - rv * (g - 1)) / (rv * room))) else 1.0 end as rho
         from (select count(*) as g, sum(n * (k / n - parent) * (k / n - parent)) as s, sum(n * parent * (1 - parent)) / sum(n) as rv,
                      sum(n) - sum(n * n) / sum(n) - (count(*) - 1) as room
               from {children} where n > 0)))"""
@@ -146,13 +146,15 @@ with plain as (
 ), hosts as (
     select host, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix,
            cast(count(bad) as double) as n, cast(coalesce(sum(bad), 0) as double) as k from seen group by host
-), root as (select (sum(k) + 0.5) / (sum(n) + 1) as parent from hosts
-), s0 as (select suffix, sum(n) as n, sum(k) as k, any_value(parent) as parent from hosts, root group by suffix
-), s1 as (select suffix, (k + m * parent) / (n + m) as rate from s0, (select {_prior_sql('s0')} as m)
-), d0 as (select domain, suffix, sum(n) as n, sum(k) as k, any_value(rate) as parent from hosts join s1 using (suffix) group by domain, suffix
-), d1 as (select domain, (k + m * parent) / (n + m) as rate from d0, (select {_prior_sql('d0')} as m)
-), h0 as (select host, n, k, rate as parent from hosts join d1 using (domain)
-), h1 as (select host, (k + m * parent) / (n + m) as rate, n + m as weight from h0, (select {_prior_sql('h0')} as m)
+), root as (select sum(n) as n, sum(k) as k from hosts
+), s0 as (select suffix, s.n, s.k, (root.k - s.k + 0.5) / (root.n - s.n + 1.0) as parent
+          from (select suffix, sum(n) as n, sum(k) as k from hosts group by suffix) s, root
+), s1 as (select *, {_prior_sql('s0')} as m from s0
+), d0 as (select domain, d.n, d.k, (s1.k - d.k + s1.m * s1.parent) / (s1.n - d.n + s1.m) as parent
+          from (select domain, suffix, sum(n) as n, sum(k) as k from hosts group by domain, suffix) d join s1 using (suffix)
+), d1 as (select *, {_prior_sql('d0')} as m from d0
+), h0 as (select host, h.n, h.k, (d1.k - h.k + d1.m * d1.parent) / (d1.n - h.n + d1.m) as parent from hosts h join d1 using (domain)
+), h1 as (select host, (k + m * parent) / (n + m) as rate, n + m as weight from (select *, {_prior_sql('h0')} as m from h0)
 ), ruled as (
     select *, case
         when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
