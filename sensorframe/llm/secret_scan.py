@@ -70,23 +70,26 @@ def weak_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.select(F.explode(F.concat(label("secret", 1), label("plain", 0))).alias("s")).select("s.sample", "s.label")
 
 
-def train_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train_markov(samples: DataFrame, backoff: float = 8.0) -> list[float]:
     """Log-likelihood ratios of character pairs, random (label 1) against ordinary (label 0), as a table of 94 * 94.
 
-    Every sample counts. Pairs with a character outside printable ASCII are left out; without samples all ratios are 0.
+    Every sample counts. A pair's probability backs off, with the weight of ``backoff`` samples, to how frequent its
+    second character is in the class, so that contexts a class has never shown still tell. Pairs with a character outside
+    printable ASCII are left out; without samples all ratios are 0.
     """
     chars = F.split("sample", "")
     zipped = F.zip_with(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.struct((F.ascii(a) - _FIRST).alias("a"), (F.ascii(b) - _FIRST).alias("b")))
     pairs = samples.where("label in (0, 1)").select("label", F.explode(zipped).alias("p")).select("label", "p.a", "p.b")
     pairs = pairs.where(f"a between 0 and {_CODES - 1} and b between 0 and {_CODES - 1}").groupBy("label", "a", "b").count()
-    counts = [[[smoothing] * _CODES for _ in range(_CODES)] for _ in range(2)]
+    counts = [[[0.0] * _CODES for _ in range(_CODES)] for _ in range(2)]
     for r in pairs.collect():  # at most 2 * 94 * 94 counts
         counts[r["label"]][r["a"]][r["b"]] += r["count"]
-    table = []
-    for a in range(_CODES):
-        total = [sum(counts[label][a]) for label in (0, 1)]
-        table += [math.log(counts[1][a][b] / total[1]) - math.log(counts[0][a][b] / total[0]) for b in range(_CODES)]
-    return table
+    logs = []
+    for rows in counts:
+        total = sum(map(sum, rows))
+        single = [(sum(row[b] for row in rows) + 1) / (total + _CODES) for b in range(_CODES)]
+        logs.append([math.log((row[b] + backoff * single[b]) / (sum(row) + backoff)) for row in rows for b in range(_CODES)])
+    return [random - ordinary for ordinary, random in zip(*logs)]
 
 
 def mean_ratio(value: Column, table: list[float]) -> Column:
