@@ -405,7 +405,9 @@ def test_host_reputation(spark):
     assert (by[401].host, by[401].path) == (by[402].host, by[402].path) == ("", "")
     assert [by[i].rule for i in (403, 404, 405, 406, 407, 408, 409)] == ["example.net/en/", "net/", "net/", None, "example.com/de/", None, "org/fr/"]
     assert [by[i].verdict for i in (403, 404, 407, 409)] == ["allow", "block", "block", "allow"]
-    assert by[400].bad_rate > 0.5 > by[400].bad_low  # its domain is bad, but nothing is known of the host itself
+    assert by[400].verdict == "block" and by[400].bad_low < by[0].bad_low  # nothing is known of it, but its domain is bad
+    alone = host_reputation(pages.where("page_id in (402, 400)"), F.col("bad")).collect()
+    assert {r.verdict for r in alone} == {"allow"}  # one outcome is not enough
     assert host_reputation(pages.limit(0), F.col("bad")).count() == 0
     unlabelled = host_reputation(pages, F.lit(None), ())
     assert {(r.verdict, r.bad_rate) for r in unlabelled.collect()} == {("allow", 0.5)}
@@ -468,3 +470,16 @@ def test_no_spans_without_samples(spark, docs):
     table = train_markov(spark.createDataFrame([], "sample string, label int"))
     assert set(table) == {0.0}
     assert find_secrets(docs, table).where("size(found) > size(base)").count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 300, 5000])
+def test_trie_takes_texts_beyond_its_budget(limit):
+    nested = [b"x" * n for n in range(0, 400, 3)]
+    keys = nested + [b"x" * 200 + b"y" * n for n in range(60)] + [b"z" * 9000, b"z" * 9000, b"z" * 8999 + b"a"]
+    trie = RadixTrie(min, limit=limit)
+    for i, key in enumerate(keys):
+        trie.insert(key, i, 1)
+        trie.spill_if_full()
+    got = list(trie.items())
+    assert collections.Counter({k: n for k, _, n in got}) == collections.Counter(keys)
+    assert len(got) == len(set(keys)) and all(o == keys.index(k) for k, o, _ in got)
