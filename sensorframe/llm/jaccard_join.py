@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..scratch import pin
 from .common import batch_of, components, id_and_body
@@ -31,6 +31,8 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Signatures that a task compares before it sends them on.
 BUFFER_SIGNATURES = 1 << 20
+#: Shingles for each part in which signatures meet: about as many signatures as a task compares at once.
+PART_SHINGLES = 3 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -110,20 +112,25 @@ class Bands:
         return need + need // 8 + 6, need // 32 + 4
 
 
-#: What a row does in its signature: index and probe with a whole subset, probe only with one, and both again with a
-#: subset that lacks an element. Only the first two can lead: two subsets that both lack an element prove nothing.
-WHOLE, ASKS, LACKS, ASKS_LACKS, MARKER, RARE = 0, 1, 2, 3, 4, 5
+#: What a set does in a signature: index and probe with a whole subset, probe only with one, and both again with a
+#: subset that lacks an element. Two subsets that both lack an element prove nothing. With 4 added, a row only marks
+#: that a task has members of this signature, which travel on their own. RARE is the fallback's.
+WHOLE, ASKS, LACKS, ASKS_LACKS, MARK, RARE = 0, 1, 2, 3, 4, 8
+#: A signature keeps its 53 highest bits, so that one with a role takes 7 bytes where rows are many.
+_DROPPED = np.uint64(11)
+_KEY_BYTES = 7
 
 
-def pack(role: int, offset: int, units: np.ndarray | int, spare: int, segment: np.ndarray) -> np.ndarray:
-    return role | offset << 3 | np.int64(min(spare, 0xFFFF)) << 8 | (np.asarray(units, np.int64) - 1) << 6 | segment.astype(np.int64) << 24
+def short(sig: np.ndarray) -> np.ndarray:
+    return (sig >> _DROPPED).view(np.int64)
 
 
-ROLE, OFFSET, UNITS, SPARE, SEGMENT = (f"(meta & 7)", "(shiftright(meta, 3) & 7)", "(1 + (shiftright(meta, 6) & 1))", "(shiftright(meta, 8) & 65535)", "shiftright(meta, 24)")
+def signatures(hashes: np.ndarray, bands: Bands, plans: dict) -> Iterator[tuple]:
+    """(role, signatures, segments, units, offset, spare) that one set sends out.
 
-
-def signatures(hashes: np.ndarray, bands: Bands, plans: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(signatures, meta) that one set sends out: as index and probe in its own band, as probe in those below."""
+    As index and probe in its own band, as probe in those below; ``offset`` is how many bands below. ``spare`` is how many
+    units the probe has beyond what it needs, ``units`` what each segment is worth.
+    """
     size = len(hashes)
     own = bands.band(size)
     for band in bands.probes(size):
@@ -135,7 +142,8 @@ def signatures(hashes: np.ndarray, bands: Bands, plans: dict) -> Iterator[tuple[
         scrambled = mix(hashes + salt)
         order = np.argsort(place, kind="stable")
         place, scrambled = place[order], scrambled[order]
-        segment, first, count = np.unique(place, return_index=True, return_counts=True)
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        segment, count = place[first], np.diff(first, append=size)
         total = np.add.reduceat(scrambled, first)
         units = 1 + ((count >= 2) & (segment < neighbours))
         need, have = bands.units(size, band), int(units.sum())
@@ -146,28 +154,29 @@ def signatures(hashes: np.ndarray, bands: Bands, plans: dict) -> Iterator[tuple[
             chosen = by_size[: int(np.searchsorted(np.cumsum(units[by_size]), need + need // 16 + 2)) + 1]
             spare = max(0, int(units[chosen].sum()) - need)
         if have < need:
-            rare = hashes[:need]
-            yield mix(rare ^ salt).view(np.int64), pack(RARE, offset, 1, 0, np.zeros(len(rare)))
+            yield RARE, short(mix(hashes[:need] ^ salt)), np.zeros(need, np.int64), np.ones(need, np.int64), offset, 0
             if band < own:
                 continue
-            spare = len(segment) * 2
+            spare = 2 * size  # nothing to ask for in this way
         number = segment.astype(np.uint64) * _MIX[1] + salt
         whole, lacks = (WHOLE, LACKS) if band == own else (ASKS, ASKS_LACKS)
-        yield mix(total ^ number)[chosen].view(np.int64), pack(whole, offset, units[chosen], spare, segment[chosen])
-        at = np.repeat(np.arange(len(segment)), count)
+        yield whole, short(mix(total ^ number)[chosen]), segment[chosen], units[chosen], offset, spare
         keep = np.zeros(len(segment), bool)
         keep[chosen] = True
-        rich = np.flatnonzero((units[at] == 2) & keep[at])
-        if len(rich):
-            yield mix((total[at[rich]] - scrambled[rich]) ^ number[at[rich]]).view(np.int64), pack(lacks, offset, 2, spare, segment[at[rich]])
+        at = np.repeat(np.flatnonzero((units == 2) & keep), count[(units == 2) & keep])
+        if len(at):
+            rich = np.flatnonzero(np.repeat((units == 2) & keep, count))
+            yield lacks, short(mix((total[at] - scrambled[rich]) ^ number[at])), segment[at], units[at], offset, spare
 
 
 _CLASS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("cls", pa.int64())])
 _CLASS_SQL = "doc_id long, n_shingles long, key binary, cls long"
-_SENT = pa.schema([("part", pa.int64()), ("sig", pa.int64()), ("cls", pa.int64()), ("leader", pa.int64()), ("meta", pa.int64()), ("passed", pa.bool_())])
-_SENT_SQL = "part long, sig long, cls long, leader long, meta long, passed boolean"
-_MEMBER_SQL = "sig long, cls long, leader long, meta long"
-_MEMBER = pa.schema([(n, pa.int64()) for n in ("sig", "cls", "leader", "meta")])
+_SENT = pa.schema([("part", pa.int64()), ("kind", pa.int8()), ("block", pa.binary())])
+_SENT_SQL = "part long, kind byte, block binary"
+_MEMBER_SQL = "sig long, cls long, leader long, role long"
+_MEMBER = pa.schema([(n, pa.int64()) for n in ("sig", "cls", "leader", "role")])
+_ALLOTTED = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("comp", pa.int64()), ("role", pa.int64()), ("asks", pa.bool_())])
+_ALLOTTED_SQL = "sig long, cls long, comp long, role long, asks boolean"
 
 
 def class_key(words: list[bytes], salt: int) -> tuple[bytes, int]:
@@ -179,32 +188,65 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*(c.to_pylist() for c in batch.columns))
 
 
-def send(batches: Iterator[pa.RecordBatch], bands: Bands, n: int, salt: int) -> Iterator[pa.RecordBatch]:
-    """Signatures of the distinct sets of a task.
+def pack(sig: np.ndarray, role: np.ndarray, cls: np.ndarray) -> bytes:
+    """Rows of neighbouring sets as one block: each set once with its number of rows, then 7 bytes a row."""
+    start = np.concatenate([[True], cls[1:] != cls[:-1]])
+    count = np.diff(np.flatnonzero(start), append=len(cls)).astype("<u4")
+    key = (sig.astype("<u8") << np.uint64(3) | role.astype("<u8")).astype("<u8")
+    key = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES])
+    return len(count).to_bytes(4, "little") + cls[start].astype("<i8").tobytes() + count.tobytes() + key.tobytes()
+
+
+def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(signature and role as one number, set) of a block's rows."""
+    n = int.from_bytes(block[:4], "little")
+    cls = np.frombuffer(block, "<i8", n, 4)
+    count = np.frombuffer(block, "<u4", n, 4 + 8 * n)
+    key = np.frombuffer(block, np.uint8, -1, 4 + 12 * n).reshape(-1, _KEY_BYTES)
+    whole = np.zeros((len(key), 8), np.uint8)
+    whole[:, :_KEY_BYTES] = key
+    return whole.view("<u8").ravel().astype(np.int64), np.repeat(cls, count)
 
-    Of signatures that several sets of a buffer share, the rows go to partitions of their own, each with the buffer's
-    leader, and one marker goes to where the signature meets those of other tasks: so no signature, however frequent,
-    puts more than a few rows of a task into one partition.
+
+def send(batches: Iterator[pa.RecordBatch], bands: Bands, n: int, salt: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Signatures of the distinct sets of a task, in blocks by the part in which a signature meets those of other tasks.
+
+    Of signatures that several sets of a buffer share, the members go to any part, each with the buffer's leader, and
+    one mark goes to the signature's own: so no signature, however frequent, puts more than a row for each buffer there.
     """
     plans: dict = {}
-    sigs, metas, owners, held, seen = [], [], [], 0, set()
+    sigs, roles, owners, counts, held, seen, turn = [], [], [], [], 0, set(), 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        sig, meta = np.concatenate(sigs), np.concatenate(metas)
-        cls = np.repeat(np.array([c for c, _ in owners], np.int64), [k for _, k in owners])
-        order = np.lexsort((meta & 7, sig))
-        sig, meta, cls = sig[order], meta[order], cls[order]
-        start = np.concatenate([[True], sig[1:] != sig[:-1]])
+        nonlocal turn
+        sig, cls = np.concatenate(sigs), np.repeat(np.array(owners, np.int64), counts)
+        role = np.repeat(np.array([r for r, _ in roles], np.int64), [k for _, k in roles])
+        order = np.lexsort((role, sig))
+        start = np.concatenate([[True], sig[order][1:] != sig[order][:-1]])
         run = np.cumsum(start) - 1
-        first = np.flatnonzero(start)
-        leader = cls[first][run]
-        shared = (np.bincount(run)[run] >= 2) & ((meta & 7) != RARE)
-        lead = shared & start
-        part = np.where(shared, mix((sig ^ cls).view(np.uint64)).view(np.int64), sig)
-        out = [np.concatenate(x) for x in ((part, sig[lead]), (sig, sig[lead]), (cls, leader[lead]), (leader, leader[lead]), (meta, meta[lead] | 1 << 60), (shared, np.zeros(lead.sum(), bool)))]
-        for i in range(0, len(out[0]), 100_000):
-            yield batch_of(_SENT, [x[i : i + 100_000] for x in out])
-        sigs.clear(), metas.clear(), owners.clear()
+        several = (np.bincount(run)[run] >= 2) | (role[order] == RARE)
+        leader = cls[order][np.flatnonzero(start)][run]
+        alone = np.sort(order[~several])  # back in the order of sets
+        mark = order[several & start & (role[order] != RARE)]
+        own = np.concatenate([alone, mark])
+        part, code = sig[own] % parts, np.concatenate([role[alone], role[mark] | MARK])
+        by_part = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[by_part], np.arange(parts + 1))
+        out = []
+        for i in np.flatnonzero(np.diff(edges)):
+            at = by_part[edges[i] : edges[i + 1]]
+            out.append((int(i), 0, pack(sig[own][at], code[at], cls[own][at])))
+        passed = order[several]
+        lead = np.where(role[passed] == RARE, cls[passed], leader[several])
+        for i in range(0, len(passed), 50_000):
+            some = slice(i, i + 50_000)
+            rows = np.stack([sig[passed][some], cls[passed][some], lead[some], role[passed][some]]).astype("<i8")
+            turn += 1
+            out.append((int(mix(np.array([turn ^ int(sig[0])], np.int64).view(np.uint64))[0] % np.uint64(parts)), 1, rows.tobytes()))
+        for x in (sigs, roles, owners, counts):
+            x.clear()
+        for i in range(0, len(out), 64):
+            yield batch_of(_SENT, zip(*out[i : i + 64]))
 
     for batch in batches:
         for doc_id, text in rows_of(batch):
@@ -216,11 +258,12 @@ def send(batches: Iterator[pa.RecordBatch], bands: Bands, n: int, salt: int) ->
                 seen.clear()
             seen.add(key)
             some = 0
-            for sig, meta in signatures(shingle_hashes(words, n), bands, plans):
+            for role, sig, *_ in signatures(shingle_hashes(words, n), bands, plans):
                 sigs.append(sig)
-                metas.append(meta)
+                roles.append((role, len(sig)))
                 some += len(sig)
-            owners.append((cls, some))
+            owners.append(cls)
+            counts.append(some)
             held += some
             if held > BUFFER_SIGNATURES:
                 yield from flush()
@@ -230,31 +273,38 @@ def send(batches: Iterator[pa.RecordBatch], bands: Bands, n: int, salt: int) ->
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (part, role), those whose signature another row has, with the first row's set as leader."""
-    last: list | None = None  # part, sig, cls, meta, leader, given out
+    """Of blocks sorted by part, the rows whose signature another row has, with the run's first set as leader."""
+    blocks: list[tuple[np.ndarray, np.ndarray]] = []
+    now = None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        key, cls = (np.concatenate(x) for x in zip(*blocks))
+        blocks.clear()
+        order = np.argsort(key, kind="stable")
+        sig, role, cls = key[order] >> 3, key[order] & 7, cls[order]
+        start = np.concatenate([[True], sig[1:] != sig[:-1]])
+        run, first = np.cumsum(start) - 1, np.flatnonzero(start)
+        # a run needs two rows, of which one holds a whole subset
+        good = (np.bincount(run) >= 2) & (np.minimum.reduceat(role & 3, first) <= ASKS)
+        at = good[run]
+        yield from _members(sig[at], cls[at], cls[first][run][at], role[at])
 
     for batch in batches:
-        part, sig, cls, leader, meta = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        passed = batch.column(5).to_numpy(zero_copy_only=False)
-        out = [[sig[passed], cls[passed], leader[passed], meta[passed]]]
-        rare = ~passed & ((meta & 7) == RARE)
-        out.append([sig[rare], cls[rare], cls[rare], meta[rare]])
-        rest = ~passed & ~rare
-        sig, cls, meta = sig[rest], cls[rest], meta[rest]
-        if len(sig):
-            given = np.zeros(len(sig), bool)
-            if last is not None:
-                sig, cls, meta, given = (np.concatenate([[a], b]) for a, b in zip((last[0], last[1], last[2], last[4]), (sig, cls, meta, given)))
-            same = sig[1:] == sig[:-1]
-            start = np.concatenate([[True], ~same])
-            lead = cls[np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))]
-            if last is not None:
-                lead[: len(sig) if start[1:].sum() == 0 else 1 + int(np.argmax(start[1:]))] = last[3]
-            several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            now = several & ~given
-            out.append([sig[now], cls[now], lead[now], meta[now]])
-            last = [sig[-1], cls[-1], meta[-1], lead[-1], bool(given[-1] or now[-1])]
-        yield batch_of(_MEMBER, [np.concatenate(x) for x in zip(*out)])
+        for part, kind, block in rows_of(batch):
+            if kind:
+                yield from _members(*np.frombuffer(block, "<i8").reshape(4, -1))
+                continue
+            if blocks and part != now:
+                yield from done()
+            now = part
+            blocks.append(unpack(block))
+    if blocks:
+        yield from done()
+
+
+def _members(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), 100_000):
+        yield batch_of(_MEMBER, [c[i : i + 100_000] for c in columns])
 
 
 def linked(a: bytes, b: bytes, n: int, num: int, known: dict) -> bool:
@@ -320,8 +370,10 @@ class Join:
 
     def signed(self) -> DataFrame:
         bands, n, salt = self.bands, self.n, self.salt
-        sent = self.rows.mapInArrow(lambda batches: send(batches, bands, n, salt), _SENT_SQL)
-        met = sent.repartition("part").sortWithinPartitions("part", "sig", F.expr(ROLE)).mapInArrow(meet, _MEMBER_SQL)
+        shingles = self.classes.agg(F.sum("size")).first()[0] or 0
+        parts = max(64, shingles // PART_SHINGLES)
+        sent = self.rows.mapInArrow(lambda batches: send(batches, bands, n, salt, parts), _SENT_SQL)
+        met = sent.repartition("part").sortWithinPartitions("part").mapInArrow(meet, _MEMBER_SQL)
         return pin(met, "jaccard-signatures")
 
     def sized(self, pairs: DataFrame) -> DataFrame:
@@ -331,13 +383,9 @@ class Join:
         pairs = pairs.join(size.toDF("a", "size_a", "first_a"), "a").join(size.toDF("b", "size_b", "first_b"), "b")
         return pairs.where(f"100 * least(size_a, size_b) >= {self.num} * greatest(size_a, size_b)")
 
-    def verified(self, pairs: DataFrame, label: str) -> DataFrame:
-        """Those of the pairs whose whole texts link."""
-        n, num, salt = self.n, self.num, self.salt
-        pairs = pin(self.sized(pairs), f"{label}-pairs")
-        side = lambda s: F.struct(F.col(s).alias("cls"), F.col(f"first_{s}").alias("doc_id"))
-        wanted = pairs.select(F.explode(F.array(side("a"), side("b"))).alias("x")).select("x.*").distinct()
-        pages = page_filter(wanted, "doc_id")
+    def texts(self, wanted: DataFrame, label: str) -> DataFrame:
+        """``cls, body`` for ``wanted(cls, doc_id)``, one text each; others are dropped before anything is shuffled."""
+        salt, pages = self.salt, page_filter(wanted, "doc_id")
         spots = self.rows.select("doc_id", "body", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_PAGES * 32768)).alias("spot"))
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +396,15 @@ class Join:
                     yield batch_of(pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("body", pa.binary())]), zip(*out))
 
         texts = spots.mapInArrow(pick, "doc_id long, cls long, body binary").join(wanted, ["doc_id", "cls"], "left_semi")
-        texts = texts.dropDuplicates(["cls"]).select("cls", "body")
+        return pin(texts.dropDuplicates(["cls"]).select("cls", "body"), f"{label}-texts")
+
+    def verified(self, pairs: DataFrame, label: str) -> DataFrame:
+        """Those of the pairs whose whole texts link."""
+        n, num = self.n, self.num
+        pairs = pin(self.sized(pairs), f"{label}-pairs")
+        side = lambda s: F.struct(F.col(s).alias("cls"), F.col(f"first_{s}").alias("doc_id"))
+        wanted = pairs.select(F.explode(F.array(side("a"), side("b"))).alias("x")).select("x.*").distinct()
+        texts = self.texts(wanted, label)
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict = {}
@@ -357,7 +413,6 @@ class Join:
                 if out:
                     yield batch_of(pa.schema([("a", pa.int64()), ("b", pa.int64())]), zip(*out))
 
-        texts = pin(texts, f"{label}-texts")
         both = pairs.select("a", "b").join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
         return pin(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), f"{label}-links")
 
@@ -370,23 +425,61 @@ class Join:
         mixed = own.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
         return own.join(mixed.select("sig"), "sig", "left_semi")
 
+    def allotted(self, members: DataFrame) -> DataFrame:
+        """``sig, cls, comp, role, asks`` for ``members(sig, cls, comp)``: which signatures a set still asks in.
+
+        A set may spare as many units as it has beyond its need in a band; it spares the segments whose signatures most
+        sets share. A set with no more units here than it can spare asks nowhere, and a text with few shared
+        signatures is soon done with.
+        """
+        n, bands = self.n, self.bands
+        costs = members.groupBy("sig").agg(F.count("*").alias("cost"))
+        own = members.join(costs, "sig").groupBy("cls", "comp")
+        own = own.agg(F.sort_array(F.collect_list(F.struct("sig", "cost"))).alias("shared"))
+        own = own.join(self.classes.select("cls", F.col("first").alias("doc_id")), "cls")
+        own = pin(own.select("cls", "doc_id", "comp", F.col("shared.sig").alias("sigs"), F.col("shared.cost").alias("costs")), "jaccard-shared")
+        texts = self.texts(own.select("cls", "doc_id"), "jaccard-unsettled")
+
+        def allot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            plans: dict = {}
+            for batch in batches:
+                for cls, comp, sigs, costs, text in rows_of(batch):
+                    sigs, costs = np.array(sigs, np.int64), np.array(costs, np.int64)
+                    bands_of: dict[int, list] = {}
+                    for role, sig, segment, units, offset, spare in signatures(shingle_hashes(words_of(text), n), bands, plans):
+                        if role != RARE:
+                            at = np.minimum(np.searchsorted(sigs, sig), len(sigs) - 1)
+                            here = sigs[at] == sig
+                            bands_of.setdefault(offset, [spare, []])[1].append((sig[here], np.full(here.sum(), role), segment[here], units[here], costs[at[here]]))
+                    for spare, parts in bands_of.values():
+                        sig, role, segment, units, cost = (np.concatenate(x) for x in zip(*parts))
+                        if not len(sig):
+                            continue
+                        which, place = np.unique(segment, return_inverse=True)
+                        dear, worth = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+                        np.maximum.at(dear, place, cost)
+                        np.maximum.at(worth, place, units)
+                        by_cost = np.argsort(-dear, kind="stable")
+                        asks = np.zeros(len(which), bool)
+                        asks[by_cost[np.cumsum(worth[by_cost]) > spare]] = True
+                        same = lambda value: np.full(len(sig), value, np.int64)
+                        yield batch_of(_ALLOTTED, (sig, same(cls), same(comp), role, asks[place]))
+
+        rows = own.drop("doc_id").join(texts, "cls").select("cls", "comp", "sigs", "costs", "body")
+        return rows.mapInArrow(allot, _ALLOTTED_SQL)
+
     def across(self, members: DataFrame) -> DataFrame:
-        """All pairs of a probe and an indexed set of another component, after each probe gave up its costliest units."""
-        members = members.select("sig", "cls", "comp", *[F.expr(e).cast("long").alias(k) for k, e in (("role", ROLE), ("offset", OFFSET), ("units", UNITS), ("spare", SPARE), ("segment", SEGMENT))])
-        sizes = members.groupBy("sig").agg(F.count("*").alias("cost"))
-        members = members.join(sizes, "sig")
-        segments = members.groupBy("cls", "offset", "segment").agg(F.max("cost").alias("cost"), F.max("units").alias("units"), F.max("spare").alias("spare"))
-        dearest = Window.partitionBy("cls", "offset").orderBy(F.desc("cost"), "segment")
-        spent = segments.withColumn("spent", F.sum("units").over(dearest.rowsBetween(Window.unboundedPreceding, 0)))
-        kept = spent.where("spent > spare").select("cls", "offset", "segment")
-        probes = members.join(kept, ["cls", "offset", "segment"], "left_semi").select("sig", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), F.col("role").alias("role_a"))
-        index = members.where(F.col("role").isin(WHOLE, LACKS)).select("sig", F.col("cls").alias("b"), F.col("comp").alias("comp_b"), F.col("role").alias("role_b"))
+        """All pairs of a probe and an indexed set of another component, in the signatures that the probe could not spare."""
+        rows = pin(self.allotted(members), "jaccard-allotted")
+        probes = rows.where("asks").select("sig", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), F.col("role").alias("role_a"))
+        index = rows.where(F.col("role").isin(WHOLE, LACKS))
+        index = index.select("sig", F.col("cls").alias("b"), F.col("comp").alias("comp_b"), F.col("role").alias("role_b"))
         proves = (F.col("role_a") <= ASKS) | (F.col("role_b") == WHOLE)
-        return probes.join(index, "sig").where(proves & (F.col("comp_a") != F.col("comp_b"))).select("a", "b")
+        return probes.join(index, "sig").where(proves & (F.col("comp_a") != F.col("comp_b"))).select("a", "b").distinct()
 
     def rare(self, members: DataFrame) -> DataFrame:
         """Pairs of probes that had too few units: any of their first shingles, as many as units needed, is in every partner."""
-        asked = members.where(F.expr(f"{ROLE} = {RARE}")).select("sig", F.col("cls").alias("a"))
+        asked = members.where(f"role = {RARE}").select("sig", F.col("cls").alias("a"))
         pages, bands, n, salt = page_filter(asked, "sig"), self.bands, self.n, self.salt
         if not pages:
             return asked.select("a", F.col("a").alias("b"))
@@ -398,7 +491,7 @@ class Join:
                     if doc_id is None or not words:
                         continue
                     hashes = shingle_hashes(words, n)
-                    sig = mix(hashes ^ np.uint64(bands.band(len(hashes)) * 0x1000003 + 7)).view(np.int64)
+                    sig = short(mix(hashes ^ np.uint64(bands.band(len(hashes)) * 0x1000003 + 7)))
                     yield batch_of(pa.schema([("sig", pa.int64()), ("b", pa.int64())]), (sig, np.full(len(sig), class_key(words, salt)[1])))
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,13 +503,14 @@ class Join:
 
     def components(self) -> DataFrame:
         signed = self.signed()
-        # The first pairs: every member and its leader, if they meet often enough to be worth a look.
-        star = signed.where(F.expr(f"cls != leader and {ROLE} != {RARE}")).groupBy("cls", "leader")
-        star = star.agg(F.count("*").alias("times"), F.min(F.expr(SPARE)).alias("spare")).where("times >= least(3, spare + 1)")
+        met = signed.where(f"role != {RARE}")
+        # The first pairs: sets and their leaders. Links of sets beyond a few shingles share several signatures, so a
+        # single one is not worth a look yet; nothing is lost, as signatures whose members stay apart are taken up below.
+        star = met.where("cls != leader").groupBy("cls", "leader").agg(F.count("*").alias("times"))
+        star = star.join(self.classes.select("cls", "size"), "cls").where("times >= if(size < 8, 1, 3)")
         links = self.verified(star.select(F.col("cls").alias("a"), F.col("leader").alias("b")), "jaccard-star")
         comps = self.named(links, "jaccard-star")
-        members = signed.where(F.expr(f"{ROLE} != {RARE} and meta < {1 << 60}")).drop("leader")
-        left = pin(self.unsettled(members, comps), "jaccard-unsettled")
+        left = pin(self.unsettled(met.where(f"role < {MARK}").select("sig", "cls"), comps), "jaccard-unsettled")
         more = self.verified(self.across(left).union(self.rare(signed)), "jaccard-across")
         return self.named(links.union(more), "jaccard")
 
