@@ -175,8 +175,8 @@ _SENT = pa.schema([("part", pa.int64()), ("kind", pa.int8()), ("block", pa.binar
 _SENT_SQL = "part long, kind byte, block binary"
 _MEMBER_SQL = "sig long, cls long, leader long, role long"
 _MEMBER = pa.schema([(n, pa.int64()) for n in ("sig", "cls", "leader", "role")])
-_ALLOTTED = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("comp", pa.int64()), ("role", pa.int64()), ("asks", pa.bool_())])
-_ALLOTTED_SQL = "sig long, cls long, comp long, role long, asks boolean"
+_ALLOTTED = pa.schema([*((n, pa.int64()) for n in ("sig", "cls", "comp", "role", "size", "least")), ("asks", pa.bool_())])
+_ALLOTTED_SQL = "sig long, cls long, comp long, role long, size long, least long, asks boolean"
 
 
 def class_key(words: list[bytes], salt: int) -> tuple[bytes, int]:
@@ -425,19 +425,23 @@ class Join:
         mixed = own.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
         return own.join(mixed.select("sig"), "sig", "left_semi")
 
-    def allotted(self, members: DataFrame) -> DataFrame:
-        """``sig, cls, comp, role, asks`` for ``members(sig, cls, comp)``: which signatures a set still asks in.
+    def shared(self, members: DataFrame) -> DataFrame:
+        """Each set of ``members(sig, cls, comp)`` with its signatures, in order, and how many sets share each."""
+        costs = members.groupBy("sig").agg(F.count("*").alias("cost"))
+        own = members.join(costs, "sig").groupBy("cls", "comp")
+        own = own.agg(F.sort_array(F.collect_set(F.struct("sig", "cost"))).alias("shared"))
+        own = own.join(self.classes.select("cls", F.col("first").alias("doc_id")), "cls")
+        return pin(own.select("cls", "doc_id", "comp", F.col("shared.sig").alias("sigs"), F.col("shared.cost").alias("costs")), "jaccard-shared")
+
+    def allotted(self, own: DataFrame) -> DataFrame:
+        """``sig, cls, comp, role, size, least, asks`` for ``shared``: which signatures a set still asks in.
 
         A set may spare as many units as it has beyond its need in a band; it spares the segments whose signatures most
         sets share. A set with no more units here than it can spare asks nowhere, and a text with few shared
-        signatures is soon done with.
+        signatures is soon done with. ``least`` is how many signatures it shares with any partner: the units beyond its
+        need, of which a segment of two units may show only one.
         """
         n, bands = self.n, self.bands
-        costs = members.groupBy("sig").agg(F.count("*").alias("cost"))
-        own = members.join(costs, "sig").groupBy("cls", "comp")
-        own = own.agg(F.sort_array(F.collect_list(F.struct("sig", "cost"))).alias("shared"))
-        own = own.join(self.classes.select("cls", F.col("first").alias("doc_id")), "cls")
-        own = pin(own.select("cls", "doc_id", "comp", F.col("shared.sig").alias("sigs"), F.col("shared.cost").alias("costs")), "jaccard-shared")
         texts = self.texts(own.select("cls", "doc_id"), "jaccard-unsettled")
 
         def allot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,12 +450,15 @@ class Join:
                 for cls, comp, sigs, costs, text in rows_of(batch):
                     sigs, costs = np.array(sigs, np.int64), np.array(costs, np.int64)
                     bands_of: dict[int, list] = {}
-                    for role, sig, segment, units, offset, spare in signatures(shingle_hashes(words_of(text), n), bands, plans):
+                    hashes, least = shingle_hashes(words_of(text), n), {}
+                    for role, sig, segment, units, offset, spare in signatures(hashes, bands, plans):
+                        if role in (WHOLE, ASKS):
+                            least[offset] = max(1, spare + 1 - int((units == 2).sum()))
                         if role != RARE:
                             at = np.minimum(np.searchsorted(sigs, sig), len(sigs) - 1)
                             here = sigs[at] == sig
                             bands_of.setdefault(offset, [spare, []])[1].append((sig[here], np.full(here.sum(), role), segment[here], units[here], costs[at[here]]))
-                    for spare, parts in bands_of.values():
+                    for offset, (spare, parts) in bands_of.items():
                         sig, role, segment, units, cost = (np.concatenate(x) for x in zip(*parts))
                         if not len(sig):
                             continue
@@ -463,19 +470,27 @@ class Join:
                         asks = np.zeros(len(which), bool)
                         asks[by_cost[np.cumsum(worth[by_cost]) > spare]] = True
                         same = lambda value: np.full(len(sig), value, np.int64)
-                        yield batch_of(_ALLOTTED, (sig, same(cls), same(comp), role, asks[place]))
+                        yield batch_of(_ALLOTTED, (sig, same(cls), same(comp), role, same(len(hashes)), same(least[offset]), asks[place]))
 
         rows = own.drop("doc_id").join(texts, "cls").select("cls", "comp", "sigs", "costs", "body")
         return rows.mapInArrow(allot, _ALLOTTED_SQL)
 
     def across(self, members: DataFrame) -> DataFrame:
         """All pairs of a probe and an indexed set of another component, in the signatures that the probe could not spare."""
-        rows = pin(self.allotted(members), "jaccard-allotted")
-        probes = rows.where("asks").select("sig", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), F.col("role").alias("role_a"))
-        index = rows.where(F.col("role").isin(WHOLE, LACKS))
-        index = index.select("sig", F.col("cls").alias("b"), F.col("comp").alias("comp_b"), F.col("role").alias("role_b"))
+        own = self.shared(members)
+        rows = pin(self.allotted(own), "jaccard-allotted")
+        side = lambda s, *more: [F.col(c).alias(f"{c}_{s}") for c in ("cls", "comp", "role", "size", *more)]
+        probes = rows.where("asks").select("sig", *side("a", "least"))
+        index = rows.where(F.col("role").isin(WHOLE, LACKS)).select("sig", *side("b"))
         proves = (F.col("role_a") <= ASKS) | (F.col("role_b") == WHOLE)
-        return probes.join(index, "sig").where(proves & (F.col("comp_a") != F.col("comp_b"))).select("a", "b").distinct()
+        sizes = f"size_b <= size_a and 100 * size_b >= {self.num} * size_a"
+        # of two sets of one band, the larger one's question is enough
+        pairs = probes.join(index, "sig").where(proves & F.expr(f"comp_a != comp_b and {sizes}"))
+        pairs = pin(pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "least_a").distinct(), "jaccard-asked")
+        # partners share many signatures, sets with a passage in common only a few
+        both = pairs.join(own.select(F.col("cls").alias("a"), F.col("sigs").alias("sigs_a")), "a")
+        both = both.join(own.select(F.col("cls").alias("b"), F.col("sigs").alias("sigs_b")), "b")
+        return both.where(F.size(F.array_intersect("sigs_a", "sigs_b")) >= F.col("least_a")).select("a", "b")
 
     def rare(self, members: DataFrame) -> DataFrame:
         """Pairs of probes that had too few units: any of their first shingles, as many as units needed, is in every partner."""
