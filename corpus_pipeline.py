@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sensorframe.llm import exact_groups, jaccard_components, pack_documents, quality_rules, redact, train_markov
 from sensorframe.llm.queries import byte_tables
-from sensorframe.llm.secret_scan import weak_samples
+from sensorframe.llm.secret_scan import labelled_samples
 from sensorframe.scratch import pin
 
 
@@ -39,7 +39,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark."""
-    return redact(docs, train_markov(weak_samples(docs)))
+    return redact(docs, train_markov(labelled_samples(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from .jaccard_join import jaccard_components
 from .packing import pack_documents
 from .quality_model import fit_quality, quality_features, score_quality
 from .quality_rules import quality_rules
-from .secret_scan import find_secrets, listed, train_markov, weak_samples
+from .secret_scan import find_secrets, labelled_samples, listed, train_markov
 from .sharding import rendezvous_shards
 from .token_counts import token_counts
 
@@ -85,7 +85,7 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = find_secrets(docs, train_markov(weak_samples(docs)))
+    found = find_secrets(docs, train_markov(labelled_samples(docs)))
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("found")).alias("spans")
     )

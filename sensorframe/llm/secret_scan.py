@@ -1,7 +1,8 @@
 """Secrets in texts: base patterns, and character Markov models for strings that look random; DataFrame functions only.
 
 Two first-order Markov models over characters, one of random strings and one of ordinary identifiers, are trained from
-labelled samples by counting character pairs. A candidate, a long run of key characters, is a secret if its mean
+labelled samples by counting character pairs. Random strings are drawn from every alphabet that secrets are written in,
+ordinary runs come from whole texts. A candidate, a long run of key characters, is a secret if its mean
 log-likelihood ratio exceeds a threshold.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 KINDS = ("assign", "access", "hex", "markov")
 #: The base patterns, the least length of a match (of its second group for ``assign``).
@@ -20,8 +21,28 @@ HEX = r"[0-9a-f]{32,}"
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 #: Runs that the Markov models judge; they hold no dots, so hosts and sentences without spaces stay apart.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Letter-only runs that serve as samples of ordinary identifiers.
-ORDINARY = r"[A-Za-z]{16,}"
+#: Runs that serve as samples of ordinary words and identifiers, unless they hold ``MIXED``; too short to be judged
+#: themselves, so that secrets which no base pattern labels do not become ordinary by training.
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{2,19}(?![A-Za-z0-9+/_=-])"
+MIXED = r"[0-9][A-Za-z].*[0-9][A-Za-z]"
+SEPARATORS = "_-/=+"
+_DIGITS, _UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWER = _UPPER.lower()
+#: What random strings are drawn from, in which lengths, and how many of each alphabet and length.
+ALPHABETS = (
+    _DIGITS + "abcdef",
+    _DIGITS + "ABCDEF",
+    _UPPER + _LOWER + _DIGITS,
+    _UPPER + _LOWER + _DIGITS + "+/",
+    _UPPER + _LOWER + _DIGITS + "-_",
+    _LOWER + _DIGITS,
+    _UPPER + _DIGITS,
+    _UPPER + _LOWER,
+    _LOWER,
+    _UPPER,
+)
+LENGTHS = (20, 24, 32, 40, 64)
+SAMPLES = 400
 _FIRST, _CODES = 33, 94  # printable ASCII without space
 
 
@@ -62,25 +83,61 @@ def whole_text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
-def weak_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``sample, label`` from all texts: values that the base patterns find are 1, long runs of letters alone are 0."""
-    text = docs.select(whole_text(text_col).alias("t"))
-    found = text.select(F.concat(*[F.transform(s, lambda m: m["value"]) for s in base_spans(F.col("t"))]).alias("secret"), F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0)).alias("plain"))
-    label = lambda c, v: F.transform(c, lambda s: F.struct(s.alias("sample"), F.lit(v).alias("label")))
-    return found.select(F.explode(F.concat(label("secret", 1), label("plain", 0))).alias("s")).select("s.sample", "s.label")
+def secret_samples(spark: SparkSession) -> DataFrame:
+    """``sample, label``: random strings over every alphabet of ``ALPHABETS`` in every length of ``LENGTHS``, all labelled 1.
+
+    Characters are drawn by a hash of (alphabet, length, sample, place), so the table is the same in every run.
+    """
+    kinds = spark.range(SAMPLES).select(F.col("id"), F.explode(F.array(*[F.lit(a) for a in ALPHABETS])).alias("a"), F.array(*[F.lit(n) for n in LENGTHS]).alias("n"))
+    kinds = kinds.select("id", "a", F.explode("n").alias("n"))
+    drawn = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.substring(F.col("a"), F.pmod(F.xxhash64("a", "n", "id", i), F.length("a").cast("long")).cast("int") + 1, F.lit(1)))
+    return kinds.select(F.array_join(drawn, "").alias("sample"), F.lit(1).alias("label"))
+
+
+def shapes(word: Column) -> Column:
+    """A word of letters in upper case, in camel case, numbered, and what it shows before, between and after separators."""
+    forms = [F.upper(word), F.concat(F.lower(word), F.initcap(word)), F.concat(word, F.pmod(F.crc32(word.cast("binary")), F.lit(100)).cast("string"))]
+    for s in SEPARATORS:
+        forms += [F.concat(F.right(w, F.lit(1)), F.lit(s + s), F.left(w, F.lit(1))) for w in (word, F.upper(word))]
+    return F.array(*forms)
+
+
+def ordinary_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``sample, label, n`` from all texts: runs of key characters too short to be candidates, labelled 0.
+
+    Each distinct run counts as often as it comes, ``n``, as do the ``shapes`` of those that are letters alone, so that
+    identifiers are ordinary also where texts hold only prose. What the base patterns match is taken out first; a run in
+    which digits turn to letters more than once is no sample.
+    """
+    text = F.regexp_replace(whole_text(text_col), f"{ASSIGN}|{ACCESS}|{HEX}", " ")
+    runs = docs.select(F.explode(F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0))).alias("w"))
+    runs = runs.groupBy("w").agg(F.count("*").alias("n")).where(~F.col("w").rlike(MIXED))
+    word = F.col("w")
+    samples = F.when(word.rlike("^[A-Za-z]+$"), F.concat(F.array(word), shapes(word))).otherwise(F.array(word))
+    return runs.select(F.explode(samples).alias("sample"), F.lit(0).alias("label"), "n")
+
+
+def labelled_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``sample, label, n`` to train on: drawn random strings against ordinary runs of all texts.
+
+    The random class does not come from the texts: what the base patterns find there is mostly hexadecimal, and a model
+    of it takes other alphabets for ordinary.
+    """
+    return secret_samples(docs.sparkSession).withColumn("n", F.lit(1).cast("long")).unionByName(ordinary_samples(docs, text_col))
 
 
 def train_markov(samples: DataFrame, backoff: float = 8.0) -> list[float]:
     """Log-likelihood ratios of character pairs, random (label 1) against ordinary (label 0), as a table of 94 * 94.
 
-    Every sample counts. A pair's probability backs off, with the weight of ``backoff`` samples, to how frequent its
+    Every sample counts, ``n`` times if there is such a column. A pair's probability backs off, with the weight of ``backoff`` samples, to how frequent its
     second character is in the class, so that contexts a class has never shown still tell. Pairs with a character outside
     printable ASCII are left out; without samples all ratios are 0.
     """
     chars = F.split("sample", "")
     zipped = F.zip_with(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.struct((F.ascii(a) - _FIRST).alias("a"), (F.ascii(b) - _FIRST).alias("b")))
-    pairs = samples.where("label in (0, 1)").select("label", F.explode(zipped).alias("p")).select("label", "p.a", "p.b")
-    pairs = pairs.where(f"a between 0 and {_CODES - 1} and b between 0 and {_CODES - 1}").groupBy("label", "a", "b").count()
+    times = F.col("n") if "n" in samples.columns else F.lit(1).cast("long")
+    pairs = samples.where("label in (0, 1)").select("label", times.alias("n"), F.explode(zipped).alias("p")).select("label", "n", "p.a", "p.b")
+    pairs = pairs.where(f"a between 0 and {_CODES - 1} and b between 0 and {_CODES - 1}").groupBy("label", "a", "b").agg(F.sum("n").alias("count"))
     counts = [[[0.0] * _CODES for _ in range(_CODES)] for _ in range(2)]
     for r in pairs.collect():  # at most 2 * 94 * 94 counts
         counts[r["label"]][r["a"]][r["b"]] += r["count"]

@@ -458,6 +458,29 @@ def test_markov_tells_random_from_ordinary(spark, markov):
     assert got == {0: f"markov:2:{2 + len(found)}", 1: "", 2: ""}
 
 
+def test_secret_query_finds_every_alphabet(spark, tmp_path):
+    """The query's own model on texts whose labelled hits are hexadecimal alone: tokens of all alphabets, and ordinary runs."""
+    rng = random.Random(8)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    letters = upper + upper.lower()
+    alphabets = [letters + digits, letters + digits + "+/", letters + digits + "-_", upper.lower() + digits, upper + digits, letters, upper.lower(), upper, digits + "ABCDEF"]
+    syllables = ["ation", "er", "ing", "the", "con", "ver", "ment", "al", "pro", "re", "in", "st", "or", "ide", "user", "un", "list", "ed", "de", "ly"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    rows = [(i, " ".join(word() for _ in range(200)) + " " + "".join(rng.choice("0123456789abcdef") for _ in range(40))) for i in range(100)]
+    rows += [(1000 + i, "see " + s.join(word() for _ in range(9)) + " " + "_".join(word().upper() for _ in range(9))) for i, s in enumerate("_-/" * 10)]
+    rows += [(2000 + i, "see " + "-=_"[i] * 30) for i in range(3)]
+    kinds = {}
+    for k, (alphabet, n) in enumerate(itertools.product(alphabets, (20, 32, 40))):
+        for i in range(40):
+            kinds[10_000 + 100 * k + i] = (k // 3, n)
+            rows.append((10_000 + 100 * k + i, "see " + "".join(rng.choice(alphabet) for _ in range(n)) + " here"))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spans = {r.doc_id: r.spans for r in queries.op10_secret_scan(spark, str(tmp_path)).collect()}
+    assert all("markov" not in spans[i] for i, _ in rows if i < 10_000)
+    found = collections.Counter(kinds[i] for i in kinds if spans[i])
+    assert min(found[k] for k in set(kinds.values())) >= 36, found
+
+
 def test_redact(spark, markov):
     rows = [(0, "a token = abcdefgh12 b " + "0a" * 20 + "!", 99, "x"), (1, "clean", 5, "y"), (2, None, None, None), (3, "", 0, "z")]
     table = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, found string")
