@@ -24,7 +24,8 @@ from .text_stats import base_counts
 
 DIMENSIONS = 4
 #: Added to the variances: what harmless texts may differ by even where all others are alike, as in texts without symbols.
-FLOOR = (0.15**2, 0.05**2, 0.25**2, 0.25**2)
+#: The last two statistics are bounded, by 1 and, after the base rule, by 0.548: a cutoff of 6 deviations lies below that, so that either alone can reject a text of a group where it is rare.
+FLOOR = (0.15**2, 0.05**2, 0.12**2, 0.08**2)
 #: Bins for the logarithm of a squared distance, from e^-12 in steps of 1/16.
 _BINS, _STEP, _LOW = 640, 16.0, -12.0
 

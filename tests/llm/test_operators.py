@@ -151,6 +151,20 @@ def test_quality_rules_reject_outliers_even_where_they_are_many(spark):
     assert kept == {i for i in judged if i != 2000 and (i >= 1000 or i % 3)}
 
 
+def test_quality_rules_reject_for_lines_or_words_alone(spark):
+    """One text of many duplicate lines, one of repeated words, both past the base rule and like the others otherwise."""
+    rng = random.Random(3)
+    lines = [prose(9000 + i, 2) for i in range(8)]
+    doubled = "\n".join(rng.choice(lines) for _ in range(100))
+    passage = prose(9100, 46)
+    repeated = " ".join([prose(9101, 120), passage, prose(9102, 60), passage, prose(9103, 60)])
+    rows = [(i, "\n".join(prose(100 * i + j, 8) for j in range(12)), "en", "s") for i in range(400)] + [(1000, doubled, "en", "s"), (1001, repeated, "en", "s")]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[1000].base_failed and got[1000].n_dup_lines >= 92 and not got[1000].kept
+    assert not got[1001].base_failed and got[1001].n_dup_lines == 0 and not got[1001].kept
+    assert all(got[i].kept for i in range(400))
+
+
 def test_quality_model(spark, docs, none):
     rows = [(i, prose(i, 100) if i % 4 else re.sub(" ", "!! ", prose(i, 100).upper()), int(i % 4 > 0)) for i in range(400)]
     table = spark.createDataFrame(rows, "doc_id long, text string, label int")
