@@ -3,7 +3,7 @@
 Labelled page outcomes (1 bad, 0 good) are counted per host, registered domain and suffix. Rates are shrunk downwards:
 a suffix towards the whole table, a domain towards its suffix, a host towards its domain, each by a beta prior whose
 strength is the beta-binomial moment estimate over that level. A host is blocked if the lower bound of its posterior bad
-rate exceeds a threshold, so that few outcomes block nobody.
+rate exceeds a threshold, fixed or a multiple of the whole table's rate, so that few outcomes block nobody.
 """
 
 from __future__ import annotations
@@ -79,12 +79,13 @@ def host_reputation(
     url_col: str = "url",
     threshold: float = 0.5,
     z: float = 1.96,
+    lift: float | None = None,
 ) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict, bad_rate, bad_low``.
 
     ``bad`` is the labelled outcome of a page: 1, 0, or null where it is unlabelled. The longest fitting rule decides;
     where none fits, a host is blocked if the lower bound (normal, ``z`` deviations) of its posterior bad rate is above
-    ``threshold``. A registered domain is the last two labels, a suffix the last one. Null urls and urls without "://" have
+    ``threshold``, or with ``lift`` above so many times the bad rate of the whole table. A registered domain is the last two labels, a suffix the last one. Null urls and urls without "://" have
     empty host and path and share one reputation. With no labelled page the rate is 0.5 and nothing is blocked. Repeated
     pages count and are returned as often as they come, null ids too; an empty table gives an empty result.
     Counting is combined map-side, so a host with a third of all pages is one row when it travels.
@@ -96,6 +97,9 @@ def host_reputation(
     hosts = pin(hosts.withColumn("root", F.lit(".")), "hosts")  # one row per host, read for three levels
     total = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     root = total(hosts, "root").select("*", F.lit(0.5).alias("prior"), F.lit(1.0).alias("m"))
+    known_root = root.first()
+    n, k = (known_root["n"], known_root["k"]) if known_root else (0.0, 0.0)
+    table_rate = (k + 0.5) / (n + 1.0)
     suffixes = shrunk(total(hosts, "suffix", "root"), "suffix", root, "root")
     domains = shrunk(total(hosts, "domain", "suffix"), "domain", suffixes, "suffix")
     known = shrunk(hosts.select("host", "domain", "n", "k"), "host", domains, "domain")
@@ -104,6 +108,6 @@ def host_reputation(
     low = F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))
     known = known.select("host", F.col("rate").alias("bad_rate"), low.alias("bad_low"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("bad_low") > threshold, F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when(F.col("bad_low") > (threshold if lift is None else lift * table_rate), F.lit("block")).otherwise(F.lit("allow"))
     judged = seen.drop("bad").join(known, "host").select("page_id", "host", "path", rule.alias("rule"), says.alias("says"), method.alias("method"), "bad_rate", "bad_low")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("says", "method").alias("verdict"), "bad_rate", "bad_low")

@@ -22,6 +22,7 @@ from .token_counts import token_counts
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 SHARDS = 24
+LIFT = 2.0
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,13 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_host_reputation_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are blocked where their pages are worse than ``LIFT`` times the whole table, at every size."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    judged = host_reputation(pages, page_is_bad(), URL_RULES, lift=LIFT)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = find_secrets(docs, train_markov(labelled_samples(docs)))
@@ -94,7 +102,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_exact_dedup, op2_quality_model, op3_quality_rules, op4_bpe_round_trip, op5_jaccard_components,
-        op6_token_counts, op7_best_fit_packing, op8_rendezvous_shards, op9_host_reputation, op10_secret_scan,
+        op6_token_counts, op7_best_fit_packing, op8_rendezvous_shards, op9_host_reputation, op9_host_reputation_lift, op10_secret_scan,
     )}
 
 
@@ -122,6 +130,7 @@ with recursive words as (
 )
 select r.x as doc_id, coalesce(any_value(n), 0) as n_shingles, min(r.y) as component_id from reach r left join sizes on sizes.doc_id = r.x group by 1""",
         "op9_host_reputation": _reputation_sql(),
+        "op9_host_reputation_lift": _reputation_sql(f"(select {LIFT} * (k + 0.5) / (n + 1.0) from root)"),
     }
 
 
@@ -134,7 +143,7 @@ def _prior_sql(children: str) -> str:
               from {children} where n > 0)))"""
 
 
-def _reputation_sql() -> str:
+def _reputation_sql(bar: str = "0.5") -> str:
     return rf"""
 with plain as (
     select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
@@ -164,5 +173,5 @@ with plain as (
     from seen join h1 using (host)
 )
 select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
-       when rate - 1.96 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.5 then 'block' else 'allow' end as verdict
+       when rate - 1.96 * sqrt(rate * (1 - rate) / (weight + 1)) > {bar} then 'block' else 'allow' end as verdict
 from ruled"""

@@ -427,6 +427,16 @@ def test_host_reputation(spark):
     assert {(r.verdict, r.bad_rate) for r in unlabelled.collect()} == {("allow", 0.5)}
 
 
+def test_host_reputation_lift_blocks_hosts_far_above_the_table(spark):
+    """A host with three tenths bad pages among hosts with a twentieth: above twice the table's rate, not above one half."""
+    rows = [(1000 * h + i, f"http://h{h}.site{h}.com/{i}", int(i % 20 == 0)) for h in range(20) for i in range(200)]
+    rows += [(100_000 + i, f"http://bad.planted.com/{i}", int(i % 10 < 3)) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    blocked = lambda **kw: {r.host for r in host_reputation(pages, F.col("bad"), **kw).where("verdict = 'block'").collect()}
+    assert blocked(lift=queries.LIFT) == {"bad.planted.com"} and blocked() == set()
+    assert host_reputation(pages.limit(0), F.col("bad"), lift=queries.LIFT).count() == 0
+
+
 # --- secrets ------------------------------------------------------------------
 
 SLOW = [
