@@ -9,6 +9,7 @@ from .quality_model import fit_quality, quality_features, score_quality
 from .quality_rules import quality_rules
 from .secret_scan import find_secrets, redact, train_markov
 from .sharding import rendezvous_shards
+from .spelling import spelling_groups
 from .token_counts import token_counts
 
 __all__ = [
@@ -26,6 +27,7 @@ __all__ = [
     "redact",
     "rendezvous_shards",
     "score_quality",
+    "spelling_groups",
     "token_counts",
     "train_markov",
 ]

@@ -17,6 +17,7 @@ from .quality_model import fit_quality, quality_features, score_quality
 from .quality_rules import quality_rules
 from .secret_scan import find_secrets, labelled_samples, listed, train_markov
 from .sharding import rendezvous_shards
+from .spelling import spelling_groups
 from .token_counts import token_counts
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -99,10 +100,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_exact_dedup, op2_quality_model, op3_quality_rules, op4_bpe_round_trip, op5_jaccard_components,
         op6_token_counts, op7_best_fit_packing, op8_rendezvous_shards, op9_host_reputation, op9_host_reputation_lift, op10_secret_scan,
+        op13_spelling_variants,
     )}
 
 
