@@ -12,6 +12,8 @@ from .bpe import BpeTables, encode_documents
 from .exact_dedup import exact_groups
 from .host_reputation import host_reputation
 from .jaccard_join import jaccard_components
+from .language_id import fit_language_network, predict_language
+from .manifest import COLUMNS, folded, merkle_manifest, row_digest, siblings
 from .packing import pack_documents
 from .quality_model import fit_quality, quality_features, score_quality
 from .quality_rules import quality_rules
@@ -100,6 +102,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    net = fit_language_network(docs.where(~held_out))
+    return predict_language(docs, net, carry=[F.col("doc_id"), held_out.alias("held_out")])
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    altered = row_digest([F.try_add(F.col(c), F.lit(1)) if c == "n_chars" else F.col(c) for c in COLUMNS])
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    proved = merkle_manifest(docs, carry=[F.when(chosen, altered).alias("altered")])
+    beside = F.sha2(F.array_join(siblings(F.col("steps")), ""), 256)
+    proved = proved.withColumn("folded_root", folded(F.coalesce("altered", "leaf"), F.col("steps")))
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", beside.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(documents(spark, sf_dir))
 
@@ -108,7 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_exact_dedup, op2_quality_model, op3_quality_rules, op4_bpe_round_trip, op5_jaccard_components,
         op6_token_counts, op7_best_fit_packing, op8_rendezvous_shards, op9_host_reputation, op9_host_reputation_lift, op10_secret_scan,
-        op13_spelling_variants,
+        op11_language_id, op12_merkle_manifest, op13_spelling_variants,
     )}
 
 
