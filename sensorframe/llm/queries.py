@@ -156,8 +156,11 @@ with recursive words as (
     select doc_id as x, doc_id as y from documents union select r.x, l.y from reach r join links l on l.x = r.y
 )
 select r.x as doc_id, coalesce(any_value(n), 0) as n_shingles, min(r.y) as component_id from reach r left join sizes on sizes.doc_id = r.x group by 1""",
+        "op8_rendezvous_shards": _shards_sql(),
         "op9_host_reputation": _reputation_sql(),
         "op9_host_reputation_lift": _reputation_sql(f"(select {LIFT} * (k + 0.5) / (n + 1.0) from root)"),
+        "op12_merkle_manifest": _manifest_sql(),
+        "op13_spelling_variants": _spelling_sql(),
     }
 
 
@@ -202,3 +205,95 @@ with plain as (
 select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
        when rate - 1.96 * sqrt(rate * (1 - rate) / (weight + 1)) > {bar} then 'block' else 'allow' end as verdict
 from ruled"""
+
+
+#: The CRC-32 of each byte, by its rule; 3988292384 is the reversed polynomial.
+_CRC_TABLE = """crc as (
+    select list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) as t
+)"""
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of ``text``, with ``t`` of the table at hand."""
+    hexed = f"hex(encode({text}))"
+    bytes_ = f"list_transform(range(length({hexed}) // 2), lambda i: ('0x' || substr({hexed}, 2 * i + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_concat([4294967295], {bytes_}), lambda x, b: xor(x >> 8, t[1 + (xor(x, b) & 255)])), 4294967295)"
+
+
+def _shards_sql() -> str:
+    def best(shards: int) -> str:
+        draws = f"list_transform(range({shards}), lambda s: ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || s), 1, 13))::bigint)"
+        return f"list_position({draws}, list_max({draws})) - 1"
+
+    return f"""
+with {_CRC_TABLE}, rows as (
+    select doc_id, coalesce(strlen(text), 0) + 8 as size, {_crc_sql("coalesce(text, '')")} as text_crc32, 'key' as law, ({best(SHARDS)})::integer as shard, ({best(SHARDS + 1)})::integer as grown_shard
+    from documents, crc
+)
+select doc_id, size, text_crc32, law, shard, row_number() over (partition by shard order by doc_id nulls first, text_crc32) - 1 as slot, grown_shard from rows"""
+
+
+def _manifest_sql() -> str:
+    def field(v: str) -> str:
+        return f"coalesce(strlen({v}::varchar) || ':' || {v}::varchar, '-')"
+
+    doc_id, source, lang, n_chars, text, altered = map(field, ("doc_id", "source", "lang", "n_chars", "text", "(n_chars + 1)"))
+    return f"""
+with recursive {_CRC_TABLE}, digests as (
+    select doc_id, lang, sha256(concat({doc_id}, {source}, {lang}, {n_chars}, {text})) as leaf,
+           sha256(concat({doc_id}, {source}, {lang}, case when {_crc_sql('doc_id::varchar')} % 7 = 0 then {altered} else {n_chars} end, {text})) as altered
+    from documents, crc
+), leaves as (
+    select *, row_number() over w - 1 as rank, count(*) over (partition by lang) as n from digests window w as (partition by lang order by doc_id nulls first, leaf)
+), nodes as (
+    select lang, 0 as level, rank, n, leaf as digest from leaves
+    union all
+    select lang, level + 1, rank // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by rank)) from nodes where n > 1 group by lang, level, rank // 2, n
+), subroots as (
+    select lang, digest as subroot, row_number() over (order by lang nulls first) - 1 as rank, count(*) over () as n from nodes where n = 1
+), tops as (
+    select 0 as level, rank, n, subroot as digest from subroots
+    union all
+    select level + 1, rank // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by rank)) from tops where n > 1 group by level, rank // 2, n
+), climb as (
+    select doc_id, lang, leaf, altered as digest, '' as beside, 0 as level, rank, n from leaves
+    union all
+    select c.doc_id, c.lang, leaf, sha256(case when c.rank % 2 = 1 then s.digest || c.digest else c.digest || coalesce(s.digest, '') end),
+           beside || coalesce(s.digest, ''), c.level + 1, c.rank // 2, (c.n + 1) // 2
+    from climb c left join nodes s on s.lang is not distinct from c.lang and s.level = c.level and s.rank = xor(c.rank, 1) where c.n > 1
+), onward as (
+    select doc_id, leaf, subroot, digest, beside, 0 as level, s.rank, s.n from climb c join subroots s on s.lang is not distinct from c.lang where c.n = 1
+    union all
+    select doc_id, leaf, subroot, sha256(case when c.rank % 2 = 1 then s.digest || c.digest else c.digest || coalesce(s.digest, '') end),
+           beside || coalesce(s.digest, ''), c.level + 1, c.rank // 2, (c.n + 1) // 2
+    from onward c left join tops s on s.level = c.level and s.rank = xor(c.rank, 1) where c.n > 1
+)
+select doc_id, leaf, subroot, t.digest as root, sha256(beside) as proof_sha256, o.digest as folded_root, o.digest = t.digest as verified
+from onward o, (select digest from tops where n = 1) t where o.n = 1"""
+
+
+def _spelling_sql() -> str:
+    return rf"""
+with recursive {_CRC_TABLE}, runs as (
+    select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]{{7,}}')) as run from documents
+), seen as (select id, run, count(*) as n from runs group by all
+), damaged as (select *, {_crc_sql("id || ':' || run")} as h from seen, crc
+), cut as (
+    select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from damaged
+), words as (select word, sum(n)::bigint as n from cut where length(word) >= 7 group by word having sum(n) >= 2
+), shorter as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest, length(word) as size from words, lateral (select unnest(range(length(word))) as i)
+), near as (
+    select a.word, b.word as other, b.n as m from shorter a join shorter b on a.rest = b.rest and a.i = b.i and a.size = b.size and a.word <> b.word
+    union select a.word, b.word, b.n from shorter a join words b on a.rest = b.word
+    union select b.word, a.word, a.n from shorter a join words b on a.rest = b.word
+), best as (
+    select word, count(*) as n_near, max(m) as m, min(struct_pack(k := -m, other := other)).other as other from near group by word
+), forms as (
+    select words.word, words.n, coalesce(n_near, 0) as n_near, case when m >= 10 * words.n then other end as form, case when m >= 10 * words.n then m end as form_n
+    from words left join best using (word)
+), chain as (
+    select word, word as root from forms
+    union all
+    select c.word, f.form from chain c join forms f on f.word = c.root where f.form is not null
+)
+select f.word, f.form, c.root, f.n, f.n_near, f.form_n from forms f join chain c using (word) join forms e on e.word = c.root where e.form is null"""
