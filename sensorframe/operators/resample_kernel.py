@@ -11,6 +11,25 @@ import pyarrow as pa
 from .rolling_kernel import _Frames, _group_starts, _median_by_rank
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], step_rows: int) -> Iterator[pa.Table]:
+    """Cut a stream sorted by ``keys`` into tables of whole groups: about ``step_rows`` rows, or one longer group, at a time."""
+    waiting: list[pa.RecordBatch] = []
+    held, next_step = 0, step_rows
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            held += batch.num_rows
+        if held >= next_step:
+            table = pa.Table.from_batches(waiting)
+            cut = int(_group_starts(table, keys)[-1])
+            if cut:
+                yield table.slice(0, cut)
+            waiting, held = table.slice(cut).to_batches(), len(table) - cut
+            next_step = max(step_rows, 2 * held)  # one long group is not looked through again for every batch
+    if held:
+        yield pa.Table.from_batches(waiting)
+
+
 def _slot_sums(values: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, period: int):
     """Sum of ``values[low:high]`` of every window, by the sums of slots as long as a window.
 
@@ -28,20 +47,23 @@ def _slot_sums(values: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.nda
     return left + np.where(high > middle, upto[np.clip(high - 1, 0, last)], 0.0)
 
 
-def _slot_means(values: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, period: int):
-    """Mean of every window; infinities and NaN, which running sums would not let go, are counted and put back."""
+def _slot_means(values: np.ndarray, counts, at: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, period: int):
+    """Mean of every window from sums of ``counts`` values each (``None``: one each); infinities and NaN, which running
+    sums would not let go, are counted and put back."""
     finite = np.isfinite(values)
-    mean = _slot_sums(np.where(finite, values, 0.0), at, low, high, start, period) / np.maximum(high - low, 1)
+    n = high - low if counts is None else _spans(counts, low, high)
+    mean = _slot_sums(np.where(finite, values, 0.0), at, low, high, start, period) / np.maximum(n, 1)
     if finite.all():
         return mean
+    plus, minus = (_spans(values == odd, low, high) > 0 for odd in (np.inf, -np.inf))
+    mean = np.where(plus, np.inf, np.where(minus, -np.inf, mean))
+    return np.where((plus & minus) | (_spans(np.isnan(values), low, high) > 0), np.nan, mean)
 
-    def holds(flags: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(flags)])
-        return total[high] > total[low]
 
-    plus, minus = holds(values == np.inf), holds(values == -np.inf)
-    mean = np.where(plus, np.inf, np.where(minus, -np.inf, mean))
-    return np.where((plus & minus) | holds(np.isnan(values)), np.nan, mean)
+def _spans(numbers: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Sums of whole ``numbers[low:high]``."""
+    total = np.concatenate([[0], np.cumsum(numbers)])
+    return total[high] - total[low]
 
 
 def _frame_medians(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -49,7 +71,8 @@ def _frame_medians(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
     size = max(len(values), len(low))
     padded = np.concatenate([values, np.full(size - len(values), np.nan)])
     more = size - len(low)
-    frames = _Frames(first=np.pad(low, (0, more), "edge"), after=np.concatenate([high, np.full(more, low[-1])]))
+    # Padding repeats the last bounds: were they to fall, every frame would be built from nothing.
+    frames = _Frames(first=np.pad(low, (0, more), "edge"), after=np.pad(high, (0, more), "edge"))
     over = lambda series: pd.Series(series).rolling(frames, min_periods=1)
     if np.isfinite(values).all():
         return over(padded).median().to_numpy()[: len(low)]
@@ -68,6 +91,11 @@ def _windows_of(table: pa.Table, keys: list[str], every: int, period: int, block
     place = us - home + period + group * stretch
     oldest = np.maximum(-(-(us - home - period + 1) // every), 0)
     newest = np.minimum((us - home) // every, block // every - 1)
+    if "opens" in table.column_names:
+        # Where a group holds its series' first row, no window starts before that row's pane.
+        opens = np.logical_or.reduceat(table["opens"].to_numpy(), begins)
+        floor = np.where(opens, (us[begins] - home[begins]) // every, 0)
+        oldest = np.maximum(oldest, floor[group])
     # Times rise, so a row adds the windows after its predecessor's newest.
     before = np.concatenate([[-1], newest[:-1]])
     before[begins] = -1
@@ -79,10 +107,11 @@ def _windows_of(table: pa.Table, keys: list[str], every: int, period: int, block
     start = offset + period + group[row] * stretch
     low, high = np.searchsorted(place, start), np.searchsorted(place, start + period)
     out = {key: table[key].take(pa.array(row)) for key in keys}
-    out |= {"start": pa.array(home[row] + offset), "first": pa.array(us[low])}
+    out |= {"start": pa.array(home[row] + offset)}
     column = table["v"].combine_chunks()
     known = column.is_valid().to_numpy(zero_copy_only=False)
     values = column.drop_null().to_numpy(zero_copy_only=False)
+    counts = table["n"].to_numpy()[known] if "n" in table.column_names else None
     counted = np.concatenate([[0], np.cumsum(known)])
     low, high = counted[low], counted[high]
     empty = high == low
@@ -90,42 +119,25 @@ def _windows_of(table: pa.Table, keys: list[str], every: int, period: int, block
         if not len(values) or not len(low):
             result = np.full(len(low), np.nan)
         elif agg == "mean":
-            result = _slot_means(values, place[known], low, high, start, period)
+            result = _slot_means(values, counts, place[known], low, high, start, period)
+        elif agg == "n":
+            result = _spans(np.ones(len(values), int) if counts is None else counts, low, high)
         else:
             result = _frame_medians(values, low, high)
-        out[agg] = pa.array(result, pa.float64(), mask=empty)
+        out[agg] = pa.array(result.astype(np.int64)) if agg == "n" else pa.array(result, pa.float64(), mask=empty)
     return pa.table(out)
 
 
 def window_batches(
     batches: Iterable[pa.RecordBatch], keys: list[str], every: int, period: int, block: int, aggs, step_rows: int = 200_000
 ) -> Iterator[pa.RecordBatch]:
-    """From rows ``(keys, block, us, v)`` sorted by keys, block and time to ``(keys, start, first, mean?, median?)``.
+    """From rows ``(keys, block, us, v, n?, opens?)`` sorted by keys, block and time to ``(keys, start, mean?, median?, n?)``.
 
-    ``first`` is the time of a window's first row. Work is linear in rows plus windows. Held at a time: about
-    ``step_rows`` rows or one block.
+    With ``n`` a row stands for so many values of one pane and ``v`` is their sum. ``opens`` marks a series' first row,
+    before whose pane no window starts. Work is linear in rows plus windows. Held at a time: about ``step_rows`` rows or
+    one block.
     """
     # places on the common axis must fit 63 bits
     step_rows = max(1, min(step_rows, (1 << 62) // (block + 2 * period + every)))
-    waiting: list[pa.RecordBatch] = []
-    held = 0
-
-    def advance(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal waiting, held
-        table = pa.Table.from_batches(waiting)
-        cut = len(table) if last else int(_group_starts(table, [*keys, "block"])[-1])
-        if cut:
-            yield from _windows_of(table.slice(0, cut), keys, every, period, block, aggs).combine_chunks().to_batches()
-        waiting = table.slice(cut).to_batches()
-        held = len(table) - cut
-
-    next_step = step_rows
-    for batch in batches:
-        if batch.num_rows:
-            waiting.append(batch)
-            held += batch.num_rows
-        if held >= next_step:
-            yield from advance(False)
-            next_step = max(step_rows, 2 * held)  # one long block is not looked through again for every batch
-    if held:
-        yield from advance(True)
+    for table in whole_groups(batches, [*keys, "block"], step_rows):
+        yield from _windows_of(table, keys, every, period, block, aggs).combine_chunks().to_batches()

@@ -221,3 +221,92 @@ def test_many_windows_per_row_cost_no_rows(spark):
     row = got.where(F.col("ts") == F.lit(at(1000)).cast("timestamp_ntz")).first()
     part = sorted(values[10_000:19_000])
     assert row["mean"] == pytest.approx(sum(part) / 9000) and row["median"] == (part[4499] + part[4500]) / 2
+
+
+@pytest.mark.parametrize("every, period, bin_rows", [(60, 60, 7), (60, 120, 1), (100, 250, 7), (300, 100, 3), (7, 1000, 20)])
+def test_medians_of_hot_blocks_by_selection(spark, every, period, bin_rows):
+    points = random_points(every + 1, 300)
+    odd = {3: float("nan"), 50: float("inf"), 90: float("-inf")}
+    points = [(i, s, odd.get(n, v)) for n, (i, s, v) in enumerate(points)]
+    df = frame(spark, points)
+    for leading in ("drop", "keep"):
+        split = sf.resample(df, every, period, ("median", "mean"), leading, hot_rows=5, bin_rows=bin_rows)
+        whole = sf.resample(df, every, period, ("median", "mean"), leading)
+        assert split.columns == whole.columns
+        assert rows(split.withColumn("mean", F.round("mean", 9))) == rows(whole.withColumn("mean", F.round("mean", 9)))
+
+
+def rows_shuffled(spark, work):
+    """Rows that all stages of ``work`` wrote to exchanges."""
+    gateway = spark.sparkContext._gateway
+    store, listing = spark.sparkContext._jsc.sc().statusStore(), gateway.jvm.java.util.ArrayList
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(listing(), False, False, gateway.new_array(gateway.jvm.double, 0), listing())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    work()
+    return sum(n for stage, n in stages().items() if stage not in before)
+
+
+def test_a_hot_block_of_a_thousand_windows_shuffles_each_row_less_than_twice(spark):
+    rng = random.Random(3)
+    points = [(1, n / 10, rng.gauss(20, 3) + n % 5) for n in range(60_000)]
+    df = frame(spark, points).cache()
+    df.count()
+    got = []
+    moved = rows_shuffled(spark, lambda: got.extend(sf.resample(df, 1, 1000, ("median",), hot_rows=10_000, bin_rows=5000).collect()))
+    assert moved < 2 * len(points) + 20 * len(got)
+    assert len(got) == 6000
+    medians = {r.ts: r.median for r in got}
+    for start in (0, 17, 2500, 5400, 5999):
+        values = [v for _, s, v in points if start <= s < start + 1000]
+        assert medians[at(start)] == statistics.median(values)
+
+
+def test_a_longer_window_costs_the_median_kernel_no_more_time():
+    import time
+
+    import pyarrow as pa
+
+    from sensorframe.operators.resample_kernel import window_batches
+
+    def spent(period):
+        us = [n * 25_000 for n in range(40_000)]
+        batch = pa.RecordBatch.from_pydict({"identifier": [1] * len(us), "block": [0] * len(us), "us": us, "v": [float(n * 7919 % 1000) for n in range(len(us))]})
+        begin = time.perf_counter()
+        out = pa.Table.from_batches(window_batches([batch], ["identifier"], 1_000_000, period * 1_000_000, 4 * 900_000_000, ("median",)))
+        assert len(out) >= 1000
+        return time.perf_counter() - begin
+
+    spent(100)
+    assert spent(800) < 3 * spent(100) + 0.2
+
+
+def test_means_shuffle_panes_not_rows(spark):
+    points = [(i, n / 50, float(n % 97)) for i in range(2) for n in range(30_000)]
+    df = frame(spark, points).cache()
+    df.count()
+    for leading in ("drop", "keep"):
+        moved = rows_shuffled(spark, lambda: assert_means(spark, df, points, leading))
+        assert moved < 400
+
+
+def assert_means(spark, df, points, leading):
+    got = {(r.identifier, r.ts): r["mean"] for r in sf.resample(df, 60, 120, leading=leading).collect()}
+    wanted = expected(points, 60, 120, leading)
+    assert len(got) == len(wanted) and all(got[i, t] == pytest.approx(m) for i, t, m, _ in wanted)
+
+
+def test_one_scan_and_one_kernel_for_sliding_means(spark, tmp_path):
+    frame(spark, random_points(4)).write.parquet(str(tmp_path / "log"))
+    windows = sf.resample(spark.read.parquet(str(tmp_path / "log")), 60, 120)
+    windows.collect()
+    plan = windows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and plan.count("Scan parquet") == 1, plan
+    both = sf.resample(spark.read.parquet(str(tmp_path / "log")), 60, 120, ("mean", "median"))
+    both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and plan.count("ReusedExchange") == 0, plan
