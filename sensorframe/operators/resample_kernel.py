@@ -80,22 +80,30 @@ def _frame_medians(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
     return _median_by_rank(np.where(null, 0.0, padded), null, over)[: len(low)]
 
 
-def _windows_of(table: pa.Table, keys: list[str], every: int, period: int, block: int, aggs) -> pa.Table:
-    """All windows with a row, of whole ``(keys, block)`` groups sorted by time."""
-    group_start = _group_starts(table, [*keys, "block"])
+def windows_of(table: pa.Table, keys: list[str], every: int, period: int, block: int | None, aggs) -> pa.Table:
+    """All windows with a row, of whole groups sorted by time: groups are ``(keys, block)``, or whole series without ``block``.
+
+    A whole series has no window before its first row's pane.
+    """
+    group_start = _group_starts(table, [*keys, "block"] if block else keys)
     begins = np.flatnonzero(group_start == np.arange(len(table)))
     group = np.searchsorted(begins, group_start)
-    us, home = (table[c].to_numpy() for c in ("us", "block"))
+    us = table["us"].to_numpy()
+    first, last = us[begins], us[np.append(begins[1:], len(us)) - 1]
+    home_of = table["block"].to_numpy()[begins] if block else first - first % every
     # Every group gets a stretch of one common axis to itself.
-    stretch = block + 2 * period + every
-    place = us - home + period + group * stretch
+    stretch = 2 * period + every + (np.full(len(begins), block) if block else last - home_of)
+    base = np.cumsum(stretch) - stretch + period
+    home, base = home_of[group], base[group]
+    place = us - home + base
     oldest = np.maximum(-(-(us - home - period + 1) // every), 0)
-    newest = np.minimum((us - home) // every, block // every - 1)
+    newest = (us - home) // every
+    if block:
+        newest = np.minimum(newest, block // every - 1)
     if "opens" in table.column_names:
         # Where a group holds its series' first row, no window starts before that row's pane.
         opens = np.logical_or.reduceat(table["opens"].to_numpy(), begins)
-        floor = np.where(opens, (us[begins] - home[begins]) // every, 0)
-        oldest = np.maximum(oldest, floor[group])
+        oldest = np.maximum(oldest, np.where(opens, (first - home_of) // every, 0)[group])
     # Times rise, so a row adds the windows after its predecessor's newest.
     before = np.concatenate([[-1], newest[:-1]])
     before[begins] = -1
@@ -104,7 +112,7 @@ def _windows_of(table: pa.Table, keys: list[str], every: int, period: int, block
     row = np.repeat(np.arange(len(us)), fresh)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(fresh) - fresh, fresh)
     offset = (fresh_from[row] + nth) * every
-    start = offset + period + group[row] * stretch
+    start = offset + base[row]
     low, high = np.searchsorted(place, start), np.searchsorted(place, start + period)
     out = {key: table[key].take(pa.array(row)) for key in keys}
     out |= {"start": pa.array(home[row] + offset)}
@@ -140,4 +148,4 @@ def window_batches(
     # places on the common axis must fit 63 bits
     step_rows = max(1, min(step_rows, (1 << 62) // (block + 2 * period + every)))
     for table in whole_groups(batches, [*keys, "block"], step_rows):
-        yield from _windows_of(table, keys, every, period, block, aggs).combine_chunks().to_batches()
+        yield from windows_of(table, keys, every, period, block, aggs).combine_chunks().to_batches()

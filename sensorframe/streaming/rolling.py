@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.time import epoch_us, from_epoch
+from ..functions.time import epoch_us, from_epoch, ntz_to_instant
 from ..operators.rolling_kernel import rolling_columns
 from ..schema import (
     AGGREGATES,
@@ -20,12 +22,87 @@ from ..schema import (
     require_columns,
     require_positive,
 )
+from .state import use_rocksdb
 
 
 #: Stands for a null tie-breaker, which comes before all others.
 _NO_SEQ = -(1 << 63)
 
 
+def _continue(values: list, fresh: pd.DataFrame, window_size: int, min_periods: int, aggs) -> tuple[pd.DataFrame, list]:
+    """``fresh``, in order, with its rolling columns after the last ``values``; and the last values after it."""
+    history = pa.array(values, pa.float64())
+    series = pa.concat_arrays([history, pa.array(fresh["v"].to_numpy(), pa.float64(), mask=fresh["missing"].to_numpy(), from_pandas=False)])
+    rolled = rolling_columns(series, np.zeros(len(series), dtype="int64"), window_size, min_periods, aggs)
+    columns = {}
+    for name, column in rolled.items():
+        column = column.slice(len(history))
+        columns[name] = column.to_numpy(zero_copy_only=False)
+        columns[f"{name}_nan"] = pc.fill_null(pc.is_nan(column), False).to_numpy(zero_copy_only=False)  # pandas gives null back for NaN
+    return fresh.assign(**columns), series.slice(max(0, len(series) - (window_size - 1))).to_pylist() if window_size > 1 else []
+
+
+def _unanswered(rows: pd.DataFrame, aggs) -> pd.DataFrame:
+    names = [f"rolling_{agg}" for agg in aggs]
+    return rows.assign(**{name: np.nan for name in names}, **{f"{name}_nan": False for name in names})
+
+
+class _InOrder(StatefulProcessor):
+    """Rows wait in the state, by time bucket, until the watermark has passed their bucket's end.
+
+    ``waiting`` holds a bucket's rows as they came, one entry per Arrow batch; a timer at the bucket's end brings them out,
+    sorted. So a task holds one batch or one bucket of one identifier at a time.
+    """
+
+    def __init__(self, bucket_s: int, window_size: int, min_periods: int, aggs: tuple[str, ...], columns: list[str]):
+        self.bucket_ms, self.window_size, self.min_periods, self.aggs, self.columns = 1000 * bucket_s, window_size, min_periods, aggs, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket bigint, part bigint", "us array<bigint>, seq array<bigint>, v array<double>, missing array<boolean>")
+        # one value, as every look at the state is a round trip
+        self.known = handle.getValueState("known", "last_values array<double>, us bigint, seq bigint, buckets array<bigint>, parts array<bigint>")
+
+    def _load(self) -> tuple[list, int | None, int | None, dict[int, int]]:
+        values, us, seq, buckets, parts = self.known.get() or ([], None, None, [], [])
+        return list(values), us, seq, dict(zip(buckets, parts))
+
+    def _save(self, values: list, us: int | None, seq: int | None, parts: dict[int, int]) -> None:
+        self.known.update((values, us, seq, list(parts), list(parts.values())))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:  # such rows only tell the time
+            for _ in rows:
+                pass
+            return
+        values, last_us, last_seq, parts = self._load()
+        for frame in rows:
+            late = np.zeros(len(frame), bool)
+            if last_us is not None:
+                late = ((frame["us"] < last_us) | ((frame["us"] == last_us) & (frame["seq"] <= last_seq))).to_numpy()
+                if late.any():
+                    yield _unanswered(frame[late], self.aggs).assign(id=key[0], late=True)[self.columns]
+            for bucket, own in frame[~late].groupby(frame["us"] // (1000 * self.bucket_ms)):
+                if bucket not in parts:
+                    self.handle.registerTimer((bucket + 1) * self.bucket_ms)
+                part = parts[bucket] = parts.get(bucket, 0) + 1
+                self.waiting.updateValue((bucket, part), tuple(own[c].tolist() for c in ("us", "seq", "v", "missing")))
+        self._save(values, last_us, last_seq, parts)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        bucket = expiredTimerInfo.getExpiryTimeInMs() // self.bucket_ms - 1
+        values, _, _, parts = self._load()
+        frames = []
+        for part in range(1, parts.pop(bucket) + 1):
+            held = self.waiting.getValue((bucket, part))
+            frames.append(pd.DataFrame(dict(zip(("us", "seq", "v", "missing"), held))))
+            self.waiting.removeKey((bucket, part))
+        rows = pd.concat(frames, ignore_index=True).sort_values(["us", "seq"], ignore_index=True)
+        out, values = _continue(values, rows, self.window_size, self.min_periods, self.aggs)
+        self._save(values, int(rows["us"].iloc[-1]), int(rows["seq"].iloc[-1]), parts)
+        yield out.assign(id=key[0], late=False)[self.columns]
+
+
 def rolling_stream(
     df: DataFrame,
     window_size: int = 30,
@@ -37,10 +114,18 @@ def rolling_stream(
     value_col: str = "value",
     seq_col: str = "seq",
     idle_timeout_s: int | None = None,
+    watermark: str | None = None,
+    bucket_s: int = 60,
 ) -> DataFrame:
     """Streaming form of ``rolling`` for append mode.
 
-    State per identifier: the last ``window_size - 1`` values and the last
+    With ``watermark``, the longest delay of a row, rows wait until the watermark has passed the end of their bucket of
+    ``bucket_s`` seconds and come out in order, so whatever order they arrive in within the delay, results are those of
+    ``rolling``. The rows wait in the state store, which must be RocksDB (the session is set to it where it has another);
+    one bucket of an identifier is in memory at a time. A row without identifier brings no result, but its time moves the
+    watermark. Rows are from 1970 on.
+
+    Without ``watermark`` rows are answered at once. State per identifier: the last ``window_size - 1`` values and the last
     ``(ts, seq)``. Each micro-batch is sorted per identifier; a row older than
     the last one already answered cannot be placed any more and comes out with
     ``late = true`` and null results, so no row is lost. One identifier's part
@@ -55,7 +140,6 @@ def rolling_stream(
     if min_periods > window_size:
         raise ValueError(f"min_periods {min_periods} exceeds window_size {window_size}")
     require_columns(df, id_col, ts_col, value_col, seq_col)
-    keep = window_size - 1
     results = [f"rolling_{agg}" for agg in aggs]
 
     def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -68,24 +152,25 @@ def rolling_stream(
         if last_us is not None:
             us, seq = rows["us"].to_numpy(), rows["seq"].to_numpy()
             late = (us < last_us) | ((us == last_us) & (seq <= last_seq))
-        columns = {name: np.full(len(rows), np.nan) for name in results}
-        done = np.flatnonzero(~late)
+        done, waiting = rows[~late], _unanswered(rows[late], aggs)
         if len(done):
-            fresh = pa.array(rows["v"].to_numpy()[done], mask=rows["missing"].to_numpy()[done])
-            history = pa.array(values, pa.float64())
-            series = pa.concat_arrays([history, fresh])
-            together = np.zeros(len(series), dtype="int64")
-            rolled = rolling_columns(series, together, window_size, min_periods, aggs)
-            for name in results:
-                columns[name][done] = rolled[name].slice(len(history)).to_numpy(zero_copy_only=False)
-            tail = series.slice(max(0, len(series) - keep)) if keep else series.slice(0, 0)
-            state.update((tail.to_pylist(), int(rows["us"].iloc[done[-1]]), int(rows["seq"].iloc[done[-1]])))
+            done, tail = _continue(values, done, window_size, min_periods, aggs)
+            state.update((tail, int(done["us"].iloc[-1]), int(done["seq"].iloc[-1])))
+            waiting = pd.concat([done, waiting]) if len(waiting) else done
         if idle_timeout_s:
             state.setTimeoutDuration(1000 * idle_timeout_s)
-        out = rows.assign(id=key[0], late=late, **columns)
-        yield out[["id", "us", "seq", "v", "missing", *results, "late"]]
+        out = waiting.assign(id=key[0], late=np.arange(len(waiting)) >= len(done))
+        yield out[columns]
 
-    points = df.where(has_point([id_col], ts_col)).select(
+    columns = ["id", "us", "seq", "v", "missing", *results, *[f"{name}_nan" for name in results], "late"]
+    if watermark:
+        if idle_timeout_s:
+            raise ValueError("idle_timeout_s is for streams without watermark")
+        require_positive(bucket_s=bucket_s)
+        use_rocksdb(df.sparkSession)
+        # Rows without identifier go on, so that no filter is pushed below the watermark.
+        df = df.withColumn("__sf_at", ntz_to_instant(ts_col)).withWatermark("__sf_at", watermark)
+    points = df.where(F.col(ts_col).isNotNull() if watermark else has_point([id_col], ts_col)).select(
         F.col(id_col).alias("id"),
         epoch_us(ts_col).alias("us"),
         F.coalesce(F.col(seq_col).cast("bigint"), F.lit(_NO_SEQ)).alias("seq"),
@@ -93,19 +178,25 @@ def rolling_stream(
         F.col(value_col).isNull().alias("missing"),
     )
     id_type = points.schema["id"].dataType.simpleString()
-    output = "".join(f", {name} double" for name in results)
-    rolled = points.groupBy("id").applyInPandasWithState(
-        advance,
-        f"id {id_type}, us bigint, seq bigint, v double, missing boolean{output}, late boolean",
-        "last_values array<double>, us bigint, seq bigint",
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_s else GroupStateTimeout.NoTimeout,
-    )
+    output = "".join(f", {name} double" for name in results) + "".join(f", {name}_nan boolean" for name in results)
+    nan = F.lit(float("nan"))
+    schema = f"id {id_type}, us bigint, seq bigint, v double, missing boolean{output}, late boolean"
+    if watermark:
+        processor = _InOrder(bucket_s, window_size, min_periods, aggs, columns)
+        rolled = points.groupBy("id").transformWithStateInPandas(processor, schema, "append", "eventTime")
+    else:
+        rolled = points.groupBy("id").applyInPandasWithState(
+            advance,
+            schema,
+            "last_values array<double>, us bigint, seq bigint",
+            "append",
+            GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_s else GroupStateTimeout.NoTimeout,
+        )
     return rolled.select(
         F.col("id").alias(id_col),
         from_epoch("us").alias(ts_col),
         F.nullif("seq", F.lit(_NO_SEQ)).alias(seq_col),
-        F.col("v").alias(value_col),
-        *[F.round(name, ROUND_DECIMALS).alias(name) for name in results],
+        F.when(~F.col("missing"), F.coalesce("v", nan)).alias(value_col),
+        *[F.when(F.col(f"{name}_nan"), nan).otherwise(F.round(name, ROUND_DECIMALS)).alias(name) for name in results],
         "late",
     )

@@ -170,3 +170,74 @@ def test_rolling_stream_takes_a_null_tie_breaker(spark, tmp_path):
     batch = sf.rolling(spark.createDataFrame(first + second, POINTS), 3)
     assert got.where("late or seq is not null").count() == 0
     assert rows(got, "identifier", "ts", "rolling_mean") == rows(batch, "identifier", "ts", "rolling_mean")
+
+
+def disordered(numbers, seed, spread):
+    """Points in files, each up to ``spread`` places away from its place in time."""
+    import random
+
+    rng = random.Random(seed)
+    order = sorted(points(numbers), key=lambda p: p[3] + rng.uniform(0, spread))
+    return [order[i : i + 70] for i in range(0, len(order), 70)]
+
+
+def heartbeat(seconds):
+    return [(None, START + timedelta(seconds=seconds), None, None)]
+
+
+@pytest.mark.parametrize("bucket_s", [1, 45, 3600])
+def test_rolling_stream_with_watermark_equals_batch_for_disordered_input(spark, tmp_path, bucket_s):
+    value = {5: None, 9: float("nan"), 30: float("inf")}
+    files = [[(i, ts, value.get(n, v), n) for i, ts, v, n in f] for f in disordered(range(420), bucket_s, 60)]
+    assert any(f != sorted(f, key=lambda p: p[3]) for f in files)
+    land(spark, tmp_path / "in", *files, heartbeat(20 * 420 + 20000))
+    stream = sf.rolling_stream(source(spark, tmp_path / "in"), 7, 3, ("mean", "median"), watermark="25 minutes", bucket_s=bucket_s)
+    got = run(stream, tmp_path)
+    batch = spark.createDataFrame([p for f in files for p in f], POINTS)
+    assert got.where("late").count() == 0
+    assert rows(got.drop("late")) == rows(sf.rolling(batch, 7, 3, ("mean", "median")))
+
+
+def test_rolling_stream_with_watermark_holds_back_what_may_still_change(spark, tmp_path):
+    land(spark, tmp_path / "in", points(range(100)))
+    got = run(sf.rolling_stream(source(spark, tmp_path / "in"), 7, watermark="10 minutes", bucket_s=20), tmp_path)
+    batch = sf.rolling(spark.createDataFrame(points(range(100)), POINTS), 7)
+    until = START + timedelta(seconds=20 * 99 - 600 - 20)
+    assert rows(got.drop("late")) == rows(batch.where(F.col("ts") <= F.lit(until)))
+    land(spark, tmp_path / "in", points(range(100, 130)), [(0, START, 5.0, 1000)], heartbeat(20 * 130 + 2000))
+    got = run(sf.rolling_stream(source(spark, tmp_path / "in"), 7, watermark="10 minutes", bucket_s=20), tmp_path)
+    batch = sf.rolling(spark.createDataFrame(points(range(130)), POINTS), 7)
+    assert rows(got.where("not late").drop("late")) == rows(batch)
+    assert rows(got.where("late"), "seq", "rolling_mean") == [(1000, None)]
+
+
+def test_one_identifier_with_all_rows_comes_out_bucket_by_bucket(spark, tmp_path):
+    data = [(1, START + timedelta(milliseconds=20 * n), float(n % 13), n) for n in range(30_000)]
+    land(spark, tmp_path / "in", data[15_000:] + data[:15_000], heartbeat(3600))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        got = run(sf.rolling_stream(source(spark, tmp_path / "in"), 50, 1, ("mean", "median"), watermark="20 minutes", bucket_s=30), tmp_path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert rows(got.drop("late")) == rows(sf.rolling(spark.createDataFrame(data, POINTS), 50, 1, ("mean", "median")))
+
+
+@pytest.mark.parametrize("every, period", [(60, 60), (60, 200), (120, 60), (40, 400)])
+def test_resample_stream_drops_leading_windows_as_batch_does(spark, tmp_path, every, period):
+    starts = {0: 0, 1: 100, 2: 333}  # identifiers begin at different times
+    data = [p for p in points(range(600)) if p[3] >= starts[p[0]]]
+    files = [data[i : i + 150] for i in range(0, len(data), 150)]
+    land(spark, tmp_path / "in", *files, heartbeat(20 * 600 + 4000))
+    stream = sf.resample_stream(source(spark, tmp_path / "in"), every, period, ("mean", "median"), "1 minute", leading="drop")
+    batch = sf.resample(spark.createDataFrame(data, POINTS), every, period, ("mean", "median"))
+    got = run(stream, tmp_path)
+    assert got.columns == batch.columns and rows(got) == rows(batch)
+
+
+def test_the_first_pane_is_remembered_across_runs(spark, tmp_path):
+    land(spark, tmp_path / "in", points(range(0, 90)))
+    run(sf.resample_stream(source(spark, tmp_path / "in"), 60, 600, "mean", "1 minute", leading="drop"), tmp_path)
+    land(spark, tmp_path / "in", points(range(90, 300)), heartbeat(20 * 300 + 2000))
+    got = run(sf.resample_stream(source(spark, tmp_path / "in"), 60, 600, "mean", "1 minute", leading="drop"), tmp_path)
+    assert rows(got) == rows(sf.resample(spark.createDataFrame(points(range(300)), POINTS), 60, 600, "mean"))
