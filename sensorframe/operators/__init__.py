@@ -8,6 +8,7 @@ from .catalog import (
     select_logs,
     union_logs,
 )
+from .kept import KeptOrder, keep_order, open_order
 from .resample import resample
 from .rolling import rolling
 from .rowindex import with_row_index
@@ -15,6 +16,7 @@ from .series import source_series, to_points
 from .table import distinct_identifiers, exclude_identifiers, index_table, page, sort_table
 
 __all__ = [
+    "KeptOrder",
     "catalog",
     "dedup_logs",
     "distinct_identifiers",
@@ -22,7 +24,9 @@ __all__ = [
     "exclude_identifiers",
     "fingerprint_logs",
     "index_table",
+    "keep_order",
     "merge_profile",
+    "open_order",
     "page",
     "profile_logs",
     "resample",

@@ -19,28 +19,33 @@ def profile_logs(readings: DataFrame) -> DataFrame:
 
     The range is null when a log has no timestamp.
     """
+    return _described(readings.groupBy(*LOG).agg(*_profile(readings)))
+
+
+def profile_and_print(readings: DataFrame) -> DataFrame:
+    """``profile_logs`` with the ``fingerprint`` of ``fingerprint_logs``, in one pass."""
+    columns = [c for c in readings.columns if c not in LOG]
+    hashed = readings.withColumn("h", _row_hash(columns))
+    profiled = hashed.groupBy(*LOG).agg(*_profile(readings), _fingerprint().alias("fingerprint"))
+    return _described(profiled, "fingerprint")
+
+
+def _profile(readings: DataFrame) -> list[Column]:
     require_columns(readings, *LOG, "ts", "identifier")
     width = F.max("width") if "width" in readings.columns else F.lit(len(readings.columns))
-    return (
-        readings.groupBy(*LOG)
-        .agg(
-            F.min("ts").alias("first"),
-            F.max("ts").alias("last"),
-            F.count(F.lit(1)).alias("rows"),
-            width.cast("int").alias("columns"),
-            F.count_if(F.col("ts").isNull()).alias("null_ts"),
-            F.count_if(F.col("identifier").isNull()).alias("null_id"),
-        )
-        .select(
-            *LOG,
-            format_ts("first").alias("min_ts"),
-            format_ts("last").alias("max_ts"),
-            "rows",
-            "columns",
-            "null_ts",
-            "null_id",
-        )
-    )
+    return [
+        F.min("ts").alias("first"),
+        F.max("ts").alias("last"),
+        F.count(F.lit(1)).alias("rows"),
+        width.cast("int").alias("columns"),
+        F.count_if(F.col("ts").isNull()).alias("null_ts"),
+        F.count_if(F.col("identifier").isNull()).alias("null_id"),
+    ]
+
+
+def _described(profiled: DataFrame, *more: str) -> DataFrame:
+    ends = [format_ts("first").alias("min_ts"), format_ts("last").alias("max_ts")]
+    return profiled.select(*LOG, *ends, "rows", "columns", "null_ts", "null_id", *more)
 
 
 def catalog(readings: DataFrame) -> DataFrame:
@@ -92,6 +97,12 @@ def _row_hash(columns: list[str]) -> Column:
     return F.xxhash64(*[part for name in columns for part in (F.col(name), F.col(name).isNull())])
 
 
+def _fingerprint() -> Column:
+    # Sums of 16-bit quarters stay exact up to 10^14 rows in one log.
+    quarters = [F.sum(F.shiftrightunsigned("h", bits).bitwiseAND(F.lit(0xFFFF))) for bits in (48, 32, 16, 0)]
+    return F.concat_ws("-", *map(F.hex, [F.count(F.lit(1)), *quarters, F.bit_xor("h")]))
+
+
 def fingerprint_logs(
     readings: DataFrame, columns: list[str] | None = None, log_cols: tuple[str, ...] = tuple(LOG)
 ) -> DataFrame:
@@ -104,13 +115,10 @@ def fingerprint_logs(
     log_cols = list(log_cols)
     columns = columns or [c for c in readings.columns if c not in log_cols]
     require_columns(readings, *log_cols, *columns)
-    # Sums of 16-bit quarters stay exact up to 10^14 rows in one log.
-    quarters = [F.sum(F.shiftrightunsigned("h", bits).bitwiseAND(F.lit(0xFFFF))) for bits in (48, 32, 16, 0)]
-    summary = [F.count(F.lit(1)), *quarters, F.bit_xor("h")]
     return (
         readings.select(*log_cols, _row_hash(columns).alias("h"))
         .groupBy(*log_cols)
-        .agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", *map(F.hex, summary)).alias("fingerprint"))
+        .agg(F.count(F.lit(1)).alias("rows"), _fingerprint().alias("fingerprint"))
     )
 
 

@@ -1,4 +1,4 @@
-"""Sorted row numbers without a single-partition window, and the hot-key check."""
+"""Sorted row numbers without a single-partition window."""
 
 from __future__ import annotations
 
@@ -16,20 +16,6 @@ _AT = "__sf_at"
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
-def has_hot_key(df: DataFrame, *keys, limit: int = HOT_ROWS) -> bool:
-    """Whether some combination of ``keys`` has more than ``limit`` rows.
-
-    A frame no larger than ``limit`` answers from the row count alone, which a
-    Parquet scan takes from the file footers. Above that, the counts are
-    combined map-side, so a key with a third of the rows is no heavier to
-    count than any other.
-    """
-    if df.count() <= limit:
-        return False
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__sf_n"))
-    return not counts.where(F.col("__sf_n") > limit).isEmpty()
-
-
 def with_row_index(df: DataFrame, *order: Column | str, name: str = "row_index") -> DataFrame:
     """Add the 0-based position of each row in the total order ``order``.
 

@@ -53,10 +53,16 @@ def message_stream(
 ) -> DataFrame:
     """Stream of the messages landing as Parquet in ``directory``.
 
-    ``files_per_trigger`` bounds what one micro-batch takes on after a stop.
+    ``files_per_trigger`` bounds what one micro-batch takes on after a stop. Where the folder has one subfolder per
+    topic, as ``land_messages`` writes, files of other topics than those below ``prefix`` are not read.
     """
     reader = spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", files_per_trigger)
-    return topic_filter(reader.parquet(directory), prefix)
+    return topic_filter(reader.parquet(directory), prefix).select(*MESSAGES.names)
+
+
+def land_messages(messages: DataFrame, directory: str) -> None:
+    """Append messages to a landing folder, one subfolder per topic."""
+    messages.select(*MESSAGES.names).write.mode("append").partitionBy("topic").parquet(directory)
 
 
 def route_topics(messages: DataFrame, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
