@@ -11,7 +11,8 @@ a prefix probe on single shingles.
 
 Equal sets are one class from the start. Pairs are verified on whole texts. Large groups of near copies do not become
 all pairs: signatures first link their members to one leader, links make components, and only signatures that still hold
-several components are compared across these.
+several components are compared across these, by parity sketches first, so that texts which share much but not enough
+do not become pairs either.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.resample_kernel import whole_groups
+from ..operators.rolling_kernel import _group_starts
 from ..scratch import pin
 from .common import batch_of, components, id_and_body
 
@@ -175,8 +178,13 @@ _SENT = pa.schema([("part", pa.int64()), ("kind", pa.int8()), ("block", pa.binar
 _SENT_SQL = "part long, kind byte, block binary"
 _MEMBER_SQL = "sig long, cls long, leader long, role long"
 _MEMBER = pa.schema([(n, pa.int64()) for n in ("sig", "cls", "leader", "role")])
-_ALLOTTED = pa.schema([*((n, pa.int64()) for n in ("sig", "cls", "comp", "role", "size", "least")), ("asks", pa.bool_())])
-_ALLOTTED_SQL = "sig long, cls long, comp long, role long, size long, least long, asks boolean"
+_ALLOTTED = pa.schema([*((n, pa.int64()) for n in ("sig", "cls", "comp", "role", "size")), ("asks", pa.bool_()), ("sketch", pa.binary())])
+_ALLOTTED_SQL = "sig long, cls long, comp long, role long, size long, asks boolean, sketch binary"
+_ASKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Longest parity sketch of a set, in 64-bit words; up to it a sketch has 16 bits for every element partners may differ in.
+SKETCH_WORDS = 16
+#: Pairs of sketches that a task compares for one signature; signatures with more are cut into a grid of such cells.
+CELL_PAIRS = 1 << 24
 
 
 def class_key(words: list[bytes], salt: int) -> tuple[bytes, int]:
@@ -341,6 +349,40 @@ def passes(spots: np.ndarray, pages: dict[int, np.ndarray]) -> np.ndarray:
     return out
 
 
+def sketch(hashes: np.ndarray, band: int, bands: Bands) -> bytes:
+    """Bits that each element of a set toggles at a place of its own: sets differ in at least as many elements as bits."""
+    high = bands.starts[band + 1] - 1
+    words = min(SKETCH_WORDS, bands.difference(high, high) // 4 + 1)
+    place = mix(hashes ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(64 * words)
+    odd = np.bincount(place.astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def ask(batches: Iterator[pa.RecordBatch], num: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by signature and cell to pairs of a probe and an indexed set that the signature, their sizes and
+    their sketches allow, of different components. Cells bound the pairs compared at a time, and only such pairs go on."""
+    for table in whole_groups(batches, ["sig", "cell"], 50_000):
+        starts = np.unique(_group_starts(table, ["sig", "cell"]))
+        for begin, end in zip(starts, [*starts[1:], len(table)]):
+            group = table.slice(begin, end - begin)
+            asks, cls, comp, role, size = (group[c].to_numpy() for c in ("asks", "cls", "comp", "role", "size"))
+            # all sketches of one signature are of its band
+            bits = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(len(group), -1)
+            probes, index = np.flatnonzero(asks), np.flatnonzero(~asks)
+            step = max(1, (1 << 21) // max(1, len(index) * bits.shape[1]))
+            for at in range(0, len(probes), step):
+                p = probes[at : at + step, None]
+                both = size[p] + size[index]
+                room = both - 2 * -(-num * both // (100 + num))
+                fits = (size[index] <= size[p]) & (100 * size[index] >= num * size[p]) & (comp[p] != comp[index])
+                fits &= (role[p] <= ASKS) | (role[index] == WHOLE)
+                fits &= np.bitwise_count(bits[p[:, 0], None] ^ bits[None, index]).sum(axis=2, dtype=np.int64) <= room
+                i, j = np.nonzero(fits)
+                for some in range(0, len(i), 100_000):
+                    own = slice(some, some + 100_000)
+                    yield batch_of(_ASKED, (cls[p[i[own], 0]], cls[index[j[own]]]))
+
+
 class Join:
     """One run over one table; each method is a step."""
 
@@ -434,12 +476,11 @@ class Join:
         return pin(own.select("cls", "doc_id", "comp", F.col("shared.sig").alias("sigs"), F.col("shared.cost").alias("costs")), "jaccard-shared")
 
     def allotted(self, own: DataFrame) -> DataFrame:
-        """``sig, cls, comp, role, size, least, asks`` for ``shared``: which signatures a set still asks in.
+        """``sig, cls, comp, role, size, asks, sketch`` for ``shared``: which signatures a set still asks in.
 
         A set may spare as many units as it has beyond its need in a band; it spares the segments whose signatures most
         sets share. A set with no more units here than it can spare asks nowhere, and a text with few shared
-        signatures is soon done with. ``least`` is how many signatures it shares with any partner: the units beyond its
-        need, of which a segment of two units may show only one.
+        signatures is soon done with. ``sketch`` is of the band of the signature.
         """
         n, bands = self.n, self.bands
         texts = self.texts(own.select("cls", "doc_id"), "jaccard-unsettled")
@@ -450,10 +491,8 @@ class Join:
                 for cls, comp, sigs, costs, text in rows_of(batch):
                     sigs, costs = np.array(sigs, np.int64), np.array(costs, np.int64)
                     bands_of: dict[int, list] = {}
-                    hashes, least = shingle_hashes(words_of(text), n), {}
+                    hashes = shingle_hashes(words_of(text), n)
                     for role, sig, segment, units, offset, spare in signatures(hashes, bands, plans):
-                        if role in (WHOLE, ASKS):
-                            least[offset] = max(1, spare + 1 - int((units == 2).sum()))
                         if role != RARE:
                             at = np.minimum(np.searchsorted(sigs, sig), len(sigs) - 1)
                             here = sigs[at] == sig
@@ -470,27 +509,31 @@ class Join:
                         asks = np.zeros(len(which), bool)
                         asks[by_cost[np.cumsum(worth[by_cost]) > spare]] = True
                         same = lambda value: np.full(len(sig), value, np.int64)
-                        yield batch_of(_ALLOTTED, (sig, same(cls), same(comp), role, same(len(hashes)), same(least[offset]), asks[place]))
+                        bits = [sketch(hashes, bands.band(len(hashes)) - offset, bands)] * len(sig)
+                        yield batch_of(_ALLOTTED, (sig, same(cls), same(comp), role, same(len(hashes)), asks[place], bits))
 
         rows = own.drop("doc_id").join(texts, "cls").select("cls", "comp", "sigs", "costs", "body")
         return rows.mapInArrow(allot, _ALLOTTED_SQL)
 
     def across(self, members: DataFrame) -> DataFrame:
-        """All pairs of a probe and an indexed set of another component, in the signatures that the probe could not spare."""
-        own = self.shared(members)
-        rows = pin(self.allotted(own), "jaccard-allotted")
-        side = lambda s, *more: [F.col(c).alias(f"{c}_{s}") for c in ("cls", "comp", "role", "size", *more)]
-        probes = rows.where("asks").select("sig", *side("a", "least"))
-        index = rows.where(F.col("role").isin(WHOLE, LACKS)).select("sig", *side("b"))
-        proves = (F.col("role_a") <= ASKS) | (F.col("role_b") == WHOLE)
-        sizes = f"size_b <= size_a and 100 * size_b >= {self.num} * size_a"
-        # of two sets of one band, the larger one's question is enough
-        pairs = probes.join(index, "sig").where(proves & F.expr(f"comp_a != comp_b and {sizes}"))
-        pairs = pin(pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "least_a").distinct(), "jaccard-asked")
-        # partners share many signatures, sets with a passage in common only a few
-        both = pairs.join(own.select(F.col("cls").alias("a"), F.col("sigs").alias("sigs_a")), "a")
-        both = both.join(own.select(F.col("cls").alias("b"), F.col("sigs").alias("sigs_b")), "b")
-        return both.where(F.size(F.array_intersect("sigs_a", "sigs_b")) >= F.col("least_a")).select("a", "b")
+        """Pairs of a probe and an indexed set of another component, in the signatures that the probe could not spare.
+
+        Signatures meet in cells: all rows of most signatures in one, those of a frequent one in a square grid, each probe
+        in one row of it and each indexed set in one column. What a cell lets through, sketches have let through.
+        """
+        rows = pin(self.allotted(self.shared(members)), "jaccard-allotted")
+        indexed, num = F.col("role").isin(WHOLE, LACKS), self.num
+        stats = rows.groupBy("sig").agg(F.count_if("asks").alias("p"), F.count_if(indexed).alias("q"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        side = F.ceil(F.sqrt(F.col("p") * F.col("q") / F.lit(float(CELL_PAIRS))))
+        rows = rows.join(stats.where("p > 0 and q > 0 and low != high").select("sig", side.alias("side")), "sig")
+        spot, along = F.pmod(F.xxhash64("cls"), F.col("side")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1))
+        columns = ["sig", "cls", "comp", "role", "size", "sketch"]
+        probes = rows.where("asks").select(*columns, "side", spot.alias("spot"), along.alias("other"))
+        probes = probes.select(*columns, F.lit(True).alias("asks"), (F.col("spot") * F.col("side") + F.col("other")).alias("cell"))
+        index = rows.where(indexed).select(*columns, "side", spot.alias("spot"), along.alias("other"))
+        index = index.select(*columns, F.lit(False).alias("asks"), (F.col("other") * F.col("side") + F.col("spot")).alias("cell"))
+        met = probes.unionByName(index).repartition("sig", "cell").sortWithinPartitions("sig", "cell")
+        return met.mapInArrow(lambda batches: ask(batches, num), "a long, b long").distinct()
 
     def rare(self, members: DataFrame) -> DataFrame:
         """Pairs of probes that had too few units: any of their first shingles, as many as units needed, is in every partner."""
