@@ -53,17 +53,17 @@ def rank_in_groups(df: DataFrame, group: Sequence[str], order: Sequence[str], la
     return out.select(*df.columns, "rank")
 
 
-def components(links: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, label: str) -> DataFrame:
     """Connected components of undirected ``links(a, b)``: ``node, component`` (smallest node) for every node.
 
     Large-star and small-star rounds (Kiveris et al., 2014): in each, every node hands its neighbours the smallest node
     around it, so the number of rounds is logarithmic in practice and no group is ever gathered. Each round is written
-    and read again, and rounds end when an edge set maps to itself.
+    and read again, and rounds go on until an edge set maps to itself, however long its chains are.
     """
     edges = pin(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").distinct(), label)
     stamp = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")
     before = edges.agg(F.count("*").alias("n"), stamp).first()
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -76,8 +76,6 @@ def components(links: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     star = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     centres = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return star.union(centres.join(star.select("node"), "node", "left_anti"))

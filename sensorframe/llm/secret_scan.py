@@ -157,55 +157,62 @@ def mean_ratio(value: Column, table: list[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / F.greatest(F.size(pairs), F.lit(1))
 
 
-#: Name of the column that ``scanned`` adds; no documents table should hold it.
-FOUND = "__secrets"
+def free_name(docs: DataFrame, name: str = "secrets") -> str:
+    """A column name that ``docs`` does not have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def scanned(docs: DataFrame, table: list[float], text_col: str = "text", threshold: float = 1.0) -> DataFrame:
-    """``docs`` with a column of (counts, base, found); see ``find_secrets``. Rows stay where they are."""
+def scanned(docs: DataFrame, table: list[float], found: str, text_col: str = "text", threshold: float = 1.0) -> DataFrame:
+    """``docs`` with a column ``found`` of (counts, base, found); see ``find_secrets``. Rows stay where they are."""
     text, names = whole_text(text_col), [F.col(f"`{c}`") for c in docs.columns]
     spans = [*base_spans(text), matches(text, CANDIDATE)]
-    rows = docs.select(*names, F.struct(*[s.alias(f"s{i}") for i, s in enumerate(spans)]).alias(FOUND))
-    at = lambda i: F.col(FOUND)[f"s{i}"]
+    rows = docs.select(*names, F.struct(*[s.alias(f"s{i}") for i, s in enumerate(spans)]).alias(found))
+    at = lambda i: F.col(found)[f"s{i}"]
 
     def placed(spans: Column, rank: int) -> Column:
         return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(KINDS[rank]).alias("kind")))
 
     counts = [F.size(at(i)).cast("long").alias(f"n_{KINDS[i]}") for i in range(3)]
     base = F.array_sort(F.concat(*[placed(at(i), i) for i in range(3)]))
-    rows = rows.select(*names, F.struct(*counts, base.alias("base"), at(3).alias("more")).alias(FOUND))
-    base = F.col(FOUND)["base"]
-    touched = lambda m: F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    more = F.filter(F.col(FOUND)["more"], lambda m: ~touched(m) & (mean_ratio(m["value"], table) > threshold))
-    counts = [F.col(FOUND)[f"n_{k}"].alias(f"n_{k}") for k in KINDS[:3]]
-    return rows.select(*names, F.struct(*counts, base.alias("base"), F.array_sort(F.concat(base, placed(more, 3))).alias("found")).alias(FOUND))
+    rows = rows.select(*names, F.struct(*counts, base.alias("base"), at(3).alias("more")).alias(found))
+    base = F.col(found)["base"]
+    # A candidate inside a base span adds nothing; one that reaches beyond it is judged as a whole.
+    inside = lambda m: F.exists(base, lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"]))
+    more = F.filter(F.col(found)["more"], lambda m: ~inside(m) & (mean_ratio(m["value"], table) > threshold))
+    counts = [F.col(found)[f"n_{k}"].alias(f"n_{k}") for k in KINDS[:3]]
+    return rows.select(*names, F.struct(*counts, base.alias("base"), F.array_sort(F.concat(base, placed(more, 3))).alias("found")).alias(found))
 
 
 def find_secrets(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 1.0) -> DataFrame:
     """One row per document: ``doc_id, n_assign, n_access, n_hex, base, found``.
 
     ``base`` and ``found`` are arrays of (start, rank, end, kind) in order of start and kind, ends exclusive, in code
-    points; ``found`` is ``base`` plus candidates with a mean ratio above ``threshold`` that no base span touches. Null
-    and empty texts have none; null ids and repeated rows are returned as they come; an empty table gives none; other
-    columns are not read. Whole texts are scanned; there is no shuffle.
+    points; ``found`` is ``base`` plus candidates with a mean ratio above ``threshold`` that no base span holds whole, so
+    spans may overlap. Null and empty texts have none; null ids and repeated rows are returned as they come; an empty
+    table gives none; other columns are not read. Whole texts are scanned, very long ones in one row; there is no shuffle.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return scanned(docs, table, "text", threshold).select("doc_id", f"{FOUND}.*")
+    return scanned(docs, table, "secrets", "text", threshold).select("doc_id", "secrets.*")
 
 
 def redact(docs: DataFrame, table: list[float], text_col: str = "text", mark: str = "[SECRET]", threshold: float = 1.0) -> DataFrame:
     """``docs`` with every secret in the text replaced by ``mark``; rows without one are unchanged, null texts too.
 
-    A column ``n_chars`` follows the new length of changed texts.
+    A column ``n_chars`` follows the new length of changed texts. Overlapping spans become one mark. Repeated rows are
+    changed alike, an empty table stays empty; other columns are kept, whatever their names.
     """
-    rows = scanned(docs, table, text_col, threshold)
-    spans = F.col(FOUND)["found"]
+    mine = free_name(docs)
+    rows = scanned(docs, table, mine, text_col, threshold)
+    spans = F.col(mine)["found"]
     changed = F.when(F.size(spans) > 0, without(F.col(text_col), spans, mark)).otherwise(F.col(text_col))
     columns = [changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    out = rows.select(*columns, (F.size(spans) > 0).alias(FOUND))
+    out = rows.select(*columns, (F.size(spans) > 0).alias(mine))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col(FOUND), F.length(text_col).cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(mine), F.length(text_col).cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
