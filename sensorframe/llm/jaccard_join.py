@@ -12,7 +12,7 @@ a prefix probe on single shingles.
 Equal sets are one class from the start. Pairs are verified on whole texts. Large groups of near copies do not become
 all pairs: signatures first link their members to one leader, links make components, and only signatures that still hold
 several components are compared across these, by parity sketches first, so that texts which share much but not enough
-do not become pairs either.
+do not become pairs either; each probe's nearest pair first, then all that may still link two components.
 """
 
 from __future__ import annotations
@@ -178,11 +178,13 @@ _SENT = pa.schema([("part", pa.int64()), ("kind", pa.int8()), ("block", pa.binar
 _SENT_SQL = "part long, kind byte, block binary"
 _MEMBER_SQL = "sig long, cls long, leader long, role long"
 _MEMBER = pa.schema([(n, pa.int64()) for n in ("sig", "cls", "leader", "role")])
-_ALLOTTED = pa.schema([*((n, pa.int64()) for n in ("sig", "cls", "comp", "role", "size")), ("asks", pa.bool_()), ("sketch", pa.binary())])
-_ALLOTTED_SQL = "sig long, cls long, comp long, role long, size long, asks boolean, sketch binary"
+_ALLOTTED = pa.schema([*((n, pa.int64()) for n in ("sig", "cls", "comp", "role", "size", "band")), ("asks", pa.bool_()), ("sketch", pa.binary())])
+_ALLOTTED_SQL = "sig long, cls long, comp long, role long, size long, band long, asks boolean, sketch binary"
 _ASKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-#: Longest parity sketch of a set, in 64-bit words; up to it a sketch has 16 bits for every element partners may differ in.
-SKETCH_WORDS = 16
+#: Longest parity sketch of a set, in 64-bit words; up to it a sketch has 32 bits for every element partners may differ in.
+SKETCH_WORDS = 32
+#: What stands for a signature in the one row that brings a set's sketch for a band.
+SKETCH_ROW = -1
 #: Pairs of sketches that a task compares for one signature; signatures with more are cut into a grid of such cells.
 CELL_PAIRS = 1 << 24
 
@@ -352,15 +354,15 @@ def passes(spots: np.ndarray, pages: dict[int, np.ndarray]) -> np.ndarray:
 def sketch(hashes: np.ndarray, band: int, bands: Bands) -> bytes:
     """Bits that each element of a set toggles at a place of its own: sets differ in at least as many elements as bits."""
     high = bands.starts[band + 1] - 1
-    words = min(SKETCH_WORDS, bands.difference(high, high) // 4 + 1)
+    words = min(SKETCH_WORDS, bands.difference(high, high) // 2 + 1)
     place = mix(hashes ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(64 * words)
     odd = np.bincount(place.astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def ask(batches: Iterator[pa.RecordBatch], num: int) -> Iterator[pa.RecordBatch]:
+def ask(batches: Iterator[pa.RecordBatch], num: int, nearest: bool) -> Iterator[pa.RecordBatch]:
     """From rows sorted by signature and cell to pairs of a probe and an indexed set that the signature, their sizes and
-    their sketches allow, of different components. Cells bound the pairs compared at a time, and only such pairs go on."""
+    their sketches allow, of different components; with ``nearest`` only each probe's pair of the least difference."""
     for table in whole_groups(batches, ["sig", "cell"], 50_000):
         starts = np.unique(_group_starts(table, ["sig", "cell"]))
         for begin, end in zip(starts, [*starts[1:], len(table)]):
@@ -370,14 +372,18 @@ def ask(batches: Iterator[pa.RecordBatch], num: int) -> Iterator[pa.RecordBatch]
             bits = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(len(group), -1)
             probes, index = np.flatnonzero(asks), np.flatnonzero(~asks)
             step = max(1, (1 << 21) // max(1, len(index) * bits.shape[1]))
-            for at in range(0, len(probes), step):
+            for at in range(0, len(probes) if len(index) else 0, step):
                 p = probes[at : at + step, None]
                 both = size[p] + size[index]
                 room = both - 2 * -(-num * both // (100 + num))
+                apart = np.bitwise_count(bits[p[:, 0], None] ^ bits[None, index]).sum(axis=2, dtype=np.int64)
                 fits = (size[index] <= size[p]) & (100 * size[index] >= num * size[p]) & (comp[p] != comp[index])
-                fits &= (role[p] <= ASKS) | (role[index] == WHOLE)
-                fits &= np.bitwise_count(bits[p[:, 0], None] ^ bits[None, index]).sum(axis=2, dtype=np.int64) <= room
-                i, j = np.nonzero(fits)
+                fits &= ((role[p] <= ASKS) | (role[index] == WHOLE)) & (apart <= room)
+                if nearest:
+                    i = np.flatnonzero(fits.any(axis=1))
+                    j = np.where(fits, apart, 1 << 40)[i].argmin(axis=1)
+                else:
+                    i, j = np.nonzero(fits)
                 for some in range(0, len(i), 100_000):
                     own = slice(some, some + 100_000)
                     yield batch_of(_ASKED, (cls[p[i[own], 0]], cls[index[j[own]]]))
@@ -476,11 +482,11 @@ class Join:
         return pin(own.select("cls", "doc_id", "comp", F.col("shared.sig").alias("sigs"), F.col("shared.cost").alias("costs")), "jaccard-shared")
 
     def allotted(self, own: DataFrame) -> DataFrame:
-        """``sig, cls, comp, role, size, asks, sketch`` for ``shared``: which signatures a set still asks in.
+        """``sig, cls, comp, role, size, band, asks, sketch`` for ``shared``: which signatures a set still asks in.
 
         A set may spare as many units as it has beyond its need in a band; it spares the segments whose signatures most
         sets share. A set with no more units here than it can spare asks nowhere, and a text with few shared
-        signatures is soon done with. ``sketch`` is of the band of the signature.
+        signatures is soon done with. ``sketch`` comes once for each set and band, in a row of its own.
         """
         n, bands = self.n, self.bands
         texts = self.texts(own.select("cls", "doc_id"), "jaccard-unsettled")
@@ -509,31 +515,39 @@ class Join:
                         asks = np.zeros(len(which), bool)
                         asks[by_cost[np.cumsum(worth[by_cost]) > spare]] = True
                         same = lambda value: np.full(len(sig), value, np.int64)
-                        bits = [sketch(hashes, bands.band(len(hashes)) - offset, bands)] * len(sig)
-                        yield batch_of(_ALLOTTED, (sig, same(cls), same(comp), role, same(len(hashes)), asks[place], bits))
+                        band = bands.band(len(hashes)) - offset
+                        yield batch_of(_ALLOTTED, (sig, same(cls), same(comp), role, same(len(hashes)), same(band), asks[place], [None] * len(sig)))
+                        yield batch_of(_ALLOTTED, ([SKETCH_ROW], [cls], [comp], [0], [len(hashes)], [band], [False], [sketch(hashes, band, bands)]))
 
         rows = own.drop("doc_id").join(texts, "cls").select("cls", "comp", "sigs", "costs", "body")
         return rows.mapInArrow(allot, _ALLOTTED_SQL)
 
-    def across(self, members: DataFrame) -> DataFrame:
-        """Pairs of a probe and an indexed set of another component, in the signatures that the probe could not spare.
+    def cells(self, members: DataFrame) -> DataFrame:
+        """Probes and indexed sets with their sketches, in the signatures that some probe could not spare.
 
-        Signatures meet in cells: all rows of most signatures in one, those of a frequent one in a square grid, each probe
-        in one row of it and each indexed set in one column. What a cell lets through, sketches have let through.
+        All rows of most signatures are in one cell, those of a frequent one in a square grid of cells: each probe in one
+        row of it and each indexed set in one column.
         """
         rows = pin(self.allotted(self.shared(members)), "jaccard-allotted")
-        indexed, num = F.col("role").isin(WHOLE, LACKS), self.num
+        sketches = rows.where(f"sig = {SKETCH_ROW}").select("cls", "band", "sketch")
+        rows, indexed = rows.where(f"sig != {SKETCH_ROW}").drop("sketch"), F.col("role").isin(WHOLE, LACKS)
         stats = rows.groupBy("sig").agg(F.count_if("asks").alias("p"), F.count_if(indexed).alias("q"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         side = F.ceil(F.sqrt(F.col("p") * F.col("q") / F.lit(float(CELL_PAIRS))))
         rows = rows.join(stats.where("p > 0 and q > 0 and low != high").select("sig", side.alias("side")), "sig")
+        rows = rows.where(F.col("asks") | indexed).join(sketches, ["cls", "band"])
         spot, along = F.pmod(F.xxhash64("cls"), F.col("side")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1))
         columns = ["sig", "cls", "comp", "role", "size", "sketch"]
         probes = rows.where("asks").select(*columns, "side", spot.alias("spot"), along.alias("other"))
         probes = probes.select(*columns, F.lit(True).alias("asks"), (F.col("spot") * F.col("side") + F.col("other")).alias("cell"))
         index = rows.where(indexed).select(*columns, "side", spot.alias("spot"), along.alias("other"))
         index = index.select(*columns, F.lit(False).alias("asks"), (F.col("other") * F.col("side") + F.col("spot")).alias("cell"))
-        met = probes.unionByName(index).repartition("sig", "cell").sortWithinPartitions("sig", "cell")
-        return met.mapInArrow(lambda batches: ask(batches, num), "a long, b long").distinct()
+        return pin(probes.unionByName(index), "jaccard-cells")
+
+    def across(self, cells: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of a probe and an indexed set of another component that met in a cell; all, or each probe's nearest."""
+        num = self.num
+        met = cells.repartition("sig", "cell").sortWithinPartitions("sig", "cell")
+        return met.mapInArrow(lambda batches: ask(batches, num, nearest), "a long, b long").distinct()
 
     def rare(self, members: DataFrame) -> DataFrame:
         """Pairs of probes that had too few units: any of their first shingles, as many as units needed, is in every partner."""
@@ -569,7 +583,13 @@ class Join:
         links = self.verified(star.select(F.col("cls").alias("a"), F.col("leader").alias("b")), "jaccard-star")
         comps = self.named(links, "jaccard-star")
         left = pin(self.unsettled(met.where(f"role < {MARK}").select("sig", "cls"), comps), "jaccard-unsettled")
-        more = self.verified(self.across(left).union(self.rare(signed)), "jaccard-across")
+        cells = self.cells(left)
+        # Nearest pairs first: their links join most components that belong together, so few sets are left that have
+        # many pairs when all pairs that may still link two components are looked at.
+        links = links.union(self.verified(self.across(cells, True).union(self.rare(signed)), "jaccard-nearest"))
+        comps = self.named(links, "jaccard-nearest").withColumnRenamed("comp", "joined")
+        cells = cells.join(comps, "cls", "left").withColumn("comp", F.coalesce("joined", "cls")).drop("joined")
+        more = self.verified(self.across(cells, False), "jaccard-across")
         return self.named(links.union(more), "jaccard")
 
 

@@ -1,11 +1,11 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-Bulk-synchronous best fit over ranks. Pieces are range-sorted by length and ranked within it by distributed offsets;
-gaps are kept sorted by the room they leave. In every round the pieces of the next length sweep the gaps from the
-tightest that holds them upwards: the pieces with the lowest ranks take the gaps of a size in the order in which these
-arose, a gap whose piece left room goes back under its new size, and pieces without a gap open new sequences. Pieces of
-one length are alike, so a round moves whole runs of ranks at once; the list of runs is bounded by the capacity (some
-thousand entries), whatever the number of documents, and rows find their place in it by length and rank.
+Best-fit decreasing, planned on the driver over the histogram of lengths, which the capacity bounds whatever the number
+of documents: longest first, the pieces of a length take the gaps from the tightest that holds them upwards, a gap whose
+piece left room goes back under its new size, and pieces without a gap open new sequences. Pieces of one length are
+alike, so whole runs of ranks move at once. Spark ranks the pieces by length through range partitions and distributed
+offsets, and rows find their place in the plan by length and rank. Successor sweeps over gap tables in rounds would be
+the distributed form; this is the same packing with the gaps held as a histogram.
 """
 
 from __future__ import annotations
