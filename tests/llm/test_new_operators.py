@@ -297,6 +297,14 @@ def test_prediction_does_not_depend_on_the_other_rows(spark):
         assert (alone.lang_pred, pytest.approx(alone.score, abs=1e-5)) == together[row[0]]
 
 
+def test_windows_do_not_see_into_the_next_text():
+    texts = [b"a" * n for n in (0, 1, 251, 252, 253, 255, 256, 257, 508, 512, 600)]
+    together, owner, inside = windows_of([t for text in texts for t in (text, b"zzzz")])
+    for i, text in enumerate(texts):
+        alone, _, starts = windows_of([text])
+        assert (together[owner == 2 * i] == alone).all() and list(inside[owner == 2 * i]) == list(starts), len(text)
+
+
 def test_networks_without_labels(spark):
     docs = table(spark, [(1, "words", None, "s", 0), (2, None, "aa", "s", 0)])
     assert [(r.lang_pred, r.score) for r in predict_language(docs, fit_language_network(docs)).collect()] == [("und", 0.0)] * 2
