@@ -373,16 +373,17 @@ def latest_of_redelivered(spark, sf_dir):
 def decode_nanoseconds(spark, sf_dir):
     """Payloads whose times carry nanoseconds, cut to microseconds."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def encode(batches):
         for batch in batches:
+            times = pc.add(pc.multiply(batch.column("us"), 1000), 789).cast(pa.timestamp("ns"))
+            log = pa.record_batch({"Identifier": batch.column("event_id"), "Timestamp": times, "Value": batch.column("value")})
             out = []
-            for i, ts, value in zip(*(batch.column(c).to_pylist() for c in ("event_id", "us", "value"))):
-                times = pa.array([ts * 1000 + 789], pa.timestamp("ns"))
-                log = pa.record_batch({"Identifier": pa.array([i]), "Timestamp": times, "Value": pa.array([value])})
+            for at in range(len(batch)):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, log.schema) as writer:
-                    writer.write_batch(log)
+                    writer.write_batch(log.slice(at, 1))
                 out.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_pydict({"message_id": batch.column("event_id"), "payload": pa.array(out, pa.binary())})
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 TOPIC_ROOT = "sensors"
 
+#: Decoded rows that are put together.
+STEP_ROWS = 10_000
+
 MESSAGES = T.StructType(
     [
         T.StructField("topic", T.StringType()),
@@ -91,7 +95,8 @@ def decode_payloads(
 
     Later batches of the same stream are not read; nanoseconds are cut to
     microseconds. A payload that cannot be decoded gives one row with ``error`` set and never fails the job. Works on
-    batch and streaming frames; one message is in memory at a time.
+    batch and streaming frames; beside the messages Spark hands over at a time, rows of up to ``STEP_ROWS`` or of one longer
+    message are in memory. Neighbouring messages of one shape are cast together.
     """
     id_arrow = pa.int64() if identifier_type == "bigint" else pa.decimal128(20, 0)
     out = pa.schema(
@@ -144,11 +149,72 @@ def decode_payloads(
             schema=out,
         )
 
+    def columns_of(payload: pa.Scalar) -> list[pa.Array] | None:
+        """Identifier, time and value of a payload's first batch as they are; none if anything is wrong with it."""
+        try:
+            with pa.ipc.open_stream(payload.as_buffer()) as stream:
+                batch = stream.read_next_batch()
+            return [batch.column("Identifier"), batch.column("Timestamp"), batch.column(batch.num_columns - 1)]
+        except Exception:  # rows_of says what it was
+            return None
+
+    def rows_together(batch: pa.RecordBatch, at: list[int], run: list[list[pa.Array]]) -> pa.RecordBatch:
+        counts = [len(columns[0]) for columns in run]
+        identifier, times, value = (pa.concat_arrays(column) for column in zip(*run))
+        if times.type == pa.timestamp("ns"):
+            times = pc.floor_temporal(times, unit="microsecond")
+        of = pa.array(np.repeat(at, counts))
+        total = sum(counts)
+        first = np.repeat(np.cumsum([0, *counts[:-1]]), counts)
+        return pa.RecordBatch.from_arrays(
+            [
+                *[pc.cast(batch.column(name), out.field(name).type).take(of) for name in ("topic", "message_id", "arrived")],
+                pa.array(np.arange(total) - first, pa.int64()),
+                pc.cast(identifier, id_arrow),
+                pc.cast(times, pa.timestamp("us")),
+                pc.cast(value, pa.float64()),
+                pa.nulls(total, pa.string()),
+                *([pa.nulls(total, pa.binary())] if keep_payload else []),
+            ],
+            schema=out,
+        )
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(name) for name in ("topic", "message_id", "arrived", "payload")]
-            for topic, message_id, arrived, payload in zip(*columns):
-                yield rows_of(topic, message_id, arrived, payload.as_py())
+            done: list[pa.RecordBatch] = []
+            at: list[int] = []
+            run: list[list[pa.Array]] = []
+            held = 0
+
+            def settle() -> None:
+                if run:
+                    try:
+                        done.append(rows_together(batch, at, run))
+                    except Exception:  # one of them cannot be cast: each by itself
+                        done.extend(rows_of(*(c[i] for c in columns[:3]), columns[3][i].as_py()) for i in at)
+                    at.clear()
+                    run.clear()
+
+            for i in range(len(batch)):
+                found = columns_of(columns[3][i])
+                if found is None or run and [c.type for c in found] != [c.type for c in run[0]]:
+                    settle()
+                if found is None:
+                    done.append(rows_of(*(c[i] for c in columns[:3]), columns[3][i].as_py()))
+                    held += 1
+                else:
+                    at.append(i)
+                    run.append(found)
+                    held += len(found[0])
+                if held >= STEP_ROWS:
+                    settle()
+                    yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+                    done.clear()
+                    held = 0
+            settle()
+            if done:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
 
     return messages.select("topic", "message_id", "arrived", "payload").mapInArrow(
         decode, decoded_schema(identifier_type).add("payload", "binary") if keep_payload else decoded_schema(identifier_type)

@@ -127,3 +127,45 @@ def test_nanoseconds_are_cut_to_microseconds(spark):
         df = spark.createDataFrame([("t", 1, T0, sink.getvalue().to_pybytes())], MESSAGES)
         (row,) = sf.decode_payloads(df).collect()
         assert row["error"] is None and row["ts"] == datetime(2024, 1, 1) + timedelta(microseconds=us)
+
+
+class Captured:
+    """Takes the place of a DataFrame to run what goes to tasks."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):
+        return function
+
+
+@pytest.mark.parametrize("keep_payload", [False, True])
+def test_short_messages_are_decoded_together_and_as_they_would_be_alone(keep_payload):
+    negative = payload([(5, T0, -1.0)], value=("Value", pa.float64())).replace(b"Identifier", b"Identifies")  # no such column
+    nanos = payload([(6, T0, 1)], value=("Turbidity", pa.uint16()), unit="ns")
+    huge = [GOOD, payload([(8, T0, 2.0)]), GOOD]  # does not fit into a bigint, beside one that does
+    contents = [payload([(n, T0, n), (n, None, None)]) for n in range(3000)] + [nanos, SMALL, TWO, None, negative, b"", *huge, payload([]), payload([(9, T0, 1.0)])]
+    table = pa.table(
+        {
+            "topic": [f"sensors/{n % 3}" for n in range(len(contents))],
+            "message_id": pa.array(range(len(contents)), pa.int64()),
+            "arrived": pa.array([T0] * len(contents), pa.timestamp("us")),
+            "payload": pa.array(contents, pa.binary()),
+        }
+    )
+    decode = sf.decode_payloads(Captured(), "bigint", keep_payload=keep_payload)
+    together = list(decode(iter(table.to_batches())))
+    assert len(together) == 1
+    alone = [b for n in range(len(contents)) for b in decode(iter(table.slice(n, 1).to_batches()))]
+    together = pa.Table.from_batches(together)
+    assert together.equals(pa.Table.from_batches(alone, together.schema))
+    errors = together.filter(pa.compute.is_valid(together["error"]))["message_id"].to_pylist()
+    assert errors == [3003, 3004, 3005, 3006, 3008] and together.num_rows == 6000 + 3 + 5 + 1 + 1
+    assert [r["identifier"] for r in together.slice(0, 6000).to_pylist()] == [n // 2 for n in range(6000)]
+
+
+def test_long_runs_of_messages_come_out_in_steps():
+    many = pa.table({"topic": ["t"] * 25_000, "message_id": range(25_000), "arrived": pa.array([T0] * 25_000, pa.timestamp("us")), "payload": [SMALL] * 25_000})
+    out = list(sf.decode_payloads(Captured(), "bigint")(iter(many.combine_chunks().to_batches())))
+    assert [len(b) for b in out] == [10_000, 10_000, 5_000]
+    assert pa.Table.from_batches(out)["message_id"].to_pylist() == list(range(25_000))
