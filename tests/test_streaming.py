@@ -241,3 +241,48 @@ def test_the_first_pane_is_remembered_across_runs(spark, tmp_path):
     land(spark, tmp_path / "in", points(range(90, 300)), heartbeat(20 * 300 + 2000))
     got = run(sf.resample_stream(source(spark, tmp_path / "in"), 60, 600, "mean", "1 minute", leading="drop"), tmp_path)
     assert rows(got) == rows(sf.resample(spark.createDataFrame(points(range(300)), POINTS), 60, 600, "mean"))
+
+
+def state_rows(spark, tmp_path, stream):
+    """Runs the stream, and the states it then holds."""
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/rows").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return max(p["stateOperators"][-1]["numRowsTotal"] for p in query.recentProgress)
+
+
+@pytest.mark.parametrize("watermark", [None, "2000 days"])
+@pytest.mark.parametrize("id_type", ["bigint", "decimal(20,0)", "string"])
+def test_many_identifiers_share_few_states(spark, tmp_path, watermark, id_type):
+    big = (1 << 53) + 1  # a float would not hold it
+    data = [(big + n % 400, START + timedelta(seconds=7 * n), float(n % 29), n) for n in range(4000)]
+    files = [data[a : a + 1500] + [(None, START, 1.0, -1)] for a in range(0, 4000, 1500)]
+    land(spark, tmp_path / "in", *files, heartbeat(7 * 4000 + 4000 * 86400))
+    named = lambda df: df.withColumn("identifier", F.col("identifier").cast(id_type))
+    stream = sf.rolling_stream(named(source(spark, tmp_path / "in")), 6, 2, ("mean", "median"), watermark=watermark, bucket_s=86400, groups=8)
+    assert state_rows(spark, tmp_path, stream) <= 8 * (4 if watermark else 1)
+    got = spark.read.schema(stream.schema).parquet(f"{tmp_path}/rows")
+    assert got.where("late").count() == 0
+    assert rows(got.drop("late")) == rows(sf.rolling(named(spark.createDataFrame(data, POINTS)), 6, 2, ("mean", "median")))
+
+
+def test_idle_identifiers_are_forgotten_one_by_one():
+    import pandas as pd
+
+    from sensorframe.streaming.rolling import _Answered
+
+    def frame(*rows):
+        return pd.DataFrame([(i, us, us, float(us), False) for i, us in rows], columns=["id", "us", "seq", "v", "missing"])
+
+    def rolled(state, rows, now):
+        return {(r.id, r.us): r.rolling_mean for r in state.roll(rows, 3, 1, ("mean",), now).itertuples()}
+
+    state = _Answered(None)
+    assert rolled(state, frame((7, 1), (8, 1), (7, 2)), 10) == {(7, 1): 1.0, (7, 2): 1.5, (8, 1): 1.0}
+    state = _Answered(state.pack())
+    assert rolled(state, frame((8, 3)), 20) == {(8, 3): 2.0}
+    state.came(frame((7, 1)), 15)  # late
+    state.forget(12)
+    assert list(state.ids) == [7, 8] and list(state.late(frame((7, 2), (8, 2), (9, 0)))) == [True, True, False]
+    state.forget(15)
+    state = _Answered(state.pack())
+    assert rolled(state, frame((7, 5), (8, 5)), 30) == {(7, 5): 5.0, (8, 5): 3.0}
