@@ -11,26 +11,42 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.time import from_epoch, instant_to_ntz, ntz_to_instant
 from ..operators.resample import floor_to
 from ..schema import require_aggregates, require_columns, require_positive
-from .state import use_rocksdb
+from .state import GROUPS, group_of, pack_frame, unpack, use_rocksdb
 
 
 class _AfterFirstPane(StatefulProcessor):
-    """Lets windows pass that start with or after their identifier's first pane, which is all its state.
+    """Lets windows pass that start with or after their identifier's first pane; these panes are a group's state.
 
     Windows come when the watermark has passed their end, so those that hold an identifier's first row come no later
-    than any other of its windows. Only in the micro-batch that brings them are an identifier's windows held together.
+    than any other of its windows. Only in the micro-batch that brings them are windows held, those of new identifiers.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "pane bigint")
+        self.first = handle.getValueState("first", "panes binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if not self.first.exists():
-            rows = [pd.concat(list(rows))]
-            self.first.update((int(rows[0]["pane"].min()),))
-        pane = self.first.get()[0]
+        if key[0] < 0:  # windows without identifier were left out before
+            for _ in rows:
+                pass
+            return
+        stored = self.first.get()
+        known = unpack(stored[0]).to_pandas() if stored else None
+        fresh = []
         for frame in rows:
-            yield frame[frame["start"] >= pane].drop(columns="pane")
+            frame = frame.drop(columns="sf_group")
+            if known is not None:
+                pane = frame["id"].map(known.set_index("id")["pane"])
+                yield frame[(frame["start"] >= pane).to_numpy()].drop(columns="pane")
+                frame = frame[pane.isna().to_numpy()]
+            if len(frame):
+                fresh.append(frame)
+        if not fresh:
+            return
+        frame = pd.concat(fresh, ignore_index=True)
+        first = frame.groupby("id", sort=False, dropna=False)["pane"].transform("min")
+        yield frame[frame["start"] >= first].drop(columns="pane")
+        found = pd.DataFrame({"id": frame["id"], "pane": first}).drop_duplicates("id")
+        self.first.update((pack_frame(found if known is None else pd.concat([known, found], ignore_index=True)),))
 
 
 def resample_stream(
@@ -44,6 +60,7 @@ def resample_stream(
     id_col: str = "identifier",
     ts_col: str = "ts",
     value_col: str = "value",
+    groups: int = GROUPS,
 ) -> DataFrame:
     """Streaming form of ``resample`` for append mode: ``(identifier, ts, mean?, median?)``.
 
@@ -56,12 +73,14 @@ def resample_stream(
     ``leading="drop"`` leaves out windows that start before the pane of the
     identifier's first row, as ``resample`` does, by a second stateful operator
     behind the windows; it needs the RocksDB state store, which the session is
-    set to where it has another.
+    set to where it has another. Identifiers share its state in ``groups``
+    groups, and a task holds the windows that one micro-batch closes of a
+    group's new identifiers.
     """
     if leading not in ("drop", "keep"):
         raise ValueError(f"leading must be 'drop' or 'keep', got {leading!r}")
     aggs = require_aggregates(aggs)
-    require_positive(every_s=every_s, period_s=period_s)
+    require_positive(every_s=every_s, period_s=period_s, groups=groups)
     require_columns(df, id_col, ts_col, value_col)
     points = df.where(F.col(ts_col).isNotNull()).select(
         id_col, ntz_to_instant(ts_col).alias("at"), F.col(value_col).cast("double").alias("v")
@@ -84,9 +103,9 @@ def resample_stream(
     use_rocksdb(df.sparkSession)
     pane = floor_to(F.unix_micros(F.min("at")), every_s * 1_000_000)
     windows = points.groupBy(F.col(id_col).alias("id"), window.alias("w")).agg(known, pane.alias("pane"), *named).where("known > 0")
-    windows = windows.select("id", F.unix_micros("w.start").alias("start"), "pane", *aggs, *[F.isnan(a).alias(f"{a}_nan") for a in aggs])
+    windows = windows.select(group_of("id", groups).alias("sf_group"), "id", F.unix_micros("w.start").alias("start"), "pane", *aggs, *[F.isnan(a).alias(f"{a}_nan") for a in aggs])
     id_type = windows.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, start bigint" + "".join(f", {a} double" for a in aggs) + "".join(f", {a}_nan boolean" for a in aggs)
-    kept = windows.groupBy("id").transformWithStateInPandas(_AfterFirstPane(), schema, "append", "none")
+    kept = windows.groupBy("sf_group").transformWithStateInPandas(_AfterFirstPane(), schema, "append", "none")
     values = [F.when(F.col(f"{a}_nan"), F.lit(float("nan"))).otherwise(F.col(a)).alias(a) for a in aggs]  # pandas gives null back for NaN
     return kept.select(F.col("id").alias(id_col), from_epoch("start").alias(ts_col), *values)

@@ -265,6 +265,18 @@ def test_many_identifiers_share_few_states(spark, tmp_path, watermark, id_type):
     assert rows(got.drop("late")) == rows(sf.rolling(named(spark.createDataFrame(data, POINTS)), 6, 2, ("mean", "median")))
 
 
+def test_first_panes_of_many_identifiers_share_few_states(spark, tmp_path):
+    data = [((1 << 53) + 1 + n % 300, START + timedelta(seconds=7 * n), float(n % 29), n) for n in range(3000)]
+    land(spark, tmp_path / "in", *[data[a : a + 1000] + [(None, START, 1.0, -1)] for a in range(0, 3000, 1000)], heartbeat(7 * 3000 + 90_000))
+    stream = sf.resample_stream(source(spark, tmp_path / "in"), 600, 3000, ("mean", "median"), "1 minute", leading="drop", groups=8)
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/rows").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    panes = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"] if o["operatorName"].startswith("transformWithState")]
+    assert 0 < max(panes) <= 8
+    got = spark.read.schema(stream.schema).parquet(f"{tmp_path}/rows")
+    assert rows(got) == rows(sf.resample(spark.createDataFrame(data, POINTS), 600, 3000, ("mean", "median")))
+
+
 def test_idle_identifiers_are_forgotten_one_by_one():
     import pandas as pd
 
