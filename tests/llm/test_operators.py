@@ -14,12 +14,12 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sensorframe.llm import queries
+from sensorframe.llm import packing, queries
 from sensorframe.llm.bpe import BpeTables, ChunkCache, PairIndexEncoder, decode_ids, encode_documents
 from sensorframe.llm.exact_dedup import RadixTrie, exact_groups
 from sensorframe.llm.host_reputation import host_reputation
 from sensorframe.llm.jaccard_join import Bands, Join, jaccard_components, linked, sketch
-from sensorframe.llm.packing import best_fit, pack_documents
+from sensorframe.llm.packing import RankFileEncoder, best_fit, pack_documents
 from sensorframe.llm.quality_model import fit_quality, quality_features, score_quality
 from sensorframe.llm.quality_rules import quality_rules
 from sensorframe.llm.secret_scan import find_secrets, listed, redact, train_markov
@@ -269,6 +269,19 @@ def test_best_fit_equals_best_fit_decreasing():
         assert len(bins) == len(sequences)
 
 
+def test_rank_file_encoder_equals_the_library_without_looking_ahead(tables, byte_library, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 7)
+    encoder = RankFileEncoder(tables, public_tokenizers.PATTERN)
+    for text in (prose(i, 40) for i in range(50)):
+        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == byte_library.encode(text, add_special_tokens=False).ids
+    assert encoder.codings and not any("(?!" in pattern for pattern in encoder.codings)
+    rng = random.Random(1)
+    alphabet = list("ab e\n\n  \t'srelz0 1²½.,!é\xa0\x85 \x1c漢ßaaaa\u2003\u0301") + ["<|endoftext|>", "'ll", " the", "\r\n"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ["", "a" * 1000, " ", "\n \n"]
+    for text, wanted in zip(texts, byte_library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == wanted.ids, text
+
+
 @pytest.mark.parametrize("capacity", [2048, 100])
 def test_pack_documents(docs, none, tables, byte_library, capacity):
     got = pack_documents(docs, tables, public_tokenizers.PATTERN, capacity).collect()
