@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,12 +31,16 @@ from ..operators.rolling_kernel import _group_starts
 from ..scratch import pin
 from .common import batch_of, components, id_and_body
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Signatures that a task compares before it sends them on.
 BUFFER_SIGNATURES = 1 << 20
 #: Shingles for each part in which signatures meet: about as many signatures as a task compares at once.
 PART_SHINGLES = 3 << 19
+#: Bytes of text, and texts, whose shingles a task hashes and signs together: arrays that stay in the processor's cache.
+STRETCH, STRETCH_TEXTS = 1 << 19, 1000
+#: A word up to this many bytes has a polynomial of its bytes as hash, found from prefix sums over a run of text.
+LONG_WORD, RUN = 64, 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,9 +52,20 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return text.translate(_LOWER).split()
+def odd_numbers(n: int, seed: int) -> np.ndarray:
+    return mix(np.arange(n, dtype=np.uint64) + np.uint64(seed)) | np.uint64(1)
+
+
+_BYTES = odd_numbers(256, 1 << 20)
+_BASE = int(odd_numbers(1, 2 << 20)[0])
+_POWERS = np.cumprod(np.full(RUN, _BASE, np.uint64))
+_INVERSE = np.cumprod(np.full(RUN, pow(_BASE, -1, 1 << 64), np.uint64))
+
+
+def plain(text: bytes) -> bytes:
+    """The words between ASCII white space, A-Z lower-cased, with one space between them."""
+    text = text.translate(_LOWER).strip(b" ")
+    return b" ".join(text.split()) if b"  " in text else text
 
 
 def shingle_set(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
@@ -58,16 +74,68 @@ def shingle_set(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(n)))) if len(words) >= n else {tuple(words)}
 
 
-def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles; they pick candidates, never decide a link."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    width = min(n, len(h))
-    out = np.full(len(h) - width + 1, np.uint64(len(words) if len(words) < n else n))
-    for i in range(width):
-        out = mix(out ^ h[i : len(h) - width + 1 + i])
-    return np.unique(out)
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of words that each end with one space."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(text):
+        end = text.rfind(b" ", at, at + RUN) + 1
+        if not end:  # a word longer than a run
+            end = text.index(b" ", at) + 1
+            out.append(np.array([xxhash.xxh64_intdigest(text[at : end - 1])], np.uint64))
+            at = end
+            continue
+        data = np.frombuffer(text, np.uint8, end - at, at)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[data] * _POWERS[: len(data)], out=sums[1:])
+        ends = np.flatnonzero(data == 32)
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        hashes = mix((sums[ends] - sums[begins]) * _INVERSE[begins])
+        for i in np.flatnonzero(ends - begins > LONG_WORD):
+            hashes[i] = xxhash.xxh64_intdigest(text[at + begins[i] : at + ends[i]])
+        out.append(hashes)
+        at = end
+    return np.concatenate(out)
+
+
+def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of texts that ``plain`` gave, none of them empty, and the size of each set.
+
+    The hashes stand text by text, sorted within each; they pick candidates, never decide a link.
+    """
+    words = np.array([t.count(b" ") + 1 for t in texts], np.int64)
+    h = word_hashes(b" ".join([*texts, b""]))
+    ends = np.cumsum(words)
+    begins, factors = ends - words, odd_numbers(n, 3 << 20)
+    sums, valid = np.zeros(len(h), np.uint64), np.ones(len(h), bool)
+    full = max(0, len(h) - n + 1)
+    for i in range(n):
+        sums[:full] += h[i : full + i] * factors[i]
+    for back in range(1, n):
+        valid[np.maximum(ends - back, 0)] = False
+    for few in range(1, n):
+        at = begins[words == few]
+        valid[at] = True
+        sums[at] = sum((h[at + i] * factors[i] for i in range(few)), start=odd_numbers(1, few))
+    hashes = mix(sums[valid])
+    size = np.where(words < n, 1, words - n + 1)
+    first = np.cumsum(size) - size
+    for begin, end in zip(first.tolist(), (first + size).tolist()):
+        hashes[begin:end].sort()
+    distinct = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    distinct[first] = True
+    return hashes[distinct], np.add.reduceat(distinct, first, dtype=np.int64)
+
+
+def stretches(texts: list[bytes]) -> Iterator[slice]:
+    """Neighbouring texts that are worked on together."""
+    begin = held = 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= STRETCH or i + 1 - begin == STRETCH_TEXTS:
+            yield slice(begin, i + 1)
+            begin, held = i + 1, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
 
 
 class Bands:
@@ -128,48 +196,76 @@ def short(sig: np.ndarray) -> np.ndarray:
     return (sig >> _DROPPED).view(np.int64)
 
 
-def signatures(hashes: np.ndarray, bands: Bands, plans: dict) -> Iterator[tuple]:
-    """(role, signatures, segments, units, offset, spare) that one set sends out.
+def probes_of(size: int, bands: Bands, plans: dict) -> dict[int, tuple[int, int, int, int]]:
+    """For a set: how many bands below its own -> (band, segments, those with neighbourhoods, units needed)."""
+    if size not in plans:
+        if len(plans) > 100_000:
+            plans.clear()
+        asked, own = bands.probes(size), bands.band(size)
+        for band in asked:
+            if ("band", band) not in plans:
+                plans["band", band] = bands.segments(band)
+        plans[size] = {own - band: (band, *plans["band", band], bands.units(size, band)) for band in asked}
+    return plans[size]
+
+
+def salts(band: np.ndarray) -> np.ndarray:
+    return (band * 0x1000003 + 7).astype(np.uint64)
 
-    As index and probe in its own band, as probe in those below; ``offset`` is how many bands below. ``spare`` is how many
-    units the probe has beyond what it needs, ``units`` what each segment is worth.
+
+def signatures(hashes: np.ndarray, sizes: np.ndarray, bands: Bands, plans: dict) -> Iterator[tuple]:
+    """What neighbouring sets send out, of all sets together: for each number of bands below their own
+
+    ``sets, band, spare, rows``: the sets that have such a band, the band, how many units each has there beyond what it
+    needs, and rows in parts of ``role, place in sets, signature, slot, units``. A slot numbers the segments of all sets,
+    in order; units are what the segment is worth. Sets are index and probe in their own band, probes in those below.
     """
-    size = len(hashes)
-    own = bands.band(size)
-    for band in bands.probes(size):
-        if band not in plans:
-            plans[band] = bands.segments(band)
-        m, neighbours = plans[band]
-        salt = np.uint64(band * 0x1000003 + 7)
-        place = (mix(hashes ^ salt) % np.uint64(m)).astype(np.int64)
-        scrambled = mix(hashes + salt)
-        order = np.argsort(place, kind="stable")
-        place, scrambled = place[order], scrambled[order]
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        segment, count = place[first], np.diff(first, append=size)
-        total = np.add.reduceat(scrambled, first)
-        units = 1 + ((count >= 2) & (segment < neighbours))
-        need, have = bands.units(size, band), int(units.sum())
-        offset, spare = own - band, max(0, have - need)
-        chosen = np.arange(len(segment))
-        if band < own:  # the larger subsets, with a few units to spare
-            by_size = np.argsort(-count, kind="stable")
-            chosen = by_size[: int(np.searchsorted(np.cumsum(units[by_size]), need + need // 16 + 2)) + 1]
-            spare = max(0, int(units[chosen].sum()) - need)
-        if have < need:
-            yield RARE, short(mix(hashes[:need] ^ salt)), np.zeros(need, np.int64), np.ones(need, np.int64), offset, 0
-            if band < own:
-                continue
-            spare = 2 * size  # nothing to ask for in this way
-        number = segment.astype(np.uint64) * _MIX[1] + salt
-        whole, lacks = (WHOLE, LACKS) if band == own else (ASKS, ASKS_LACKS)
-        yield whole, short(mix(total ^ number)[chosen]), segment[chosen], units[chosen], offset, spare
-        keep = np.zeros(len(segment), bool)
-        keep[chosen] = True
-        at = np.repeat(np.flatnonzero((units == 2) & keep), count[(units == 2) & keep])
-        if len(at):
-            rich = np.flatnonzero(np.repeat((units == 2) & keep, count))
-            yield lacks, short(mix((total[at] - scrambled[rich]) ^ number[at])), segment[at], units[at], offset, spare
+    asked = [probes_of(size, bands, plans) for size in sizes.tolist()]
+    begins = np.cumsum(sizes) - sizes
+    for offset in sorted({offset for probes in asked for offset in probes}):
+        sets = np.array([i for i, probes in enumerate(asked) if offset in probes], np.int64)
+        band, m, neighbours, need = np.array([asked[i][offset] for i in sets.tolist()], np.int64).T
+        salt, base = salts(band), np.cumsum(m) - m
+        here = np.zeros(len(sizes), bool)
+        here[sets] = True
+        own = hashes if here.all() else hashes[np.repeat(here, sizes)]
+        of = np.repeat(np.arange(len(sets)), sizes[sets])
+        own_salt = salt[of]
+        slot = (((mix(own ^ own_salt) >> np.uint64(32)) * m.astype(np.uint64)[of]) >> np.uint64(32)).astype(np.int64) + base[of]
+        scrambled = mix(own + own_salt)
+        count = np.bincount(slot, minlength=int(m.sum()))
+        total = np.zeros(len(count), np.uint64)
+        np.add.at(total, slot, scrambled)
+        used = np.flatnonzero(count)
+        who = np.repeat(np.arange(len(sets)), m)
+        segment = np.arange(len(count)) - base[who]
+        units = 1 + ((count >= 2) & (segment < neighbours[who]))
+        have = np.bincount(who[used], units[used], len(sets)).astype(np.int64)
+        spare, keep = np.maximum(have - need, 0), count > 0
+        if offset:  # the larger subsets, with a few units to spare
+            ranked = used[np.lexsort((-count[used], who[used]))]
+            before = np.cumsum(units[ranked]) - units[ranked]
+            before -= before[np.searchsorted(who[ranked], np.arange(len(sets)))][who[ranked]]
+            chosen = before < (need + need // 16 + 2)[who[ranked]]
+            keep[ranked[~chosen]] = False
+            spare = np.maximum(np.bincount(who[ranked[chosen]], units[ranked[chosen]], len(sets)).astype(np.int64) - need, 0)
+        rows = []
+        for i in np.flatnonzero(have < need).tolist():
+            begin = begins[sets[i]]
+            sig = short(mix(hashes[begin : begin + min(need[i], sizes[sets[i]])] ^ salt[i]))
+            rows.append((RARE, np.full(len(sig), i), sig, np.full(len(sig), base[i]), np.ones(len(sig), np.int64)))
+            if offset:
+                keep[base[i] : base[i] + m[i]] = False
+            else:
+                spare[i] = 2 * sizes[sets[i]]  # nothing to ask for in this way
+        whole, lacks = (ASKS, ASKS_LACKS) if offset else (WHOLE, LACKS)
+        number = segment.astype(np.uint64) * _MIX[1] + salt[who]
+        sent = np.flatnonzero(keep)
+        rows.append((whole, who[sent], short(mix(total[sent] ^ number[sent])), sent, units[sent]))
+        rich = np.flatnonzero((keep & (units == 2))[slot])
+        at = slot[rich]
+        rows.append((lacks, who[at], short(mix((total[at] - scrambled[rich]) ^ number[at])), at, units[at]))
+        yield sets, band, spare, rows
 
 
 _CLASS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("cls", pa.int64())])
@@ -189,8 +285,9 @@ SKETCH_ROW = -1
 CELL_PAIRS = 1 << 24
 
 
-def class_key(words: list[bytes], salt: int) -> tuple[bytes, int]:
-    key = hashlib.blake2b(b" ".join(words), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
+def class_key(words: bytes, salt: int) -> tuple[bytes, int]:
+    """The name of a sequence of words as ``plain`` gives it, and its number."""
+    key = hashlib.blake2b(words, digest_size=16, salt=salt.to_bytes(8, "little")).digest()
     return key, int.from_bytes(key[:8], "little", signed=True)
 
 
@@ -225,13 +322,12 @@ def send(batches: Iterator[pa.RecordBatch], bands: Bands, n: int, salt: int, par
     one mark goes to the signature's own: so no signature, however frequent, puts more than a row for each buffer there.
     """
     plans: dict = {}
-    sigs, roles, owners, counts, held, seen, turn = [], [], [], [], 0, set(), 0
+    sigs, roles, owners, held, seen, turn = [], [], [], 0, set(), 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal turn
-        sig, cls = np.concatenate(sigs), np.repeat(np.array(owners, np.int64), counts)
-        role = np.repeat(np.array([r for r, _ in roles], np.int64), [k for _, k in roles])
-        order = np.lexsort((role, sig))
+        sig, role, cls = np.concatenate(sigs), np.concatenate(roles), np.concatenate(owners)
+        order = np.argsort(sig << 4 | role)
         start = np.concatenate([[True], sig[order][1:] != sig[order][:-1]])
         run = np.cumsum(start) - 1
         several = (np.bincount(run)[run] >= 2) | (role[order] == RARE)
@@ -253,28 +349,33 @@ def send(batches: Iterator[pa.RecordBatch], bands: Bands, n: int, salt: int, par
             rows = np.stack([sig[passed][some], cls[passed][some], lead[some], role[passed][some]]).astype("<i8")
             turn += 1
             out.append((int(mix(np.array([turn ^ int(sig[0])], np.int64).view(np.uint64))[0] % np.uint64(parts)), 1, rows.tobytes()))
-        for x in (sigs, roles, owners, counts):
+        for x in (sigs, roles, owners):
             x.clear()
         for i in range(0, len(out), 64):
             yield batch_of(_SENT, zip(*out[i : i + 64]))
 
     for batch in batches:
+        texts, names = [], []
         for doc_id, text in rows_of(batch):
-            words = words_of(text)
+            words = plain(text)
             key, cls = class_key(words, salt)
             if doc_id is None or not words or key in seen:
                 continue
             if len(seen) > 1_000_000:
                 seen.clear()
             seen.add(key)
-            some = 0
-            for role, sig, *_ in signatures(shingle_hashes(words, n), bands, plans):
-                sigs.append(sig)
-                roles.append((role, len(sig)))
-                some += len(sig)
-            owners.append(cls)
-            counts.append(some)
-            held += some
+            texts.append(words)
+            names.append(cls)
+        for some in stretches(texts):
+            name, parts_of = np.array(names[some], np.int64), []
+            for sets, _, _, rows in signatures(*shingle_sets(texts[some], n), bands, plans):
+                parts_of += [(sets[at], np.full(len(sig), role), sig) for role, at, sig, *_ in rows]
+            at, role, sig = (np.concatenate(x) for x in zip(*parts_of))
+            by_set = np.argsort(at.astype(np.uint16), kind="stable")
+            sigs.append(sig[by_set])
+            roles.append(role[by_set])
+            owners.append(name[at[by_set]])
+            held += len(sig)
             if held > BUFFER_SIGNATURES:
                 yield from flush()
                 held = 0
@@ -324,7 +425,7 @@ def linked(a: bytes, b: bytes, n: int, num: int, known: dict) -> bool:
         if text not in known:
             if len(known) > 1:
                 known.clear()
-            known[text] = shingle_set(words_of(text), n)
+            known[text] = shingle_set(plain(text).split(), n)
         sets.append(known[text])
     x, y = sets
     shared = len(x & y)
@@ -351,13 +452,21 @@ def passes(spots: np.ndarray, pages: dict[int, np.ndarray]) -> np.ndarray:
     return out
 
 
-def sketch(hashes: np.ndarray, band: int, bands: Bands) -> bytes:
+def sketches(hashes: np.ndarray, sizes: np.ndarray, band: np.ndarray, bands: Bands) -> list[bytes]:
     """Bits that each element of a set toggles at a place of its own: sets differ in at least as many elements as bits."""
-    high = bands.starts[band + 1] - 1
-    words = min(SKETCH_WORDS, bands.difference(high, high) // 2 + 1)
-    place = mix(hashes ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(64 * words)
-    odd = np.bincount(place.astype(np.int64), minlength=64 * words) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    words = {}
+    for one in np.unique(band).tolist():
+        high = bands.starts[one + 1] - 1
+        words[one] = min(SKETCH_WORDS, bands.difference(high, high) // 2 + 1)
+    bits = 64 * np.array([words[one] for one in band.tolist()], np.int64)
+    ends, of = np.cumsum(bits), np.repeat(np.arange(len(sizes)), sizes)
+    place = (mix(hashes ^ np.uint64(0xD6E8FEB86659FD93)) % bits.astype(np.uint64)[of]).astype(np.int64) + (ends - bits)[of]
+    packed = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[(end - n) // 8 : end // 8] for end, n in zip(ends.tolist(), bits.tolist())]
+
+
+def sketch(hashes: np.ndarray, band: int, bands: Bands) -> bytes:
+    return sketches(hashes, np.array([len(hashes)]), np.array([band]), bands)[0]
 
 
 def ask(batches: Iterator[pa.RecordBatch], num: int, nearest: bool) -> Iterator[pa.RecordBatch]:
@@ -407,12 +516,12 @@ class Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for doc_id, text in rows_of(batch):
-                    words = words_of(text)
-                    out.append((doc_id, len(shingle_hashes(words, n)), *class_key(words, salt)))
-                if out:
-                    yield batch_of(_CLASS, zip(*out))
+                texts = [plain(text) for text in batch.column(1).to_pylist()]
+                size, full = np.zeros(len(texts), np.int64), [i for i, text in enumerate(texts) if text]
+                for some in stretches([texts[i] for i in full]):
+                    size[full[some]] = shingle_sets([texts[i] for i in full[some]], n)[1]
+                if texts:
+                    yield batch_of(_CLASS, (batch.column(0).to_pylist(), size, *zip(*(class_key(text, salt) for text in texts))))
 
         return run
 
@@ -439,7 +548,7 @@ class Join:
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 batch = batch.filter(pa.array(passes(batch.column(2).to_numpy(zero_copy_only=False), pages)))
-                out = [(doc_id, class_key(words_of(text), salt)[1], text) for doc_id, text, _ in rows_of(batch) if doc_id is not None]
+                out = [(doc_id, class_key(plain(text), salt)[1], text) for doc_id, text, _ in rows_of(batch) if doc_id is not None]
                 if out:
                     yield batch_of(pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("body", pa.binary())]), zip(*out))
 
@@ -494,30 +603,37 @@ class Join:
         def allot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             plans: dict = {}
             for batch in batches:
-                for cls, comp, sigs, costs, text in rows_of(batch):
-                    sigs, costs = np.array(sigs, np.int64), np.array(costs, np.int64)
-                    bands_of: dict[int, list] = {}
-                    hashes = shingle_hashes(words_of(text), n)
-                    for role, sig, segment, units, offset, spare in signatures(hashes, bands, plans):
-                        if role != RARE:
-                            at = np.minimum(np.searchsorted(sigs, sig), len(sigs) - 1)
-                            here = sigs[at] == sig
-                            bands_of.setdefault(offset, [spare, []])[1].append((sig[here], np.full(here.sum(), role), segment[here], units[here], costs[at[here]]))
-                    for offset, (spare, parts) in bands_of.items():
-                        sig, role, segment, units, cost = (np.concatenate(x) for x in zip(*parts))
-                        if not len(sig):
+                texts = [plain(text) for text in batch.column(4).to_pylist()]
+                for some in stretches(texts):
+                    part = batch.slice(some.start, some.stop - some.start)
+                    cls, comp = (part.column(i).to_numpy() for i in (0, 1))
+                    known = pc.list_flatten(part.column(2)).to_numpy() + (np.repeat(np.arange(len(part)), pc.list_value_length(part.column(2)).to_numpy()) << 53)
+                    costs = pc.list_flatten(part.column(3)).to_numpy()
+                    hashes, sizes = shingle_sets(texts[some], n)
+                    for sets, band, spare, rows in signatures(hashes, sizes, bands, plans):
+                        rows = [(np.full(len(at), role), at, *row) for role, at, *row in rows if role != RARE]
+                        role, at, sig, slot, units = (np.concatenate(x) for x in zip(*rows))
+                        spot = np.minimum(np.searchsorted(known, sig + (sets[at] << 53)), len(known) - 1)
+                        here = np.flatnonzero(known[spot] == sig + (sets[at] << 53))
+                        if not len(here):
                             continue
-                        which, place = np.unique(segment, return_inverse=True)
-                        dear, worth = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+                        role, at, sig, slot, units, cost = (x[here] for x in (role, at, sig, slot, units, costs[spot]))
+                        which, first, place = np.unique(slot, return_index=True, return_inverse=True)
+                        dear, who, worth = np.zeros(len(which), np.int64), at[first], units[first]
                         np.maximum.at(dear, place, cost)
-                        np.maximum.at(worth, place, units)
-                        by_cost = np.argsort(-dear, kind="stable")
+                        by_cost = np.lexsort((-dear, who))
+                        spent = np.cumsum(worth[by_cost])
+                        spent -= (spent - worth[by_cost])[np.searchsorted(who, who)]
                         asks = np.zeros(len(which), bool)
-                        asks[by_cost[np.cumsum(worth[by_cost]) > spare]] = True
-                        same = lambda value: np.full(len(sig), value, np.int64)
-                        band = bands.band(len(hashes)) - offset
-                        yield batch_of(_ALLOTTED, (sig, same(cls), same(comp), role, same(len(hashes)), same(band), asks[place], [None] * len(sig)))
-                        yield batch_of(_ALLOTTED, ([SKETCH_ROW], [cls], [comp], [0], [len(hashes)], [band], [False], [sketch(hashes, band, bands)]))
+                        asks[by_cost] = spent > spare[who]
+                        own = sets[at]
+                        yield batch_of(_ALLOTTED, (sig, cls[own], comp[own], role, sizes[own], band[at], asks[place], pa.nulls(len(sig), pa.binary())))
+                        at = np.unique(at)
+                        own, here = sets[at], np.zeros(len(sizes), bool)
+                        here[own] = True
+                        drawn = sketches(hashes[np.repeat(here, sizes)], sizes[own], band[at], bands)
+                        same = lambda value: np.full(len(own), value)
+                        yield batch_of(_ALLOTTED, (same(SKETCH_ROW), cls[own], comp[own], same(0), sizes[own], band[at], same(False), drawn))
 
         rows = own.drop("doc_id").join(texts, "cls").select("cls", "comp", "sigs", "costs", "body")
         return rows.mapInArrow(allot, _ALLOTTED_SQL)
@@ -558,13 +674,14 @@ class Join:
 
         def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for doc_id, text in rows_of(batch):
-                    words = words_of(text)
-                    if doc_id is None or not words:
-                        continue
-                    hashes = shingle_hashes(words, n)
-                    sig = short(mix(hashes ^ np.uint64(bands.band(len(hashes)) * 0x1000003 + 7)))
-                    yield batch_of(pa.schema([("sig", pa.int64()), ("b", pa.int64())]), (sig, np.full(len(sig), class_key(words, salt)[1])))
+                texts = [plain(text) if doc_id is not None else b"" for doc_id, text in rows_of(batch)]
+                texts = [text for text in texts if text]
+                for some in stretches(texts):
+                    hashes, sizes = shingle_sets(texts[some], n)
+                    salted = salts(np.array([bands.band(size) for size in sizes.tolist()], np.int64))
+                    names = np.array([class_key(text, salt)[1] for text in texts[some]], np.int64)
+                    sig = short(mix(hashes ^ np.repeat(salted, sizes)))
+                    yield batch_of(pa.schema([("sig", pa.int64()), ("b", pa.int64())]), (sig, np.repeat(names, sizes)))
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -437,6 +437,35 @@ def test_cells_lose_no_pair(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(table).collect()} == want
 
 
+def test_sets_hashed_and_signed_together_are_as_alone():
+    """Texts of every awkward kind, and of three sizes apart, so that bands differ and some sets lack units."""
+    from sensorframe.llm import jaccard_join
+
+    texts = [jaccard_join.plain((t or "").encode()) for _, t in texts_of()]
+    texts += [b"x" * 70 + b" y", b"x" * 70 + b" z", b"y" * 200_000 + b" a b c d e", b" ".join([b"r"] * 50), b"a b", b"b a"]
+    texts += [" ".join(f"w{k}" for k in range(n)).encode() for n in (*range(5, 60), 3000)]
+    texts = [t for t in texts if t]
+    hashes, sizes = jaccard_join.shingle_sets(texts, 5)
+    assert sizes.tolist() == [len(jaccard_join.shingle_set(t.split(), 5)) for t in texts]
+    alone = [jaccard_join.shingle_sets([t], 5)[0] for t in texts]
+    assert np.array_equal(hashes, np.concatenate(alone))
+    everything = {s: h for t, one in zip(texts, alone) for s, h in zip(sorted(jaccard_join.shingle_set(t.split(), 5)), one)}
+    assert len(set(hashes.tolist())) == len(everything)
+    bands, plans = Bands(80), {}
+
+    def signed(hashes, sizes):
+        out = collections.defaultdict(set)
+        for sets, band, spare, rows in jaccard_join.signatures(hashes, sizes, bands, plans):
+            for role, at, sig, _, units in rows:
+                for i, x, u in zip(at.tolist(), sig.tolist(), units.tolist()):
+                    out[int(sets[i])].add((int(band[i]), int(spare[i]), role, x, u))
+        return out
+
+    together = signed(hashes, sizes)
+    for i, one in enumerate(alone):
+        assert together[i] == signed(one, np.array([len(one)]))[0]
+
+
 def test_linked_is_exact_at_the_threshold():
     a = " ".join(f"w{i}" for i in range(14)).encode()  # 10 shingles
     b = " ".join(f"w{i}" for i in range(12)).encode()  # 8 of them
