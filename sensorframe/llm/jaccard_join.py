@@ -291,6 +291,13 @@ def class_key(words: bytes, salt: int) -> tuple[bytes, int]:
     return key, int.from_bytes(key[:8], "little", signed=True)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of as many rows as are worked on together, so that few texts are held in Python at a time."""
+    for batch in batches:
+        for begin in range(0, len(batch), STRETCH_TEXTS):
+            yield batch.slice(begin, STRETCH_TEXTS)
+
+
 def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*(c.to_pylist() for c in batch.columns))
 
@@ -354,7 +361,7 @@ def send(batches: Iterator[pa.RecordBatch], bands: Bands, n: int, salt: int, par
         for i in range(0, len(out), 64):
             yield batch_of(_SENT, zip(*out[i : i + 64]))
 
-    for batch in batches:
+    for batch in slices(batches):
         texts, names = [], []
         for doc_id, text in rows_of(batch):
             words = plain(text)
@@ -515,13 +522,12 @@ class Join:
         n, salt = self.n, self.salt
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 texts = [plain(text) for text in batch.column(1).to_pylist()]
                 size, full = np.zeros(len(texts), np.int64), [i for i, text in enumerate(texts) if text]
                 for some in stretches([texts[i] for i in full]):
                     size[full[some]] = shingle_sets([texts[i] for i in full[some]], n)[1]
-                if texts:
-                    yield batch_of(_CLASS, (batch.column(0).to_pylist(), size, *zip(*(class_key(text, salt) for text in texts))))
+                yield batch_of(_CLASS, (batch.column(0).to_pylist(), size, *zip(*(class_key(text, salt) for text in texts))))
 
         return run
 
@@ -602,7 +608,7 @@ class Join:
 
         def allot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             plans: dict = {}
-            for batch in batches:
+            for batch in slices(batches):
                 texts = [plain(text) for text in batch.column(4).to_pylist()]
                 for some in stretches(texts):
                     part = batch.slice(some.start, some.stop - some.start)
@@ -673,7 +679,7 @@ class Join:
             return asked.select("a", F.col("a").alias("b"))
 
         def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 texts = [plain(text) if doc_id is not None else b"" for doc_id, text in rows_of(batch)]
                 texts = [text for text in texts if text]
                 for some in stretches(texts):
