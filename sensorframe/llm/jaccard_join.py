@@ -283,6 +283,8 @@ SKETCH_WORDS = 32
 SKETCH_ROW = -1
 #: Pairs of sketches that a task compares for one signature; signatures with more are cut into a grid of such cells.
 CELL_PAIRS = 1 << 24
+#: Where probes and indexed sets meet. Signatures of different bands may be equal by chance, and prove nothing then.
+_CELL = ["sig", "band", "cell"]
 
 
 def class_key(words: bytes, salt: int) -> tuple[bytes, int]:
@@ -344,11 +346,13 @@ def send(batches: Iterator[pa.RecordBatch], bands: Bands, n: int, salt: int, par
         own = np.concatenate([alone, mark])
         part, code = sig[own] % parts, np.concatenate([role[alone], role[mark] | MARK])
         by_part = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[by_part], np.arange(parts + 1))
+        part, code, own = part[by_part], code[by_part], own[by_part]
+        sig_of, cls_of = sig[own], cls[own]
+        edges = np.searchsorted(part, np.arange(parts + 1))
         out = []
         for i in np.flatnonzero(np.diff(edges)):
-            at = by_part[edges[i] : edges[i + 1]]
-            out.append((int(i), 0, pack(sig[own][at], code[at], cls[own][at])))
+            at = slice(edges[i], edges[i + 1])
+            out.append((int(i), 0, pack(sig_of[at], code[at], cls_of[at])))
         passed = order[several]
         lead = np.where(role[passed] == RARE, cls[passed], leader[several])
         for i in range(0, len(passed), 50_000):
@@ -391,7 +395,10 @@ def send(batches: Iterator[pa.RecordBatch], bands: Bands, n: int, salt: int, par
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of blocks sorted by part, the rows whose signature another row has, with the run's first set as leader."""
+    """Of blocks sorted by part, the rows whose signature another set has, with the run's first set as leader.
+
+    A set comes from every task that has a copy of its text; its own copies are no partners, and one row stands for them.
+    """
     blocks: list[tuple[np.ndarray, np.ndarray]] = []
     now = None
 
@@ -402,10 +409,14 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, role, cls = key[order] >> 3, key[order] & 7, cls[order]
         start = np.concatenate([[True], sig[1:] != sig[:-1]])
         run, first = np.cumsum(start) - 1, np.flatnonzero(start)
-        # a run needs two rows, of which one holds a whole subset
-        good = (np.bincount(run) >= 2) & (np.minimum.reduceat(role & 3, first) <= ASKS)
-        at = good[run]
-        yield from _members(sig[at], cls[at], cls[first][run][at], role[at])
+        # a run needs two sets, and a row that holds a whole subset
+        good = (np.minimum.reduceat(cls, first) != np.maximum.reduceat(cls, first)) & (np.minimum.reduceat(role & 3, first) <= ASKS)
+        at = np.flatnonzero(good[run])
+        if not len(at):
+            return
+        at = at[np.lexsort((cls[at], role[at], sig[at]))]
+        at = at[np.concatenate([[True], (sig[at][1:] != sig[at][:-1]) | (role[at][1:] != role[at][:-1]) | (cls[at][1:] != cls[at][:-1])])]
+        yield from _members(sig[at], cls[at], cls[first][run[at]], role[at])
 
     for batch in batches:
         for part, kind, block in rows_of(batch):
@@ -477,14 +488,14 @@ def sketch(hashes: np.ndarray, band: int, bands: Bands) -> bytes:
 
 
 def ask(batches: Iterator[pa.RecordBatch], num: int, nearest: bool) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by signature and cell to pairs of a probe and an indexed set that the signature, their sizes and
-    their sketches allow, of different components; with ``nearest`` only each probe's pair of the least difference."""
-    for table in whole_groups(batches, ["sig", "cell"], 50_000):
-        starts = np.unique(_group_starts(table, ["sig", "cell"]))
+    """From rows sorted by signature, band and cell to pairs of a probe and an indexed set that the signature, their sizes
+    and their sketches allow, of different components; with ``nearest`` only each probe's pair of the least difference."""
+    for table in whole_groups(batches, _CELL, 50_000):
+        starts = np.unique(_group_starts(table, _CELL))
         for begin, end in zip(starts, [*starts[1:], len(table)]):
             group = table.slice(begin, end - begin)
             asks, cls, comp, role, size = (group[c].to_numpy() for c in ("asks", "cls", "comp", "role", "size"))
-            # all sketches of one signature are of its band
+            # sketches are as long as their band's
             bits = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(len(group), -1)
             probes, index = np.flatnonzero(asks), np.flatnonzero(~asks)
             step = max(1, (1 << 21) // max(1, len(index) * bits.shape[1]))
@@ -533,7 +544,8 @@ class Join:
 
     def signed(self) -> DataFrame:
         bands, n, salt = self.bands, self.n, self.salt
-        shingles = self.classes.agg(F.sum("size")).first()[0] or 0
+        # of all rows, as copies of a text in different tasks are all sent
+        shingles = self.members.where("doc_id is not null").agg(F.sum("n_shingles")).first()[0] or 0
         parts = max(64, shingles // PART_SHINGLES)
         sent = self.rows.mapInArrow(lambda batches: send(batches, bands, n, salt, parts), _SENT_SQL)
         met = sent.repartition("part").sortWithinPartitions("part").mapInArrow(meet, _MEMBER_SQL)
@@ -653,12 +665,12 @@ class Join:
         rows = pin(self.allotted(self.shared(members)), "jaccard-allotted")
         sketches = rows.where(f"sig = {SKETCH_ROW}").select("cls", "band", "sketch")
         rows, indexed = rows.where(f"sig != {SKETCH_ROW}").drop("sketch"), F.col("role").isin(WHOLE, LACKS)
-        stats = rows.groupBy("sig").agg(F.count_if("asks").alias("p"), F.count_if(indexed).alias("q"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        stats = rows.groupBy("sig", "band").agg(F.count_if("asks").alias("p"), F.count_if(indexed).alias("q"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         side = F.ceil(F.sqrt(F.col("p") * F.col("q") / F.lit(float(CELL_PAIRS))))
-        rows = rows.join(stats.where("p > 0 and q > 0 and low != high").select("sig", side.alias("side")), "sig")
+        rows = rows.join(stats.where("p > 0 and q > 0 and low != high").select("sig", "band", side.alias("side")), ["sig", "band"])
         rows = rows.where(F.col("asks") | indexed).join(sketches, ["cls", "band"])
         spot, along = F.pmod(F.xxhash64("cls"), F.col("side")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1))
-        columns = ["sig", "cls", "comp", "role", "size", "sketch"]
+        columns = ["sig", "band", "cls", "comp", "role", "size", "sketch"]
         probes = rows.where("asks").select(*columns, "side", spot.alias("spot"), along.alias("other"))
         probes = probes.select(*columns, F.lit(True).alias("asks"), (F.col("spot") * F.col("side") + F.col("other")).alias("cell"))
         index = rows.where(indexed).select(*columns, "side", spot.alias("spot"), along.alias("other"))
@@ -668,7 +680,7 @@ class Join:
     def across(self, cells: DataFrame, nearest: bool) -> DataFrame:
         """Pairs of a probe and an indexed set of another component that met in a cell; all, or each probe's nearest."""
         num = self.num
-        met = cells.repartition("sig", "cell").sortWithinPartitions("sig", "cell")
+        met = cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
         return met.mapInArrow(lambda batches: ask(batches, num, nearest), "a long, b long").distinct()
 
     def rare(self, members: DataFrame) -> DataFrame:

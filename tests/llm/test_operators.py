@@ -437,6 +437,57 @@ def test_cells_lose_no_pair(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(table).collect()} == want
 
 
+def test_copies_in_many_tasks_are_no_partners(spark):
+    """Each task sends the same sets: nothing meets but near copies, and each row of theirs once."""
+    from sensorframe.llm import jaccard_join
+
+    texts = [" ".join(f"w{i}_{k}" for k in range(30 + i)) for i in range(12)]
+    copies = [(100 * copy + i, text) for copy in range(6) for i, text in enumerate(texts)]
+    table = lambda rows: spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id long, text string")
+    assert Join(table(copies), 5, 80, "doc_id", "text").signed().count() == 0
+    near = [texts[0], texts[0] + " more"]
+    rows = [(100 * copy + i, near[i]) for i in (0, 1) for copy in range(3)]
+    met = Join(table(rows), 5, 80, "doc_id", "text").signed().where(f"role < {jaccard_join.MARK}")
+    assert met.count() and met.count() == met.distinct().count()
+    assert bag(jaccard_components(table(rows)).collect()) == bag(slow_components(rows))
+
+
+def test_parts_grow_with_all_that_is_sent(spark, monkeypatch):
+    """Copies in many tasks are all sent, so a part is no fuller for them."""
+    from sensorframe.llm import jaccard_join
+
+    def parts_alone(batches, bands, n, salt, parts):
+        for batch in batches:
+            yield jaccard_join.batch_of(jaccard_join._SENT, [[0], [1], [np.array([parts, 0, 0, 0]).tobytes()]])
+
+    monkeypatch.setattr(jaccard_join, "send", parts_alone)
+    monkeypatch.setattr(jaccard_join, "PART_SHINGLES", 4)
+    rows = [(i, " ".join(f"w{k}" for k in range(24))) for i in range(40)]
+    table = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
+    assert {r.sig for r in Join(table, 5, 80, "doc_id", "text").signed().collect()} == {40 * 20 // 4}
+
+
+def test_equal_signatures_by_chance_lose_no_pair(spark, monkeypatch):
+    """Few different signatures, so that sets of different bands, with sketches of different length, share many."""
+    from sensorframe.llm import jaccard_join
+
+    signatures, send = jaccard_join.signatures, jaccard_join.send
+
+    def colliding(*args):
+        for *sets, rows in signatures(*args):
+            yield *sets, [(role, at, sig if role == 8 else sig % 300, *more) for role, at, sig, *more in rows]
+
+    monkeypatch.setattr(jaccard_join, "signatures", colliding)
+    monkeypatch.setattr(jaccard_join, "send", lambda *args: send(*args))
+    rows = []
+    for size in (*range(1, 30, 2), 60, 90, 130, 200, 320):
+        words = [f"w{size}_{i}" for i in range(size + 4)]
+        rows += [" ".join(words), " ".join([*words[1:], "new"]), " ".join([*words[2:], "words", "else"])]
+    rows = list(enumerate(rows))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(jaccard_components(table).collect()) == bag(slow_components(rows))
+
+
 def test_sets_hashed_and_signed_together_are_as_alone():
     """Texts of every awkward kind, and of three sizes apart, so that bands differ and some sets lack units."""
     from sensorframe.llm import jaccard_join
