@@ -454,11 +454,23 @@ def linked(a: bytes, b: bytes, n: int, num: int, known: dict) -> bool:
 FILTER_PAGES = 512
 
 
-def page_filter(ids: DataFrame, column: str) -> dict[int, np.ndarray]:
-    """A fixed-size bitmap of hashed ids: every id passes, few others do while ids are few. Bounded by its pages."""
+def page_table(ids: DataFrame, column: str) -> DataFrame:
+    """A fixed-size bitmap of hashed ids as ``page, bits``: every id passes, few others do while ids are few."""
     spot = ids.select(F.pmod(F.xxhash64(column), F.lit(FILTER_PAGES * 32768)).alias("spot"))
-    pages = spot.groupBy(F.expr("spot div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("spot") % 32768).alias("bits"))
-    return {r["page"]: np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little") for r in pages.collect()}
+    return spot.groupBy(F.expr("spot div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("spot") % 32768).alias("bits"))
+
+
+def page_filter(ids: DataFrame, column: str) -> dict[int, np.ndarray]:
+    """The pages of ``page_table`` for use inside tasks. Bounded by their number."""
+    return {r["page"]: np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little") for r in page_table(ids, column).collect()}
+
+
+def passing(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` passes the bitmap of ``ids``; texts of others never leave Spark."""
+    spots = rows.withColumn("spot", F.pmod(F.xxhash64(column), F.lit(FILTER_PAGES * 32768)))
+    met = spots.join(F.broadcast(page_table(ids, column)), F.expr("spot div 32768 = page"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(spot % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return met.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(spot % 8 as int))")) != 0).select(*rows.columns)
 
 
 def passes(spots: np.ndarray, pages: dict[int, np.ndarray]) -> np.ndarray:
@@ -560,17 +572,16 @@ class Join:
 
     def texts(self, wanted: DataFrame, label: str) -> DataFrame:
         """``cls, body`` for ``wanted(cls, doc_id)``, one text each; others are dropped before anything is shuffled."""
-        salt, pages = self.salt, page_filter(wanted, "doc_id")
-        spots = self.rows.select("doc_id", "body", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_PAGES * 32768)).alias("spot"))
+        salt = self.salt
 
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                batch = batch.filter(pa.array(passes(batch.column(2).to_numpy(zero_copy_only=False), pages)))
-                out = [(doc_id, class_key(plain(text), salt)[1], text) for doc_id, text, _ in rows_of(batch) if doc_id is not None]
+        def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                out = [(doc_id, class_key(plain(text), salt)[1], text) for doc_id, text in rows_of(batch) if doc_id is not None]
                 if out:
                     yield batch_of(pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("body", pa.binary())]), zip(*out))
 
-        texts = spots.mapInArrow(pick, "doc_id long, cls long, body binary").join(wanted, ["doc_id", "cls"], "left_semi")
+        picked = passing(self.rows, wanted, "doc_id").mapInArrow(name, "doc_id long, cls long, body binary")
+        texts = picked.join(wanted, ["doc_id", "cls"], "left_semi")
         return pin(texts.dropDuplicates(["cls"]).select("cls", "body"), f"{label}-texts")
 
     def verified(self, pairs: DataFrame, label: str) -> DataFrame:

@@ -517,6 +517,18 @@ def test_sets_hashed_and_signed_together_are_as_alone():
         assert together[i] == signed(one, np.array([len(one)]))[0]
 
 
+def test_every_wanted_row_passes_the_bitmap_and_few_others(spark):
+    from sensorframe.llm import jaccard_join
+
+    rows = spark.range(-20_000, 20_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.lit("x").alias("body"))
+    wanted = rows.where("doc_id % 7 = 0").select("doc_id")
+    got = {r.doc_id for r in jaccard_join.passing(rows, wanted.union(wanted), "doc_id").collect()}
+    assert {i for i in range(-20_000, 20_000) if i % 7 == 0} <= got and len(got) < 6_000
+    pages = jaccard_join.page_filter(wanted, "doc_id")
+    spots = rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(jaccard_join.FILTER_PAGES * 32768)).alias("spot")).toPandas()
+    assert got == set(spots.doc_id[jaccard_join.passes(spots.spot.to_numpy(), pages)])
+
+
 def test_linked_is_exact_at_the_threshold():
     a = " ".join(f"w{i}" for i in range(14)).encode()  # 10 shingles
     b = " ".join(f"w{i}" for i in range(12)).encode()  # 8 of them
